@@ -276,6 +276,15 @@ def link_components(docs: DataFrame, percent: int = PERCENT, width: int = WIDTH,
     return out.select("doc_id", "th", F.col("n").cast("long").alias("n_shingles"), F.coalesce("low", "doc_id").alias("component_id"))
 
 
+def one_of_each(docs: DataFrame) -> DataFrame:
+    """``docs`` with one row of each component, that of the smallest doc_id; rows without words stay, equal rows of one id too."""
+    gone = written(link_components(docs.select("doc_id", "text")).where("NOT (doc_id <=> component_id)").select("doc_id", "th").distinct(), "copies")
+    if gone.count() <= BROADCAST_ROWS:
+        gone = F.broadcast(gone)
+    th = F.xxhash64(F.coalesce(docs["text"], F.lit("")))
+    return docs.join(gone, docs["doc_id"].eqNullSafe(gone["doc_id"]) & (th == gone["th"]), "left_anti")
+
+
 def op10_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Components of all documents under shingle similarity of 0.75 or more."""
     return link_components(documents(spark, sf_dir).select("doc_id", "text")).drop("th")

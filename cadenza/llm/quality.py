@@ -15,6 +15,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 from .common import documents
 
@@ -189,7 +190,7 @@ def score(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
                 scores = [m.score(features(t or "")) for t in part.column(where).to_pylist()]
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(scores, pa.float64())], [*part.schema.names, "score"])
 
-    return docs.mapInArrow(run, docs.schema.add("score", "double"))
+    return docs.mapInArrow(run, StructType([*docs.schema.fields, StructField("score", DoubleType())]))
 
 
 def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -17,9 +17,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import documents
+from .common import documents, written
 
 RULES_VERSION = "base-1"
+BROADCAST_ROWS = 500_000
 KINDS = ("assign", "access", "hex")
 # Fixed patterns; letters of the keyword in either case, ASCII only.
 _KEY = "|".join("".join(f"[{c.upper()}{c}]" if c.isalpha() else c for c in w) for w in ("password", "passwd", "secret", "token", "api_?key"))
@@ -82,17 +83,27 @@ def unseen(versions: DataFrame, ledger: DataFrame | None, rules: str = RULES_VER
     return blobs.repartition("blob").sortWithinPartitions("blob").mapInArrow(_scan, f"blob string, spans {_SPANS}").select("blob", F.lit(rules).alias("rules"), "spans")
 
 
+def findings(versions: DataFrame, ledger: DataFrame | None = None, rules: str = RULES_VERSION) -> DataFrame:
+    """(blob, spans) of all blobs of ``versions`` in which something was found now or, by the ledger, before.
+
+    Written to the shared folder, so its size is known: up to ``BROADCAST_ROWS`` rows it is marked for a
+    broadcast, beyond that it is joined by a shuffle whose hot blobs adaptive execution splits.
+    """
+    new = unseen(versions, ledger, rules).where(F.size("spans") > 0).select("blob", "spans")
+    if ledger is not None:
+        new = new.unionByName(ledger.where((F.col("rules") == rules) & (F.size("spans") > 0)).select("blob", "spans"))
+    new = written(new, "findings")
+    return F.broadcast(new) if new.count() <= BROADCAST_ROWS else new
+
+
 def scan_versions(versions: DataFrame, ledger: DataFrame | None = None, rules: str = RULES_VERSION) -> DataFrame:
     """``versions`` (any columns, with text) with ``blob`` and ``spans`` of every row, null texts taken as empty.
 
     ledger: what earlier scans returned through `unseen`; None for the first scan. Columns named blob or
     spans are replaced. Repeated rows each get the findings; no rows give no rows.
     """
-    new = unseen(versions, ledger, rules).where(F.size("spans") > 0).select("blob", "spans")
-    if ledger is not None:
-        new = new.unionByName(ledger.where((F.col("rules") == rules) & (F.size("spans") > 0)).select("blob", "spans"))
     paths = versions.drop("spans").withColumn("blob", F.sha2(F.coalesce("text", F.lit("")), 256))
-    return paths.join(new, "blob", "left").withColumn("spans", F.coalesce("spans", F.array().cast(_SPANS)))
+    return paths.join(findings(versions, ledger, rules), "blob", "left").withColumn("spans", F.coalesce("spans", F.array().cast(_SPANS)))
 
 
 def digest(spans) -> object:
@@ -126,9 +137,8 @@ def op7_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Secrets in all documents, from an empty ledger."""
     docs = documents(spark, sf_dir).select("doc_id", "text")
     blob = F.sha2(F.coalesce("text", F.lit("")), 256)
-    new = unseen(docs, None).where(F.size("spans") > 0).select("blob", "spans")
     # only ids and addresses take part in the join; the texts stay behind
-    found = docs.select("doc_id", blob.alias("blob")).join(new, "blob", "left").withColumn("spans", F.coalesce("spans", F.array().cast(_SPANS)))
+    found = docs.select("doc_id", blob.alias("blob")).join(findings(docs), "blob", "left").withColumn("spans", F.coalesce("spans", F.array().cast(_SPANS)))
     n = lambda k: F.size(F.filter("spans", lambda s: s["kind"] == k)).cast("long")
     text = digest(F.col("spans"))
     return found.select("doc_id", n(0).alias("n_assign"), n(1).alias("n_access"), n(2).alias("n_hex"), F.sha2(text, 256).alias("base_sha256"), text.alias("spans"))
