@@ -1,9 +1,5 @@
 """Registered queries over the driver's tables."""
 
+from .catalogue import oracle_sql, queries
 
-def queries() -> dict:
-    return {}
-
-
-def oracle_sql() -> dict[str, str]:
-    return {}
+__all__ = ["oracle_sql", "queries"]
