@@ -23,10 +23,14 @@ def _paired(df: DataFrame, block_rows: int, upper: bool, work, schema: str) -> D
     block = F.pmod(F.xxhash64("id"), F.lit(n)).cast("int")
     rows = df.select("id", "v", block.alias("b"))
     others = F.explode(F.sequence(F.col("b") if upper else F.lit(0), F.lit(n - 1)))
-    left = rows.withColumn("o", others).select("id", "v", F.col("b").alias("bi"), F.col("o").alias("bj"))
+    left = rows.withColumn("o", others).select("id", "v", F.col("b").alias("bi"), F.col("o").alias("bj"), F.lit(0).alias("side"))
     mine = F.explode(F.sequence(F.lit(0), F.col("b") if upper else F.lit(n - 1)))
-    right = rows.withColumn("o", mine).select("id", "v", F.col("o").alias("bi"), F.col("b").alias("bj"))
-    return left.groupBy("bi", "bj").cogroup(right.groupBy("bi", "bj")).applyInPandas(work, schema)
+    right = rows.withColumn("o", mine).select("id", "v", F.col("o").alias("bi"), F.col("b").alias("bj"), F.lit(1).alias("side"))
+
+    def both(pdf: pd.DataFrame) -> pd.DataFrame:
+        return work(pdf[pdf["side"] == 0], pdf[pdf["side"] == 1])
+
+    return left.unionAll(right).groupBy("bi", "bj").applyInPandas(both, schema)
 
 
 def _matrix(pdf: pd.DataFrame) -> np.ndarray:
