@@ -3,11 +3,14 @@
 A document's tokens are the hashes of its distinct 5-word shingles. Two sets with similarity t or more
 share a token among the first |x| - ceil(t |x|) + 1 of each, under any global order of the tokens. Each
 order here puts tokens by how many documents hold them, rare ones first, and by a hash of its own among
-those that are equally rare, so each order is a filter of its own. Documents that share a prefix token
-are linked under that order; a pair can pass only if both orders connect it, so the sets of documents
+those that are equally rare, so each order is a filter of its own. Besides the shared token a pair must
+pass two bounds that follow from it: sizes within the ratio, and enough shared prefix tokens to reach
+the overlap it needs even if all tokens behind the prefixes were shared. Pairs that pass link documents
+under that order; a pair can be similar only if all orders connect it, so the sets of documents
 connected under all orders are what is verified, each on its own, with exact set sizes.
 
-Links of a group of n copies are never spelt out: a bucket of prefix tokens returns a forest, and
+Links of a group of many copies are never spelt out: tokens with the same list of holders are counted
+as one list, a list of more than ``SPELT`` holders gives a forest instead of pairs, and
 verification expands a document against all others only while it may still join components. Copies
 within a block count as one document. What is shuffled: prefixes as packed numbers, forests, and the
 sets of documents that have a candidate partner. Groups above a size are verified in pairs of blocks.
@@ -29,10 +32,12 @@ from .components import components, forest
 
 WIDTH, PERCENT, ORDERS = 5, 75, 2
 #: Frequent tokens known to all tasks: at most so many, counted in blocks of documents from this count a block.
-FREQUENT, LOCAL = 1 << 18, 8
+FREQUENT, LOCAL = 1 << 18, 3
+#: Lists of up to so many holders are spelt out as pairs.
+SPELT = 256
 DOCS_A_BUCKET = 4096
 #: Tokens that one verification holds at a time.
-GROUP_TOKENS = 8_000_000
+GROUP_TOKENS = 2_000_000
 #: Up to so many candidate keys are broadcast; more are joined by a shuffle.
 BROADCAST_ROWS = 1_000_000
 _SALTS = [np.uint64(s) for s in (0x243F6A8885A308D3, 0x13198A2E03707344, 0xA4093822299F31D0, 0x082EFA98EC4E6C89)]
@@ -130,6 +135,7 @@ def _prefixes(shared, n_buckets: int, orders: int, width: int, percent: int):
             own = [k for k in range(n) if at[k] == k and len(sets[k])]
             for j in range(orders if own else 0):
                 tokens, who = [], []
+                sizes = np.array([len(s) for s in sets], np.uint32)
                 for k in own:
                     p = prefix_length(len(sets[k]), percent)
                     keys = _order(sets[k], known, j)
@@ -141,24 +147,33 @@ def _prefixes(shared, n_buckets: int, orders: int, width: int, percent: int):
                 tokens, who, bucket = tokens[order], who[order], bucket[order]
                 starts = np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1]])
                 ends = np.r_[starts[1:], len(bucket)]
-                yield _batch([[1 + j] * len(starts), bucket[starts] * orders + j, [block] * len(starts), None, None, None, (ends - starts).astype(np.int32), [tokens[a:b].tobytes() + who[a:b].tobytes() for a, b in zip(starts, ends, strict=True)]], len(starts))
+                yield _batch([[1 + j] * len(starts), bucket[starts] * orders + j, [block] * len(starts), None, None, None, (ends - starts).astype(np.int32), [tokens[a:b].tobytes() + who[a:b].tobytes() + sizes[who[a:b]].tobytes() for a, b in zip(starts, ends, strict=True)]], len(starts))
             block += 1 << 16
 
     return run
 
 
 def _meet(batches):
-    """Rows sorted by bucket: the forest of nodes that share a prefix token; rows of documents pass through."""
+    """Rows sorted by bucket: each distinct list of nodes that hold a prefix token, with their sizes and the number of such tokens (n), by its first node (u); rows of documents pass through."""
 
     def flush(kind, held):
         tokens = np.concatenate([np.frombuffer(p, np.uint64, n) for _, n, p in held])
         nodes = np.concatenate([np.frombuffer(p, np.uint16, n, 8 * n).astype(np.int64) + b for b, n, p in held])
-        order = np.argsort(tokens, kind="stable")
-        tokens, nodes = tokens[order], nodes[order]
-        same = np.flatnonzero(tokens[1:] == tokens[:-1])
-        if len(same):
-            u, v = forest(nodes[same], nodes[same + 1])
-            yield _batch([[kind] * len(u), None, u, v, None, None, None, None], len(u))
+        sizes = np.concatenate([np.frombuffer(p, np.uint32, n, 10 * n) for _, n, p in held])
+        order = np.lexsort((nodes, tokens))
+        tokens, nodes, sizes = tokens[order], nodes[order], sizes[order]
+        begin = np.flatnonzero(np.r_[True, tokens[1:] != tokens[:-1]])
+        count = np.diff(np.r_[begin, len(tokens)])
+        begin, count = begin[count > 1], count[count > 1]
+        if not len(begin):
+            return
+        # lists are told apart by the sum of their nodes' hashes
+        ends = np.cumsum(np.r_[np.zeros(1, np.uint64), mixed(nodes.astype(np.uint64))])
+        _, first, times = np.unique(ends[begin + count] - ends[begin], return_index=True, return_counts=True)
+        begin, count = begin[first], count[first]
+        for at in range(0, len(begin), 20_000):
+            some = list(zip(begin[at : at + 20_000].tolist(), count[at : at + 20_000].tolist(), strict=True))
+            yield _batch([[kind] * len(some), None, nodes[begin[at : at + 20_000]], count[at : at + 20_000], None, None, times[at : at + 20_000].astype(np.int32), [nodes[i : i + n].tobytes() + sizes[i : i + n].tobytes() for i, n in some]], len(some))
 
     held, last = [], None
     for batch in batches:
@@ -178,6 +193,63 @@ def _meet(batches):
         yield from flush(last[0], held)
 
 
+def _pairs(spelt: int, percent: int):
+    """Rows sorted by first node: pairs (u, v) with the number of shared prefix tokens (n) and their sizes; of a longer list, links to its first node with n -1."""
+
+    def out(u, v, n, a, b):
+        return pa.RecordBatch.from_arrays([pa.array(x.astype(np.int64)) for x in (u, v, n, a, b)], ["u", "v", "n", "a", "b"])
+
+    def flush(held):
+        parts = []
+        for m in {n for n, _, _ in held}:
+            rows = [(w, p) for n, w, p in held if n == m]
+            nodes = np.array([np.frombuffer(p, np.int64, m) for _, p in rows])
+            sizes = np.array([np.frombuffer(p, np.uint32, m, 8 * m) for _, p in rows]).astype(np.int64)
+            if m > spelt:
+                u, v = forest(np.repeat(nodes[:, :1], m - 1, 1).ravel(), nodes[:, 1:].ravel())
+                yield out(u, v, np.full(len(u), -1), np.zeros(len(u)), np.zeros(len(u)))
+                continue
+            i, j = np.triu_indices(m, 1)
+            a, b = sizes[:, i].ravel(), sizes[:, j].ravel()
+            fits = 100 * np.minimum(a, b) >= percent * np.maximum(a, b)
+            w = np.repeat(np.array([w for w, _ in rows]), len(i))
+            parts.append([x[fits] for x in (nodes[:, i].ravel(), nodes[:, j].ravel(), w, a, b)])
+        if parts:
+            u, v, w, a, b = (np.concatenate(x) for x in zip(*parts, strict=True))
+            order = np.lexsort((v, u))
+            u, v, w, a, b = u[order], v[order], w[order], a[order], b[order]
+            new = np.flatnonzero(np.r_[True, (u[1:] != u[:-1]) | (v[1:] != v[:-1])][: len(u)])
+            if len(new):
+                yield out(u[new], v[new], np.add.reduceat(w, new), a[new], b[new])
+
+    def run(batches):
+        held, pairs = [], 0
+        for batch in batches:
+            for m, w, p in zip(*(batch.column(c).to_pylist() for c in ("v", "n", "payload")), strict=True):
+                held.append((m, w, p))
+                pairs += m * m // 2 if m <= spelt else m
+                if pairs >= 1_000_000:
+                    yield from flush(held)
+                    held, pairs = [], 0
+        if held:
+            yield from flush(held)
+
+    return run
+
+
+def candidate_links(lists: DataFrame, percent: int = PERCENT, spelt: int = SPELT) -> DataFrame:
+    """(u, v) of nodes that pass the filters of one order.
+
+    A pair needs an overlap of percent (a + b) / (100 + percent). All shared tokens up to the nearer end of
+    the two prefixes are seen; behind it lie at most as many as that set has behind its prefix.
+    """
+    found = lists.select("u", "v", "n", "payload").repartition("u").sortWithinPartitions("u").mapInArrow(_pairs(spelt, percent), "u long, v long, n long, a long, b long")
+    summed = found.groupBy("u", "v").agg(F.sum("n").alias("n"), F.min("n").alias("low"), F.max("a").alias("a"), F.max("b").alias("b"))
+    behind = lambda n: F.floor((percent * n + 99) / 100) - 1
+    enough = F.ceil(percent * (F.col("a") + F.col("b")) / (100 + percent)) - F.greatest(behind(F.col("a")), behind(F.col("b")))
+    return summed.where((F.col("low") < 0) | (F.col("n") >= F.greatest(enough, F.lit(1)))).select("u", "v")
+
+
 def verified(sets: list[np.ndarray], percent: int = PERCENT) -> np.ndarray:
     """The root of each set, an index, over all links between the sets.
 
@@ -246,12 +318,12 @@ def link_components(docs: DataFrame, percent: int = PERCENT, width: int = WIDTH,
     n_buckets = max(16, math.ceil(docs.count() / DOCS_A_BUCKET))
     shared = spark.sparkContext.broadcast(frequent_tokens(docs, width=width))  # two arrays of at most FREQUENT numbers
     met = keyed.mapInArrow(_prefixes(shared, n_buckets, orders, width, percent), _R).repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_meet, _R)
-    met = written(met.drop("payload", "bucket"), "prefixes")
+    met = written(met.drop("bucket"), "prefixes")
     nodes = met.where("kind = 0").select("doc_id", "th", "n", F.col("u").alias("node"), (F.col("v") == 1).alias("first"))
     # connected under all orders
     group = None
     for j in range(orders):
-        found = components(met.where(F.col("kind") == 1 + j)).withColumnRenamed("root", f"r{j}")
+        found = components(candidate_links(met.where(F.col("kind") == 1 + j), percent)).withColumnRenamed("root", f"r{j}")
         group = found if group is None else group.join(found, "node")
     keys = [f"r{j}" for j in range(orders)]
     sized = group.join(nodes.where("first").select("node", "n", "doc_id", "th"), "node")
