@@ -18,6 +18,7 @@ from functools import lru_cache
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -42,30 +43,65 @@ def _tokenizer(path: str):
 
 def parts_of(text: str) -> list[str]:
     """The text between spaces and line ends. The vocabulary drops white space and its normaliser works within such parts, so that the ids of a text are those of its parts."""
-    if text.isascii() and "<|" not in text:
-        text = text.lower()
     return text.replace("\n", " ").split(" ")
 
 
-def encode_texts(path: str, texts: list[str], known: dict[str, bytes], most: int = 400_000) -> list[bytes]:
-    """The ids of each text as little-endian 32-bit numbers; ``known`` remembers at most about ``most`` parts."""
+#: The pre-tokens of the vocabulary file: a fixed pattern.
+_PRE_TOKEN = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
+_PLAIN = [*range(33, 127), *range(161, 173), *range(174, 256)]
+
+
+def _byte_letters() -> list[str]:
+    """The letter that stands for each byte: itself if it is printable, else one from 256 on."""
+    out, more = [""] * 256, 256
+    for b in range(256):
+        out[b] = chr(b) if b in _PLAIN else chr(more)
+        more += b not in _PLAIN
+    return out
+
+
+_LETTERS = _byte_letters()
+
+
+def _simple(part: str) -> bool:
+    """Whether normalising is lower case alone: printable Latin without combining marks or special tokens."""
+    return max(part) < "\u0180" and "\u0130" not in part and "<|" not in part and part.isprintable()
+
+
+def encode_part(path: str, part: str, words: dict[str, bytes]) -> bytes:
+    """The ids of a part; simple ones skip the library's normaliser and ask its model for each new pre-token only."""
+    if not part:
+        return b""
+    t = _tokenizer(path)
+    if not _simple(part):
+        return np.array(t.encode(part, add_special_tokens=False).ids, "<u4").tobytes()
+    out = []
+    for w in _PRE_TOKEN.findall(part.lower()):
+        if (ids := words.get(w)) is None:
+            piece = w if w.isascii() else "".join(map(_LETTERS.__getitem__, w.encode()))
+            ids = words[w] = np.array([x.id for x in t.model.tokenize(piece)], "<u4").tobytes()
+        out.append(ids)
+    return b"".join(out)
+
+
+def encode_texts(path: str, texts: list[str], known: dict[str, bytes], words: dict[str, bytes], most: int = 400_000) -> list[bytes]:
+    """The ids of each text as little-endian 32-bit numbers; ``known`` remembers at most about ``most`` parts, ``words`` pre-tokens."""
     parts = [parts_of(t) for t in texts]
-    if len(known) > most:
-        known.clear()
-    new = list({p for ps in parts for p in ps} - known.keys())
-    for at in range(0, len(new), 4096):
-        some = new[at : at + 4096]
-        for p, e in zip(some, _tokenizer(path).encode_batch(some, add_special_tokens=False), strict=True):
-            known[p] = np.array(e.ids, "<u4").tobytes()
+    for memory in (known, words):
+        if len(memory) > most:
+            memory.clear()
+    for p in {p for ps in parts for p in ps} - known.keys():
+        known[p] = encode_part(path, p, words)
     return [b"".join(map(known.__getitem__, ps)) for ps in parts]
 
 
 def _pieces(path: str, length: int):
     def run(batches):
         known: dict[str, bytes] = {}
+        words: dict[str, bytes] = {}
         for texts, ids in blocks(batches, 2):
             out = []
-            for doc, raw in zip(ids, encode_texts(path, [t or "" for t in texts], known), strict=True):
+            for doc, raw in zip(ids, encode_texts(path, [t or "" for t in texts], known, words), strict=True):
                 raw += _END
                 for k, at in enumerate(range(0, len(raw), 4 * length)):
                     part = raw[at : at + 4 * length]
