@@ -10,7 +10,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from cadenza.llm import fingerprints, jaccard, packing, quality, secrets, sharding, suffixes, token_counts
+from cadenza.llm import fingerprints, jaccard, merge_dropout, packing, quality, secrets, sharding, suffixes, token_counts
 from cadenza.llm.components import components, forest, roots
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
@@ -85,6 +85,23 @@ def test_token_counts(docs, none, texts):
     assert token_counts.token_counts(docs.union(docs), path).count() == 2 * len(texts)
 
 
+def test_merge_dropout(docs, none, texts):
+    import public_tokenizers
+
+    path = public_tokenizers.path("piece_bpe_32k.model")
+    v = merge_dropout.vocabulary(path)
+    for t in [*texts, "a▁b ▁", "\n a \n", "  日本 \x00"]:
+        if "▁" not in (t or ""):
+            assert merge_dropout.encode(v, t or "") == v.model.encode(t or "")
+        some = [merge_dropout.encode(v, t or "", p, k) for p in (0.1, 1.0) for k in (b"a", b"b")]
+        assert all(merge_dropout.decode(v, ids) == (t or "") for ids in some)
+    long = max((t for t in texts if t), key=len)
+    assert merge_dropout.encode(v, long, 0.1, b"a") == merge_dropout.encode(v, long, 0.1, b"a") != merge_dropout.encode(v, long, 0.1, b"b")
+    got = rows(merge_dropout.encode_documents(docs, path))
+    assert all(got[3 * i + 1]["decoded_sha256"] == hashlib.sha256((t or "").encode()).hexdigest() for i, t in enumerate(texts))
+    assert merge_dropout.encode_documents(none, path).count() == 0
+
+
 def test_quality(spark, docs, none):
     rng = random.Random(1)
     good = [(i, prose(rng, 60)) for i in range(200)]
