@@ -83,7 +83,7 @@ def segment(v: Vocabulary, part: str, dropout: float, key: bytes) -> list[int]:
     for s in symbols:
         if s:
             k = v.ids.get(s)
-            out += [k] if k is not None else [v.byte_ids[b] for b in (SPACE if s == "" and SPACE not in v.ids else s).encode("utf-8", "surrogatepass")]
+            out += [k] if k is not None else [v.byte_ids[b] for b in s.encode("utf-8", "surrogatepass")]
     return out
 
 
