@@ -24,10 +24,14 @@ def norm(v: Column) -> Column:
     return F.sqrt(F.aggregate(doubles(v), F.lit(0.0), lambda s, x: s + x * x))
 
 
+def bound(value: Column, f) -> Column:
+    """f of a value that is worked out once a row, where a lambda within f would work it out for each element."""
+    return F.element_at(F.transform(F.array(value), f), 1)
+
+
 def l2(v: Column) -> Column:
     """Unit length; the norm is floored, so that a zero vector stays zero."""
-    n = F.greatest(norm(v), F.lit(EPS))
-    return F.transform(doubles(v), lambda x: x / n)
+    return bound(F.greatest(norm(v), F.lit(EPS)), lambda n: F.transform(doubles(v), lambda x: x / n))
 
 
 def cosine(a: Column, b: Column) -> Column:
@@ -36,8 +40,8 @@ def cosine(a: Column, b: Column) -> Column:
 
 def softmax(v: Column, temperature: float = 0.05) -> Column:
     t = max(temperature, 1e-6)
-    e = F.transform(v, lambda x: F.exp((x - F.array_max(v)) / t))
-    return F.transform(e, lambda x: x / total(e))
+    e = bound(F.array_max(v), lambda top: F.transform(v, lambda x: F.exp((x - top) / t)))
+    return bound(e, lambda w: bound(total(w), lambda s: F.transform(w, lambda x: x / s)))
 
 
 def entropy(p: Column) -> Column:

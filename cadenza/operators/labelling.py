@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from cadenza.functions.vectors import dot, l2, mean_vectors, softmax
+from cadenza.functions.vectors import bound, dot, l2, mean_vectors, softmax
 
 TEMPERATURE, RECENTRE_FROM = 0.05, 5
 
@@ -23,7 +23,7 @@ def label_matrix(prompts: DataFrame) -> DataFrame:
 def similarities(df: DataFrame, matrix: DataFrame) -> DataFrame:
     """``df`` (id, v) with ``sims``, one number for each label in the order of labels."""
     m = matrix.agg(F.transform(F.array_sort(F.collect_list(F.struct("label", "v"))), lambda s: s["v"]).alias("m"))
-    return df.crossJoin(F.broadcast(m)).withColumn("sims", F.transform("m", lambda x: dot(x, l2(F.col("v"))))).drop("m")
+    return df.crossJoin(F.broadcast(m)).withColumn("sims", bound(l2(F.col("v")), lambda u: F.transform("m", lambda x: dot(x, u)))).drop("m")
 
 
 def label_prior(sims: DataFrame) -> DataFrame:
