@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from .fingerprints import op6_fingerprints
 from .jaccard import op10_jaccard
+from .media import op5_image_copies
 from .merge_dropout import op3_merge_dropout
 from .packing import op9_packing
 from .quality import op2_quality
@@ -14,7 +15,7 @@ from .token_counts import op4_token_counts
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_sharding, op2_quality, op3_merge_dropout, op4_token_counts, op6_fingerprints, op7_secret_scans, op8_suffixes, op9_packing, op10_jaccard)}
+    return {f.__name__: f for f in (op1_sharding, op2_quality, op3_merge_dropout, op4_token_counts, op5_image_copies, op6_fingerprints, op7_secret_scans, op8_suffixes, op9_packing, op10_jaccard)}
 
 
 def oracle_sql() -> dict[str, str]:
