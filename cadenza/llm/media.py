@@ -315,7 +315,8 @@ def links(points: DataFrame) -> DataFrame:
 def copies(images: DataFrame, id_column: str = "image_id", image_column: str = "image") -> DataFrame:
     """(image_id, n_points, n_links, class_id) of every row: its corners, its links to other pictures, the smallest id among its copies.
 
-    Images of equal pixels are one picture and share all three results. Nulls, empty values and what is no
+    A group of near copies is linked through its smallest pictures where it fills whole keys, so n_links counts
+    verified links, not all pairs. Images of equal pixels are one picture and share all three results. Nulls, empty values and what is no
     8-bit PGM or PPM have null n_points and n_links and are their own class; a picture with too few corners
     has no links. A null id has the class of its picture, null where no row of it has an id, and then stays
     unlinked. Repeated rows have equal results, no rows give no rows, other columns are not read.

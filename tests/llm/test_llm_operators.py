@@ -10,7 +10,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from cadenza.llm import fingerprints, jaccard, merge_dropout, packing, quality, secrets, sharding, suffixes, token_counts
+from cadenza.llm import fingerprints, jaccard, media, merge_dropout, packing, quality, secrets, sharding, suffixes, token_counts
 from cadenza.llm.components import components, forest, roots
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
@@ -273,3 +273,80 @@ def test_components(spark):
     assert all(r[k] == x for k, x in got.items()) and (r[u] == r[v]).all()
     a, b = forest(u, v)
     assert (r[a] == b).all()
+
+
+def vectors(spark, n, near=0):
+    """n unit vectors, and ``near`` more that differ little from the first."""
+    rng = np.random.default_rng(9)
+    x = rng.normal(0, 0.125, (n, 64))
+    x = np.concatenate([x, x[:1] + rng.normal(0, 0.001, (near, 64))])
+    return spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(x)], "vec_id long, embedding array<double>")
+
+
+@pytest.fixture(scope="module")
+def copied(spark):
+    """60 pictures 2 * k, each with an edited copy of the next id."""
+    pictures = {r["image_id"]: media.read_image(bytes(r["image"])) for r in media.rendered(vectors(spark, 60)).collect() if r["image_id"] % 2 == 0}
+    rows = []
+    for k, (i, x) in enumerate(sorted(pictures.items())):
+        rows += [(i, media.write_image(x)), (i + 1, media.write_image(media.edited(x, media.EDITS[k % len(media.EDITS)], k)))]
+    return spark.createDataFrame(rows, "image_id long, image binary")
+
+
+def test_copies_are_found_and_others_are_not(copied):
+    got = {r["image_id"]: r["class_id"] for r in media.copies(copied).collect()}
+    assert len(got) == 120 and all(got[i] == i for i in range(0, 120, 2))
+    assert all(got[i] in (i - 1, i) for i in range(1, 120, 2))
+    assert sum(got[i] == i - 1 for i in range(1, 120, 2)) >= 0.9 * 60
+
+
+def test_table_hits_against_all_pairs(copied):
+    """Table hits are among the matches of all pairs of descriptors, and lose few of the copies that those show."""
+    described = copied.mapInArrow(media._described, "image_id long, digest binary, points binary")
+    own = {r["image_id"]: np.frombuffer(bytes(r["points"]), np.uint8).reshape(-1, media._POINT) for r in described.collect()}
+    want = set()
+    for a in own:
+        for b in own:
+            if a < b:
+                far = np.bitwise_count(own[a][:, None, 8:] ^ own[b][None, :, 8:]).sum(2)
+                i, j = np.nonzero(far <= media.FARTHEST)
+                ga, gb = own[a][i, :8].copy().view("<i8")[:, 0], own[b][j, :8].copy().view("<i8")[:, 0]
+                if len(i) >= media.AGREEING and media.agreeing(ga, gb) >= media.AGREEING:
+                    want.add((a, b))
+    got = {(r["u"], r["v"]) for r in media.links(described.selectExpr("image_id AS rep", "points")).collect()}
+    shown = {(a, b) for a, b in want if a // 2 == b // 2}  # matches of all pairs also agree by chance (17 of 7080 pairs), table hits must not
+    assert got <= shown and len(got) >= 0.9 * len(shown) > 45
+
+
+@pytest.mark.parametrize("broadcast", [0, 10_000])
+def test_heavy_keys_keep_classes(spark, monkeypatch, broadcast):
+    """A group of near copies in one class, whether its keys are dealt out in blocks or not."""
+    monkeypatch.setattr(media, "MOST_BROADCAST", broadcast)
+    drawn = media.rendered(vectors(spark, 10, near=50))
+    plain = rows(media.copies(drawn), "image_id")
+    monkeypatch.setattr(media, "LIGHT", 4)
+    monkeypatch.setattr(media, "BLOCK", 8)
+    dealt = rows(media.copies(drawn), "image_id")
+    assert {i: r["class_id"] for i, r in plain.items()} == {i: r["class_id"] for i, r in dealt.items()}
+    assert sum(r["class_id"] == 0 for r in dealt.values()) >= 51
+
+
+def test_odd_images(spark):
+    x = np.random.default_rng(1).integers(0, 256, (60, 70), dtype=np.uint8)
+    colour = b"P6 # made here\n70 60\n255\n" + np.repeat(x[:, :, None], 3, 2).tobytes()
+    data = [(5, media.write_image(x), "a"), (5, media.write_image(x), "a"), (3, colour, "b"), (None, media.write_image(x), "c"), (7, None, "d"), (8, b"", "e"), (9, b"P5\n70 60\n255\nshort", "f"), (10, media.write_image(x[:3, :3]), "g"), (11, media.write_image(np.zeros((60, 60), np.uint8)), "h"), (None, None, "i"), (None, media.write_image(x[::-1, :9].copy()), "j")]
+    df = spark.createDataFrame(data, "image_id long, image binary, class_id string").withColumn("digest", F.lit(1)).withColumn("key", F.lit(2))
+    got = sorted(((r["image_id"], r["n_points"], r["n_links"], r["class_id"]) for r in media.copies(df).collect()), key=str)
+    points = next(g[1] for g in got if g[0] == 5)
+    assert points > 0 and len(got) == len(data)
+    assert [g for g in got if g[3] == 3] == sorted([(3, points, 0, 3), (5, points, 0, 3), (5, points, 0, 3), (None, points, 0, 3)], key=str)
+    assert {(7, None, None, 7), (8, None, None, 8), (9, None, None, 9), (10, 0, 0, 10), (11, 0, 0, 11), (None, None, None, None), (None, 0, 0, None)} <= set(got)
+    assert media.copies(df.limit(0)).count() == 0
+
+
+def test_odd_vectors(spark):
+    data = [(1, None), (2, []), (3, [0.1] * 64), (None, [0.1] * 64), (4, [float("nan")] * 64), (5, [None, 0.2]), (6, [0.1] * 70)]
+    got = media.rendered(spark.createDataFrame(data, "vec_id long, embedding array<double>").withColumn("image_id", F.lit("x"))).collect()
+    image = {r["image_id"]: r["image"] for r in got}
+    assert image[2] is None and image[8] is None and image[4] is not None and image[6] == image[12] == image[None] and image[10] is not None
+    assert media.rendered(spark.createDataFrame([], "vec_id long, embedding array<double>")).count() == 0
