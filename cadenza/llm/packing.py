@@ -13,6 +13,7 @@ their pieces packed once more together with those of other demes.
 from __future__ import annotations
 
 import zlib
+from array import array
 from functools import lru_cache
 
 import numpy as np
@@ -65,23 +66,29 @@ _LETTERS = _byte_letters()
 
 def _simple(part: str) -> bool:
     """Whether normalising is lower case alone: printable Latin without combining marks or special tokens."""
-    return max(part) < "\u0180" and "\u0130" not in part and "<|" not in part and part.isprintable()
+    return (part.isascii() or max(part) < "\u0180" and "\u0130" not in part) and "<|" not in part and part.isprintable()
 
 
-def encode_part(path: str, part: str, words: dict[str, bytes]) -> bytes:
+def _word_ids(model, word: str) -> bytes:
+    """The ids of a pre-token in lower case."""
+    piece = word if word.isascii() else "".join(map(_LETTERS.__getitem__, word.encode()))
+    return array("I", [x.id for x in model.tokenize(piece)]).tobytes()
+
+
+def encode_part(t, model, part: str, words: dict[str, bytes]) -> bytes:
     """The ids of a part; simple ones skip the library's normaliser and ask its model for each new pre-token only."""
     if not part:
         return b""
-    t = _tokenizer(path)
     if not _simple(part):
-        return np.array(t.encode(part, add_special_tokens=False).ids, "<u4").tobytes()
-    out = []
-    for w in _PRE_TOKEN.findall(part.lower()):
-        if (ids := words.get(w)) is None:
-            piece = w if w.isascii() else "".join(map(_LETTERS.__getitem__, w.encode()))
-            ids = words[w] = np.array([x.id for x in t.model.tokenize(piece)], "<u4").tobytes()
-        out.append(ids)
-    return b"".join(out)
+        return array("I", t.encode(part, add_special_tokens=False).ids).tobytes()
+    part = part.lower()
+    if part.isalpha():  # one pre-token; `known` remembers it
+        return words.get(part) or words.setdefault(part, _word_ids(model, part))
+    if len(part) > 2 and part[-1] in ".," and (head := part[:-1]).isalpha():
+        found = (head, part[-1])
+    else:
+        found = _PRE_TOKEN.findall(part)
+    return b"".join([words.get(w) or words.setdefault(w, _word_ids(model, w)) for w in found])
 
 
 def encode_texts(path: str, texts: list[str], known: dict[str, bytes], words: dict[str, bytes], most: int = 400_000) -> list[bytes]:
@@ -90,8 +97,10 @@ def encode_texts(path: str, texts: list[str], known: dict[str, bytes], words: di
     for memory in (known, words):
         if len(memory) > most:
             memory.clear()
-    for p in {p for ps in parts for p in ps} - known.keys():
-        known[p] = encode_part(path, p, words)
+    t = _tokenizer(path)
+    model = t.model
+    for p in set().union(*parts).difference(known):
+        known[p] = encode_part(t, model, p, words)
     return [b"".join(map(known.__getitem__, ps)) for ps in parts]
 
 
