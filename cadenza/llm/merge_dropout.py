@@ -2,10 +2,12 @@
 
 A text is cut where no piece of the vocabulary can reach across (before a space mark that follows
 another character, and around line ends), and each part is segmented by its own agenda: candidate
-merges leave it by score, then from the left. A candidate is skipped when the hash of (seed, variant,
-part, place, piece) falls below the dropout, so a segmentation can be repeated anywhere, and without
-dropout it is the library's own. Symbols that are no piece become bytes. Decoding joins pieces and
-bytes again and gives back every text, whatever was skipped.
+merges leave it by score, then from the left. A candidate is skipped when the hash of (seed, document,
+place of the part in the text, how manieth candidate of the part) falls below the dropout: every
+occurrence of a word draws its own skips, a segmentation can be repeated anywhere, and without
+dropout it is the library's own. What is remembered of a part is its segmentation for a given set of
+skipped candidates, which no draw enters. Symbols that are no piece become bytes. Decoding joins pieces
+and bytes again and gives back every text, whatever was skipped.
 """
 
 from __future__ import annotations
@@ -22,10 +24,14 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import blocks, documents
+from .common import blocks, documents, mixed
 
 SPACE = "▁"
-DROPOUT, VARIANTS = 0.1, 2
+DROPOUT = 0.1
+#: A part of n characters has fewer than DRAWS * n candidates: n - 1 at first, and each merge adds two at most.
+DRAWS = 3
+#: Characters up to which segmentations of a part are remembered, and how many of them.
+SHORT, REMEMBERED = 32, 300_000
 _PARTS = re.compile(rf"{SPACE}+[^{SPACE}\n]*|\n+|[^{SPACE}\n]+")
 
 
@@ -41,6 +47,8 @@ class Vocabulary:
         self.byte_ids = {b: i for i, b in self.bytes.items()}
         self.ids = {p: i for i, p in enumerate(self.pieces) if not (m.is_byte(i) or m.is_control(i) or m.is_unknown(i))}
         self.scores = m.get_score(list(range(m.get_piece_size())))
+        self.raw = [bytes([self.bytes[i]]) if i in self.bytes else p.replace(SPACE, " ").encode() for i, p in enumerate(self.pieces)]
+        self.known = Known(self)
         if any("\n" in p or SPACE in p.lstrip(SPACE) for p in self.ids):
             raise ValueError("pieces of this file reach across the cuts")
 
@@ -50,13 +58,11 @@ def vocabulary(path: str) -> Vocabulary:
     return Vocabulary(path)
 
 
-def segment(v: Vocabulary, part: str, dropout: float, key: bytes) -> list[int]:
-    """The ids of one part, with space marks for spaces."""
+def segment(v: Vocabulary, part: str, skipped=frozenset()) -> tuple[list[int], int]:
+    """The ids of one part, with space marks for spaces, and its count of candidates, of which those numbered in ``skipped`` are left out."""
     symbols = list(part)
     after, before = list(range(1, len(symbols) + 1)), list(range(-1, len(symbols) - 1))
     agenda: list[tuple[float, int, str]] = []
-    limit = int(dropout * (1 << 64))
-    salt = key + part.encode("utf-8", "surrogatepass") if limit else b""
 
     def propose(i: int) -> None:
         if i >= 0 and after[i] < len(symbols):
@@ -66,12 +72,14 @@ def segment(v: Vocabulary, part: str, dropout: float, key: bytes) -> list[int]:
 
     for i in range(len(symbols) - 1):
         propose(i)
+    n = 0
     while agenda:
         _, i, piece = heapq.heappop(agenda)
         j = after[i]
         if not symbols[i] or j >= len(symbols) or symbols[i] + symbols[j] != piece:
             continue
-        if limit and xxhash.xxh3_64_intdigest(salt + f"\0{i}\0{piece}".encode()) < limit:
+        n += 1
+        if n - 1 in skipped:
             continue
         symbols[i], symbols[j] = piece, ""
         after[i] = after[j]
@@ -84,61 +92,104 @@ def segment(v: Vocabulary, part: str, dropout: float, key: bytes) -> list[int]:
         if s:
             k = v.ids.get(s)
             out += [k] if k is not None else [v.byte_ids[b] for b in s.encode("utf-8", "surrogatepass")]
-    return out
+    return out, n
+
+
+class Known:
+    """Segmentations of short parts by the set of skipped candidates: trees of (ids, candidates, skipped, by the next one skipped)."""
+
+    def __init__(self, v: Vocabulary):
+        self.v = v
+        self.clear()
+
+    def clear(self) -> None:
+        self.count, self.roots = 0, {"": ([self.v.byte_ids[b] for b in SPACE.encode()], 0, (), {})}
 
+    def node(self, part: str, skipped: tuple[int, ...]) -> tuple:
+        self.count += 1
+        return *segment(self.v, part, skipped), skipped, {}
 
-def encode(v: Vocabulary, text: str, dropout: float = 0.0, key: bytes = b"", known: dict | None = None) -> list[int]:
-    """The ids of a text; ``known`` remembers parts already segmented under the same key."""
+
+def skips(key: bytes, n: int, dropout: float) -> np.ndarray:
+    """Which of range(n) are skipped under this key, sorted: those whose hash falls below the dropout."""
+    digest = xxhash.xxh3_128_intdigest(key)
+    base, step, limit = np.uint64(digest >> 64), np.uint64(digest & (1 << 64) - 1 | 1), np.uint64(int(dropout * (1 << 53)))
+    out = [np.zeros(0, np.int64)]
+    for lo in range(0, n, 1 << 15):
+        x = mixed(base + np.arange(lo, min(n, lo + (1 << 15)), dtype=np.uint64) * step)
+        out.append(np.flatnonzero(x >> np.uint64(11) < limit) + lo)
+    return np.concatenate(out)
+
+
+def encode(v: Vocabulary, text: str, dropout: float = 0.0, key: bytes = b"") -> list[int]:
+    """The ids of a text."""
     if not text:
         return []
-    out: list[int] = []
+    parts: list[str] = []
     for k, piece in enumerate(text.split(SPACE)):
         if k:  # a mark that the text itself holds is no space
-            out += [v.byte_ids[b] for b in SPACE.encode()]
+            parts.append("")
         marked = piece.replace(" ", SPACE)
-        for part in _PARTS.findall(SPACE + marked if k == 0 else marked):
-            ids = None if known is None else known.get(part)
-            if ids is None:
-                ids = segment(v, part, dropout, key)
-                if known is not None:
-                    known[part] = ids
-            out += ids
+        parts += _PARTS.findall(SPACE + marked if k == 0 else marked)
+    ends = np.cumsum(np.fromiter(map(len, parts), np.int64, len(parts))) * DRAWS
+    at = skips(key, int(ends[-1]), dropout) if dropout else np.zeros(0, np.int64)
+    cuts = np.searchsorted(at, ends)
+    # numbered within each part
+    at = (at - np.repeat(np.concatenate([[0], ends[:-1]]), np.diff(cuts, prepend=0))).tolist()
+    if v.known.count > REMEMBERED:
+        v.known.clear()
+    known, new, out, lo = v.known.roots, v.known.node, [], 0
+    for part, hi in zip(parts, cuts.tolist(), strict=True):
+        node = known.get(part)
+        if node is None:
+            if len(part) > SHORT:
+                out += segment(v, part, frozenset(at[lo:hi]))[0]
+                lo = hi
+                continue
+            node = known[part] = new(part, ())
+        for d in at[lo:hi]:
+            if d >= node[1]:
+                break
+            below = node[3].get(d)
+            if below is None:
+                below = node[3][d] = new(part, (*node[2], d))
+            node = below
+        lo = hi
+        out += node[0]
     return out
 
 
 def decode(v: Vocabulary, ids: list[int]) -> str:
     """The text of ids that `encode` gave."""
-    raw = b"".join(bytes([v.bytes[i]]) if i in v.bytes else v.pieces[i].replace(SPACE, " ").encode() for i in ids)
-    return raw.decode("utf-8", "surrogatepass")[1:]  # without the space that every text is given in front
+    return b"".join([v.raw[i] for i in ids]).decode("utf-8", "surrogatepass")[1:]  # without the space that every text is given in front
 
 
-def _encoded(path: str, dropout: float, seed: int, variants: int, most: int = 300_000):
+def _encoded(path: str, dropout: float, seed: int):
     def run(batches):
-        v, known = vocabulary(path), [{} for _ in range(variants)]
+        v = vocabulary(path)
         for texts, ids in blocks(batches, 2):
             rows = []
             for text, doc in zip(texts, ids, strict=True):
-                variant = zlib.crc32(str(doc).encode()) % variants
-                if len(known[variant]) > most:
-                    known[variant].clear()
                 text = text or ""
-                got = encode(v, text, dropout, f"{seed}/{variant}/".encode(), known[variant])
+                raw = text.encode("utf-8", "surrogatepass")
+                # with the text, so that documents of null or repeated ids draw on their own
+                got = encode(v, text, dropout, f"{seed}/{doc}/".encode() + raw)
                 back = decode(v, got)
-                rows.append((doc, len(text.encode("utf-8", "surrogatepass")), len(got), zlib.crc32(np.array(got, "<u4").tobytes()), hashlib.sha256(back.encode("utf-8", "surrogatepass")).hexdigest()))
+                rows.append((doc, len(raw), len(got), zlib.crc32(np.array(got, "<u4").tobytes()), hashlib.sha256(back.encode("utf-8", "surrogatepass")).hexdigest()))
             kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string()]
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], ["doc_id", "n_bytes", "n_tokens", "ids_crc32", "decoded_sha256"])
 
     return run
 
 
-def encode_documents(docs: DataFrame, path: str, *, dropout: float = DROPOUT, seed: int = 0, variants: int = VARIANTS) -> DataFrame:
+def encode_documents(docs: DataFrame, path: str, *, dropout: float = DROPOUT, seed: int = 0) -> DataFrame:
     """(doc_id, n_bytes, n_tokens, ids_crc32, decoded_sha256) of every row, the last over the decoded text.
 
     path: a SentencePiece BPE file with byte fallback, on every executor. seed: another one gives other
-    segmentations; so does another variant, of which the doc_id chooses one. Null texts are empty and
+    segmentations; so does another document or another place in it. Null texts are empty and
     have no ids; equal rows have equal results; no rows give no rows.
     """
-    return docs.select("text", F.col("doc_id").cast("long")).mapInArrow(_encoded(path, dropout, seed, variants), "doc_id long, n_bytes long, n_tokens long, ids_crc32 long, decoded_sha256 string")
+    return docs.select("text", F.col("doc_id").cast("long")).mapInArrow(_encoded(path, dropout, seed), "doc_id long, n_bytes long, n_tokens long, ids_crc32 long, decoded_sha256 string")
 
 
 def op3_merge_dropout(spark: SparkSession, sf_dir: str, model: str = "piece_bpe_32k.model") -> DataFrame:

@@ -102,6 +102,40 @@ def test_merge_dropout(docs, none, texts):
     assert merge_dropout.encode_documents(none, path).count() == 0
 
 
+def test_each_occurrence_draws_its_own_merges(spark):
+    """Cuts of a word vary within and between documents, at the rate of the dropout, as one by one."""
+    import public_tokenizers
+
+    path = public_tokenizers.path("piece_bpe_32k.model")
+    v = merge_dropout.vocabulary(path)
+    word = "international"
+    plain = merge_dropout.segment(v, "▁" + word)[0]
+    whole = sum(v.model.encode(word, enable_sampling=True, alpha=0.1) == plain for _ in range(2000)) / 2000
+    ids = merge_dropout.encode(v, " ".join([word] * 500), 0.1, b"k")
+    cuts, own = [], []
+    for i in ids:
+        if v.pieces[i].startswith("▁") and own:
+            cuts.append(tuple(own))
+            own = []
+        own.append(i)
+    cuts.append(tuple(own))
+    assert len(cuts) == 500 and len(set(cuts)) > 20
+    assert cuts.count(tuple(plain)) / 500 == pytest.approx(whole, abs=0.1)  # as often as the library's own sampling
+    text = "one international\nexample▁of some  words " + "x" * 40
+    at, want = 0, []
+    for k, piece in enumerate(text.split("▁")):
+        want += [v.byte_ids[b] for b in "▁".encode()] if k else []
+        for part in merge_dropout._PARTS.findall("▁" * (k == 0) + piece.replace(" ", "▁")):
+            skipped = set(merge_dropout.skips(b"k", 10_000, 0.3).tolist())
+            want += merge_dropout.segment(v, part, {d - 3 * at for d in skipped})[0]
+            at += len(part)
+    assert merge_dropout.encode(v, text, 0.3, b"k") == want
+    same = spark.createDataFrame([(i, f"the {word} trade of {word} goods") for i in range(200)] + [(None, "a b")], "doc_id long, text string")
+    got = merge_dropout.encode_documents(same, path).collect()
+    assert len({r["ids_crc32"] for r in got}) > 40
+    assert set(got) == set(merge_dropout.encode_documents(same.repartition(3), path).collect())
+
+
 def test_quality(spark, docs, none):
     rng = random.Random(1)
     good = [(i, prose(rng, 60)) for i in range(200)]
