@@ -32,7 +32,7 @@ LIGHT, BLOCK = 32, 256
 AGREEING, NEAR_PX = 4, 2.0
 #: Rows of heavy keys up to which they are broadcast.
 MOST_BROADCAST = 10_000
-#: Transforms tried for a pair of images at most; beyond it the pairs of matches are taken at even strides.
+#: Pairs of matches whose transforms are tried at a time.
 TRIES = 4096
 _HEAD = re.compile(rb"P([56])(?:\s|#[^\n]*\n)+(\d+)(?:\s|#[^\n]*\n)+(\d+)(?:\s|#[^\n]*\n)+255\s")
 
@@ -247,56 +247,54 @@ def _matched(batches):
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*out, strict=True)], ["a", "b", "at_a", "at_b"])
 
 
-def agreeing(ga: np.ndarray, gb: np.ndarray) -> int:
-    """Most matches, of different points in both images, that one similarity transform explains."""
+def agreeing(ga: np.ndarray, gb: np.ndarray, enough: int | None = None) -> int:
+    """Most matches, of different points in both images, that one similarity transform explains; the first count that is ``enough`` ends the search."""
     (za, ta), (zb, tb) = unpacked(ga), unpacked(gb)
     m = len(za)
     if m < 2:
         return m
-    if m * (m - 1) // 2 <= TRIES:
-        i, j = np.triu_indices(m, 1)
-    else:
-        strides = np.unique(np.linspace(1, m // 2, max(1, TRIES // m)).astype(int))
+    turn = np.exp(1j * (tb - ta))
+    best, step = 0, max(1, TRIES // m)
+    for first in range(1, m // 2 + 1, step):  # all pairs, by how far they lie apart in the order of matches
+        strides = np.arange(first, min(first + step, m // 2 + 1))
         i = np.tile(np.arange(m), len(strides))
         j = (i + np.repeat(strides, m)) % m
-    away = np.abs(za[i] - za[j]) > 4
-    i, j = i[away], j[away]
-    if not len(i):
-        return 0
-    alpha = (zb[i] - zb[j]) / (za[i] - za[j])
-    turn = np.exp(1j * (tb - ta))
-    fits = (np.abs(alpha) > 0.3) & (np.abs(alpha) < 3.3)
-    unit = alpha / np.maximum(np.abs(alpha), 1e-9)
-    fits &= ((unit.conj() * turn[i]).real > 0.9) & ((unit.conj() * turn[j]).real > 0.9)
-    i, alpha, unit = i[fits], alpha[fits], unit[fits]
-    best = 0
-    for lo in range(0, len(i), 512):
-        x, u = alpha[lo : lo + 512, None], unit[lo : lo + 512, None]
-        ok = (np.abs(x * (za - za[i[lo : lo + 512], None]) + zb[i[lo : lo + 512], None] - zb) <= NEAR_PX * np.maximum(1, np.abs(x))) & ((u.conj() * turn).real > 0.9)
-        n = ok.sum(1)
-        for k in np.argsort(-n, kind="stable"):
-            if n[k] <= best:
-                break
-            own = ok[k]
-            best = max(best, min(len(np.unique(np.rint(za[own] / 2))), len(np.unique(np.rint(zb[own] / 2)))))
+        away = np.abs(za[i] - za[j]) > 4
+        i, j = i[away], j[away]
+        alpha = (zb[i] - zb[j]) / (za[i] - za[j])
+        fits = (np.abs(alpha) > 0.3) & (np.abs(alpha) < 3.3)
+        unit = alpha / np.maximum(np.abs(alpha), 1e-9)
+        fits &= ((unit.conj() * turn[i]).real > 0.9) & ((unit.conj() * turn[j]).real > 0.9)
+        i, alpha, unit = i[fits], alpha[fits], unit[fits]
+        for lo in range(0, len(i), 512):
+            x, u = alpha[lo : lo + 512, None], unit[lo : lo + 512, None]
+            ok = (np.abs(x * (za - za[i[lo : lo + 512], None]) + zb[i[lo : lo + 512], None] - zb) <= NEAR_PX * np.maximum(1, np.abs(x))) & ((u.conj() * turn).real > 0.9)
+            n = ok.sum(1)
+            for k in np.argsort(-n, kind="stable"):
+                if n[k] <= best:
+                    break
+                own = ok[k]
+                best = max(best, min(len(np.unique(np.rint(za[own] / 2))), len(np.unique(np.rint(zb[own] / 2)))))
+                if enough is not None and best >= enough:
+                    return best
     return best
 
 
 def _verified(batches):
-    """Matches sorted by (a, b) to links (u, v, agreeing)."""
+    """Matches sorted by (a, b) to links (u, v)."""
     for (a, b, ga, gb), lo, hi in runs(batches, 4, 2):
         out = []
         for s, e in zip(lo, hi, strict=True):
             if e - s >= AGREEING:
                 both = np.unique(np.stack([ga[s:e], gb[s:e]]), axis=1)
-                if both.shape[1] >= AGREEING and (n := agreeing(*both)) >= AGREEING:
-                    out.append((a[s], b[s], n))
+                if both.shape[1] >= AGREEING and agreeing(*both, AGREEING) >= AGREEING:
+                    out.append((a[s], b[s]))
         if out:
-            yield pa.RecordBatch.from_arrays([pa.array(np.array(c, np.int64)) for c in zip(*out, strict=True)], ["u", "v", "agreeing"])
+            yield pa.RecordBatch.from_arrays([pa.array(np.array(c, np.int64)) for c in zip(*out, strict=True)], ["u", "v"])
 
 
 def links(points: DataFrame) -> DataFrame:
-    """(u, v, agreeing) of linked images from (rep, points), one row for each different image."""
+    """(u, v) of linked images from (rep, points), one row for each different image."""
     keys = points.mapInArrow(_posted(False), "key long")
     heavy = written(keys.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > LIGHT), "heavy").select(F.col("key").alias("heavy_key"), F.pow(2.0, F.ceil(F.log2(F.ceil(F.col("n") / BLOCK)))).cast("int").alias("blocks"))
     if heavy.count() <= MOST_BROADCAST:
@@ -309,7 +307,7 @@ def links(points: DataFrame) -> DataFrame:
     sub = F.when(F.col("other") < 0, F.lit(-1).cast("long")).otherwise(F.shiftleft(F.least("block", "other"), 32).bitwiseOR(F.greatest("block", "other")))
     rows = rows.select("key", sub.alias("sub"), "rep", F.when(F.col("block") > F.col("other"), F.col("at").bitwiseOR(F.lit(_SECOND))).otherwise(F.col("at")).alias("at"), "d1", "d2")
     found = rows.repartition("key", "sub").sortWithinPartitions("key", "sub").mapInArrow(_matched, "a long, b long, at_a long, at_b long")
-    return found.repartition("a", "b").sortWithinPartitions("a", "b").mapInArrow(_verified, "u long, v long, agreeing long")
+    return found.repartition("a", "b").sortWithinPartitions("a", "b").mapInArrow(_verified, "u long, v long")
 
 
 def copies(images: DataFrame, id_column: str = "image_id", image_column: str = "image") -> DataFrame:

@@ -365,6 +365,19 @@ def test_heavy_keys_keep_classes(spark, monkeypatch, broadcast):
     assert sum(r["class_id"] == 0 for r in dealt.values()) >= 51
 
 
+def test_few_of_many_matches_agree():
+    """Four matches of one transform are found wherever they stand among many others."""
+    rng = np.random.default_rng(4)
+    place = lambda: rng.uniform(0, 4000, 400) + 1j * rng.uniform(0, 4000, 400)
+    za, zb, ta, tb = place(), place(), rng.uniform(0, 6.2, 400), rng.uniform(0, 6.2, 400)
+    none = media.agreeing(media.packed(za, ta), media.packed(zb, tb))
+    own = np.array([0, 2, 5, 11])  # none of ten even strides lies between two of these
+    zb[own], tb[own] = za[own] + 30 + 40j, ta[own]
+    got = media.agreeing(media.packed(za, ta), media.packed(zb, tb))
+    assert none < media.AGREEING <= got
+    assert media.agreeing(media.packed(za, ta), media.packed(zb, tb), 4) == 4
+
+
 def test_odd_images(spark):
     x = np.random.default_rng(1).integers(0, 256, (60, 70), dtype=np.uint8)
     colour = b"P6 # made here\n70 60\n255\n" + np.repeat(x[:, :, None], 3, 2).tobytes()
