@@ -4,7 +4,7 @@ Corners of several scales get an orientation from the centroid of their patch an
 by it. Each of several tables holds a fixed choice of the bits as key; descriptors of one key that differ
 in few bits are matches, and two images are linked when enough matches agree on one similarity transform.
 Images of equal pixels are described and matched once. A key with many holders is dealt out in pairs of
-blocks, and in each of these an image is matched with the smallest it resembles, not with all.
+blocks, which hold all its matches; a match that several tables hit is passed on by the first of them.
 """
 
 from __future__ import annotations
@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import written
-from .components import components, roots
+from .components import components, forest
 
 #: Radius of the patch that is described, bits of a descriptor, levels and the step from each to the next.
 RADIUS, BITS, LEVELS, STEP = 14, 128, 4, 2**0.25
@@ -218,33 +218,48 @@ def runs(batches, cols: int, same: int):
         yield rest, np.array([0]), np.array([len(rest[0])])
 
 
+#: Bits of each table's key, as those of d1 and d2.
+_MASKS = [np.packbits(np.isin(np.arange(BITS), c)).view("<i8") for c in _CHOICE]
+#: Pairs of descriptors that are compared at a time.
+_COMPARED = 1 << 20
+
+
 def _matched(batches):
     """Rows (key, sub, rep, at, d1, d2), sorted by the first two, to matches (a, b, at_a, at_b).
 
     sub: -1, or blocks i and j of a heavy key as i << 32 | j; _SECOND then marks the members of j in at.
     """
     for cols, lo, hi in runs(batches, 6, 2):
-        out = []
+        out, held = [], 0
         for s, e in zip(lo[hi - lo > 1], hi[hi - lo > 1], strict=True):
-            _, sub, rep, at, d1, d2 = (c[s:e] for c in cols)
-            far = np.bitwise_count(d1[:, None] ^ d1) + np.bitwise_count(d2[:, None] ^ d2)
-            good = (far <= FARTHEST) & (rep[:, None] < rep)
-            if sub[0] >= 0 and sub[0] >> 32 != sub[0] & 0xFFFFFFFF:
-                second = at & _SECOND != 0
-                good &= second[:, None] != second
-            a, b = np.nonzero(good)
-            if sub[0] >= 0 and len(a):  # of a pair of blocks, each with the smallest that it hangs together with
-                order = np.argsort(rep, kind="stable")
-                place = np.empty(e - s, np.int64)
-                place[order] = np.arange(e - s)
-                root = roots(e - s, place[a], place[b])
-                inner = np.flatnonzero(root != np.arange(e - s))
-                a, b = order[root[inner]], order[inner]
-                a, b = a[rep[a] != rep[b]], b[rep[a] != rep[b]]
-            if len(a):
-                out.append((rep[a], rep[b], at[a] & ~_SECOND, at[b] & ~_SECOND))
+            key, sub, rep, at, d1, d2 = (c[s:e] for c in cols)
+            apart = sub[0] >= 0 and sub[0] >> 32 != sub[0] & 0xFFFFFFFF
+            second = at & _SECOND != 0
+            step = max(1, _COMPARED // (e - s))
+            for k in range(0, e - s, step):
+                own = slice(k, k + step)
+                far = np.bitwise_count(d1[own, None] ^ d1) + np.bitwise_count(d2[own, None] ^ d2)
+                good = (far <= FARTHEST) & (rep[own, None] < rep)
+                if apart:
+                    good &= second[own, None] != second
+                a, b = np.nonzero(good)
+                a += k
+                x1, x2 = d1[a] ^ d1[b], d2[a] ^ d2[b]
+                for m1, m2 in _MASKS[: key[0] >> KEY_BITS]:  # an earlier table has it too
+                    new = (x1 & m1) | (x2 & m2) != 0
+                    a, b, x1, x2 = a[new], b[new], x1[new], x2[new]
+                if len(a):
+                    out.append((rep[a], rep[b], at[a] & ~_SECOND, at[b] & ~_SECOND))
+                    held += len(a)
+                if held > _COMPARED:
+                    yield _batch(out, ["a", "b", "at_a", "at_b"])
+                    out, held = [], 0
         if out:
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*out, strict=True)], ["a", "b", "at_a", "at_b"])
+            yield _batch(out, ["a", "b", "at_a", "at_b"])
+
+
+def _batch(rows: list[tuple], names: list[str]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*rows, strict=True)], names)
 
 
 def agreeing(ga: np.ndarray, gb: np.ndarray, enough: int | None = None) -> int:
@@ -280,8 +295,8 @@ def agreeing(ga: np.ndarray, gb: np.ndarray, enough: int | None = None) -> int:
     return best
 
 
-def _verified(batches):
-    """Matches sorted by (a, b) to links (u, v)."""
+def _found(batches):
+    """Matches sorted by (a, b) to the linked pairs u, v, many at a time."""
     for (a, b, ga, gb), lo, hi in runs(batches, 4, 2):
         out = []
         for s, e in zip(lo, hi, strict=True):
@@ -290,11 +305,42 @@ def _verified(batches):
                 if both.shape[1] >= AGREEING and agreeing(*both, AGREEING) >= AGREEING:
                     out.append((a[s], b[s]))
         if out:
-            yield pa.RecordBatch.from_arrays([pa.array(np.array(c, np.int64)) for c in zip(*out, strict=True)], ["u", "v"])
+            yield np.array(out, np.int64).T
+
+
+def _verified(batches):
+    """Matches sorted by (a, b) to links (u, v)."""
+    for u, v in _found(batches):
+        yield pa.RecordBatch.from_arrays([pa.array(u), pa.array(v)], ["u", "v"])
+
+
+def _summed(batches):
+    """Matches sorted by (a, b) to (u, v, n_links): a forest that connects what the links connect, with null n_links, and how many links each picture u has, with null v."""
+    held: list[np.ndarray] = []
+
+    def batch():
+        u, v = np.concatenate(held, axis=1)
+        ends, n = np.unique(np.concatenate([u, v]), return_counts=True)
+        a, b = forest(u, v)
+        no, none = pa.nulls(len(ends), pa.int64()), pa.nulls(len(a), pa.int64())
+        return pa.RecordBatch.from_arrays([pa.array(np.concatenate([a, ends])), pa.concat_arrays([pa.array(b), no]), pa.concat_arrays([none, pa.array(n)])], ["u", "v", "n_links"])
+
+    for found in _found(batches):
+        held.append(found)
+        if sum(x.shape[1] for x in held) > _COMPARED:
+            yield batch()
+            held.clear()
+    if held:
+        yield batch()
 
 
 def links(points: DataFrame) -> DataFrame:
     """(u, v) of linked images from (rep, points), one row for each different image."""
+    return matches(points).mapInArrow(_verified, "u long, v long")
+
+
+def matches(points: DataFrame) -> DataFrame:
+    """(a, b, at_a, at_b) of matching descriptors from (rep, points), those of a pair of images together."""
     keys = points.mapInArrow(_posted(False), "key long")
     heavy = written(keys.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > LIGHT), "heavy").select(F.col("key").alias("heavy_key"), F.pow(2.0, F.ceil(F.log2(F.ceil(F.col("n") / BLOCK)))).cast("int").alias("blocks"))
     if heavy.count() <= MOST_BROADCAST:
@@ -307,14 +353,13 @@ def links(points: DataFrame) -> DataFrame:
     sub = F.when(F.col("other") < 0, F.lit(-1).cast("long")).otherwise(F.shiftleft(F.least("block", "other"), 32).bitwiseOR(F.greatest("block", "other")))
     rows = rows.select("key", sub.alias("sub"), "rep", F.when(F.col("block") > F.col("other"), F.col("at").bitwiseOR(F.lit(_SECOND))).otherwise(F.col("at")).alias("at"), "d1", "d2")
     found = rows.repartition("key", "sub").sortWithinPartitions("key", "sub").mapInArrow(_matched, "a long, b long, at_a long, at_b long")
-    return found.repartition("a", "b").sortWithinPartitions("a", "b").mapInArrow(_verified, "u long, v long")
+    return found.repartition("a", "b").sortWithinPartitions("a", "b")
 
 
 def copies(images: DataFrame, id_column: str = "image_id", image_column: str = "image") -> DataFrame:
     """(image_id, n_points, n_links, class_id) of every row: its corners, its links to other pictures, the smallest id among its copies.
 
-    A group of near copies is linked through its smallest pictures where it fills whole keys, so n_links counts
-    verified links, not all pairs. Images of equal pixels are one picture and share all three results. Nulls, empty values and what is no
+    n_links counts all verified links, however many pictures share a key. Images of equal pixels are one picture and share all three results. Nulls, empty values and what is no
     8-bit PGM or PPM have null n_points and n_links and are their own class; a picture with too few corners
     has no links. A null id has the class of its picture, null where no row of it has an id, and then stays
     unlinked. Repeated rows have equal results, no rows give no rows, other columns are not read.
@@ -322,9 +367,9 @@ def copies(images: DataFrame, id_column: str = "image_id", image_column: str = "
     own = written(images.select(F.col(id_column).cast("long").alias("image_id"), F.col(image_column).alias("image")).mapInArrow(_described, "image_id long, digest binary, points binary"), "points")
     reps = own.where("digest is not null").groupBy("digest").agg(F.min("image_id").alias("rep"), F.first("points").alias("points"))
     reps = written(reps, "pictures")
-    found = written(links(reps.where("rep is not null").select("rep", "points")), "image-links")
-    roots_ = components(found)
-    each = found.select(F.explode(F.array("u", "v")).alias("linked")).groupBy("linked").agg(F.count("*").alias("n_links"))
+    found = written(matches(reps.where("rep is not null").select("rep", "points")).mapInArrow(_summed, "u long, v long, n_links long"), "image-links")
+    roots_ = components(found.where("v is not null").select("u", "v"))
+    each = found.where("v is null").groupBy(F.col("u").alias("linked")).agg(F.sum("n_links").alias("n_links"))
     pictures = reps.select("digest", "rep").join(roots_, F.col("rep") == F.col("node"), "left").join(each, F.col("rep") == F.col("linked"), "left")
     pictures = pictures.select(F.col("digest").alias("picture"), F.coalesce("root", "rep").alias("class"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
     out = own.select("image_id", "digest", (F.length("points") / _POINT).cast("long").alias("n_points")).join(pictures, F.col("digest") == F.col("picture"), "left")

@@ -365,6 +365,22 @@ def test_heavy_keys_keep_classes(spark, monkeypatch, broadcast):
     assert sum(r["class_id"] == 0 for r in dealt.values()) >= 51
 
 
+def test_heavy_keys_keep_links(spark, monkeypatch):
+    """All pairs of a group of near copies are verified, whatever is dealt out in blocks."""
+    drawn = media.rendered(vectors(spark, 10, near=50))
+    dealt = []
+    for light, block, compared in ((32, 256, 1 << 20), (4, 8, 1 << 20), (1000, 256, 50)):
+        monkeypatch.setattr(media, "LIGHT", light)
+        monkeypatch.setattr(media, "BLOCK", block)
+        monkeypatch.setattr(media, "_COMPARED", compared)
+        dealt.append({r["image_id"]: (r["n_links"], r["class_id"]) for r in media.copies(drawn).collect()})
+    assert dealt[0] == dealt[1] == dealt[2]
+    assert all(dealt[0][2 * i][0] >= 50 for i in range(10, 60))
+    described = drawn.mapInArrow(media._described, "image_id long, digest binary, points binary").where("digest is not null")
+    each = collections.Counter(x for r in media.links(described.selectExpr("image_id AS rep", "points")).collect() for x in r)
+    assert {i: n for i, (n, _) in dealt[0].items() if n} == each
+
+
 def test_few_of_many_matches_agree():
     """Four matches of one transform are found wherever they stand among many others."""
     rng = np.random.default_rng(4)
