@@ -331,7 +331,8 @@ def link_components(docs: DataFrame, percent: int = PERCENT, width: int = WIDTH,
     wanted = written(sized.join(totals, keys).select("node", "doc_id", "th", "g", F.ceil(F.col("tokens") / GROUP_TOKENS).cast("int").alias("parts")), "candidates")
     n_wanted, most = wanted.agg(F.count(F.lit(1)), F.coalesce(F.max("parts"), F.lit(1))).first()
     side = F.broadcast(wanted) if n_wanted <= BROADCAST_ROWS else wanted
-    some = keyed.join(side, ["doc_id", "th"])
+    side = side.withColumnsRenamed({"doc_id": "node_id", "th": "node_th"})
+    some = keyed.join(side, keyed["doc_id"].eqNullSafe(side["node_id"]) & (keyed["th"] == side["node_th"]))
     if most > 1:  # a large group: each pair of its blocks is verified on its own
         block = F.pmod(F.xxhash64("node"), F.col("parts")).cast("int")
         pairs = F.explode(F.transform(F.sequence(F.lit(0), F.col("parts") - 1), lambda k: F.struct(F.col("g"), F.least(block, k).alias("a"), F.greatest(block, k).alias("b"))))

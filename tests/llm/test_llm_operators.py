@@ -299,6 +299,16 @@ def test_jaccard(docs, none, texts, monkeypatch, spelt, group):
         assert jaccard.one_of_each(docs).count() == len(set(c for _, c in got.values()))
 
 
+def test_jaccard_of_null_ids(spark):
+    """A row without an id that comes first among its equal texts still links them to near copies."""
+    base = prose(random.Random(8), 100)
+    one = spark.createDataFrame([(None, base), (7, base), (7, base)], "doc_id long, text string").coalesce(1)
+    two = spark.createDataFrame([(2, base + " tail"), (3, base + " end")], "doc_id long, text string").coalesce(1)
+    for d in (one.union(two), two.union(one), one.union(two).coalesce(1)):
+        got = jaccard.link_components(d).collect()
+        assert len(got) == 5 and {r["component_id"] for r in got} == {2}
+
+
 def test_components(spark):
     rng = np.random.default_rng(1)
     u, v = rng.integers(0, 300, 250), rng.integers(0, 300, 250)
