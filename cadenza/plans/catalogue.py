@@ -256,7 +256,7 @@ def spherical_kmeans_2iter(spark, sf_dir):
 
 @query()
 def kmeans(spark, sf_dir):
-    return clusters.kmeans(_tracks(spark, sf_dir), 8, starts=2)
+    return clusters.kmeans(_tracks(spark, sf_dir), 8)
 
 
 @query()

@@ -47,3 +47,16 @@ def test_the_rest_stands_without_the_pipeline():
     for p in root.rglob("*.py"):
         if "llm" not in p.relative_to(root).parts:
             assert "llm" not in p.read_text(), p
+
+
+def test_kmeans_takes_all_starts(monkeypatch, spark):
+    """The query leaves out none of the operator's restarts."""
+    import inspect
+
+    from cadenza.operators import clusters
+
+    kmeans, used = inspect.signature(clusters.kmeans), []
+    monkeypatch.setattr(clusters, "kmeans", lambda *a, **b: used.append(kmeans.bind(*a, **b)))
+    plans.queries()["kmeans"](spark, DATA)
+    used[0].apply_defaults()
+    assert used[0].arguments["starts"] == 10
