@@ -62,6 +62,17 @@ def blocks(batches, cols: int, chars: int = BLOCK_CHARS, rows: int = 60_000):
         yield held
 
 
+def fresh(taken: list[str], *names: str) -> list[str]:
+    """The names, each with underscores at its end until no column of ``taken`` is called so, in either case."""
+    used, out = {c.lower() for c in taken}, []
+    for name in names:
+        while name.lower() in used:
+            name += "_"
+        used.add(name.lower())
+        out.append(name)
+    return out
+
+
 class WordHashes(dict):
     """Word to 64-bit hash, remembered for at most ``most`` words."""
 

@@ -4,47 +4,49 @@ A byte is removed if a string of ``MIN_LEN`` bytes that covers it also starts ea
 large for one suffix array, so equal strings are first brought together without moving texts: every
 window of MIN_LEN bytes is named by the smallest hash of its K-byte strings, and consecutive windows of
 one name form a run. Equal windows have equal names, wherever they are. Runs travel as packed numbers
-to the bucket of their name; runs that are equal as a whole (by a hash of all bytes of their windows) need no
-further look, the earliest stays. Only where a name has runs that differ, or may repeat within
-itself, are their bytes fetched; whole names are then gathered to blocks, and each block gets a suffix
-order and its BWT. Breadth-first backward extension of intervals finds the common prefixes of
-neighbours by increasing value and stops at MIN_LEN: the boundaries that it has not reached by then
-separate suffixes with MIN_LEN or more bytes in common.
+to the bucket of their name; runs that are equal as a whole (by 128 bits of hash over all bytes of their
+windows) are copies of one context, of which the earliest stays. Only where a name has runs that
+differ, or may repeat within itself, are their bytes fetched, by one shuffle of the texts that the result
+uses again; whole names are then gathered to blocks, and each block gets a suffix order and its BWT.
+Breadth-first backward extension of intervals finds the common prefixes of neighbours by increasing
+value and stops at MIN_LEN: the boundaries that it has not reached by then separate suffixes with
+MIN_LEN or more bytes in common. A name with more than ``HOT`` runs, as at the edges of a passage that many
+documents share, is split by hashes of its windows over many tasks, where equal bytes are told by comparison.
 """
 
 from __future__ import annotations
 
 import hashlib
 import math
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import blocks, documents, mixed, written
+from .common import blocks, documents, fresh, mixed, written
 
 MIN_LEN, K = 100, 32
 DOCS_A_BUCKET = 4096
-#: Bytes of contexts in a block; a name with more than LARGE bytes is grouped by hashes of its windows instead.
-BLOCK_BYTES, LARGE = 1_000_000, 16_000_000
-BROADCAST_ROWS = 1_000_000
-_LETTERS = np.random.default_rng(20240229).integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-_BASE = 0x9E3779B97F4A7C15 | 1
-_INVERSE = pow(_BASE, -1, 1 << 64)
-_POWERS: list[np.ndarray] = []
+#: Bytes of contexts in a block, and runs of a name, of 168 bytes at most, that one task gathers.
+BLOCK_BYTES, HOT = 1_000_000, 2048
+_LETTERS = np.random.default_rng(20240229).integers(1, 1 << 63, (2, 256), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+_BASES = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
+_POWERS: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
 
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    if not _POWERS or len(_POWERS[0]) < n:
+def _powers(n: int, j: int = 0) -> tuple[np.ndarray, np.ndarray]:
+    """Powers of base j and of its inverse modulo 2**64."""
+    if j not in _POWERS or len(_POWERS[j][0]) < n:
         m = max(1 << 17, 1 << n.bit_length())
-        _POWERS[:] = [np.cumprod(np.concatenate([np.ones(1, np.uint64), np.full(m - 1, x, np.uint64)])) for x in (_BASE, _INVERSE)]
-    return _POWERS[0], _POWERS[1]
+        _POWERS[j] = tuple(np.cumprod(np.concatenate([np.ones(1, np.uint64), np.full(m - 1, x, np.uint64)])) for x in (_BASES[j], pow(_BASES[j], -1, 1 << 64)))
+    return _POWERS[j]
 
 
-def prefix_hashes(b: np.ndarray) -> np.ndarray:
-    """S with (S[j] - S[i]) * base**-i the polynomial hash of b[i:j] modulo 2**64."""
-    return np.concatenate([np.zeros(1, np.uint64), np.cumsum(_LETTERS[b] * _powers(len(b) + 1)[0][: len(b)])])
+def prefix_hashes(b: np.ndarray, j: int = 0) -> np.ndarray:
+    """S with (S[j] - S[i]) * base**-i the polynomial hash of b[i:j] modulo 2**64, under one of two bases."""
+    return np.concatenate([np.zeros(1, np.uint64), np.cumsum(_LETTERS[j][b] * _powers(len(b) + 1, j)[0][: len(b)])])
 
 
 def _sliding(x: np.ndarray, width: int, f) -> np.ndarray:
@@ -59,17 +61,17 @@ def _sliding(x: np.ndarray, width: int, f) -> np.ndarray:
 
 
 def runs(texts: list[bytes], min_len: int = MIN_LEN, k: int = K):
-    """(doc, lo, windows, name, whole, again) of all runs of consecutive windows with one name, as arrays.
+    """(doc, lo, windows, name, whole, other, again) of all runs of consecutive windows with one name, as arrays.
 
     doc: index in ``texts``; lo: first window's start; windows: how many, at most min_len - k + 1; name:
-    the smallest hash of k bytes; whole: hash of all bytes of the windows; again: whether a window
-    might occur twice in the run.
+    the smallest hash of k bytes; whole, other: two hashes of all bytes of the windows; again: whether a
+    window might occur twice in the run.
     """
     w = min_len - k + 1
     size = np.array([len(t) for t in texts], np.int64)
     b = np.frombuffer(b"".join(texts), np.uint8)
     n = len(b)
-    empty = [np.zeros(0, t) for t in (np.int64, np.int64, np.int64, np.uint64, np.uint64, bool)]
+    empty = [np.zeros(0, t) for t in (np.int64, np.int64, np.int64, np.uint64, np.uint64, np.uint64, bool)]
     if n < min_len or size.max() < min_len:
         return empty
     begin = np.cumsum(size) - size
@@ -99,8 +101,10 @@ def runs(texts: list[bytes], min_len: int = MIN_LEN, k: int = K):
         lo = np.repeat(lo, parts) + inner * w
         count = np.minimum(left, w)
     end = lo + count - 1 + min_len
-    whole = mixed((sums[end] - sums[lo]) * inverse[lo] + count.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
-    return [doc[lo], lo - begin[doc[lo]], count, m[lo], whole, again]
+    salt = count.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93)
+    more = prefix_hashes(b, 1)
+    whole, other = (mixed((x[end] - x[lo]) * y[lo] + salt) for x, y in ((sums, inverse), (more, _powers(n + 1, 1)[1])))
+    return [doc[lo], lo - begin[doc[lo]], count, m[lo], whole, other, again]
 
 
 def suffix_order(t: np.ndarray, depth: int) -> np.ndarray:
@@ -204,18 +208,6 @@ def _later(group, ctx, at, order_of, lo):
     return ctx[later], at[later]
 
 
-def repeated_by_hash(contexts, order_of, lo, windows, min_len=MIN_LEN):
-    """As `repeated`, by a hash of each window; for a name with so many contexts that they make no block."""
-    hashes, ctx, at = [], [], []
-    for k, c in enumerate(contexts):
-        s = prefix_hashes(np.frombuffer(c, np.uint8))
-        n = int(windows[k])
-        hashes.append(mixed((s[min_len : min_len + n] - s[:n]) * _powers(n)[1][:n]))
-        ctx.append(np.full(n, k))
-        at.append(np.arange(n))
-    return _later(np.concatenate(hashes), np.concatenate(ctx), np.concatenate(at), order_of, lo)
-
-
 _RUN = "kind int, bucket long, name long, ord long, lo int, windows int, n int, payload binary"
 _RUN_NAMES = ["kind", "bucket", "name", "ord", "lo", "windows", "n", "payload"]
 _RUN_KINDS = [pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.binary()]
@@ -252,12 +244,12 @@ def _spread(n_buckets: int, min_len: int, k: int):
                 part[0] += at
                 got.append(part)
                 at = end
-            doc, lo, windows, name, whole, again = (np.concatenate(x) for x in zip(*got, strict=True))
+            doc, lo, windows, name, whole, other, again = (np.concatenate(x) for x in zip(*got, strict=True))
             if not len(doc):
                 continue
             doc = np.array(ords, np.int64)[doc]
-            by = np.lexsort((lo, doc, whole, name))
-            same = np.r_[False, (name[by][1:] == name[by][:-1]) & (whole[by][1:] == whole[by][:-1])]
+            by = np.lexsort((lo, doc, other, whole, name))
+            same = np.r_[False, (name[by][1:] == name[by][:-1]) & (whole[by][1:] == whole[by][:-1]) & (other[by][1:] == other[by][:-1])]
             later = by[same]
             if (b := _joined(None, doc[later], lo[later], windows[later])) is not None:
                 yield b
@@ -267,8 +259,8 @@ def _spread(n_buckets: int, min_len: int, k: int):
             by, bucket = by[order], bucket[order]
             starts = np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1]])
             ends = np.r_[starts[1:], len(bucket)]
-            name, whole, doc, lo, flags = name[by], whole[by], doc[by], lo[by].astype(np.uint32), (windows[by] << 1 | again[by]).astype(np.uint16)
-            payload = [b"".join(x[a:b].tobytes() for x in (name, whole, doc, lo, flags)) for a, b in zip(starts, ends, strict=True)]
+            name, whole, other, doc, lo, flags = name[by], whole[by], other[by], doc[by], lo[by].astype(np.uint32), (windows[by] << 1 | again[by]).astype(np.uint16)
+            payload = [b"".join(x[a:b].tobytes() for x in (name, whole, other, doc, lo, flags)) for a, b in zip(starts, ends, strict=True)]
             yield _batch(len(starts), kind=np.full(len(starts), 2, np.int32), bucket=bucket[starts], n=(ends - starts).astype(np.int32), payload=payload)
 
     return run
@@ -280,16 +272,16 @@ def _meet(batches):
     def flush(held):
         if not held:
             return
-        cols = [[] for _ in range(5)]
+        cols = [[] for _ in range(6)]
         for n, p in held:
             at = 0
-            for c, t in zip(cols, (np.uint64, np.uint64, np.int64, np.uint32, np.uint16), strict=True):
+            for c, t in zip(cols, (np.uint64, np.uint64, np.uint64, np.int64, np.uint32, np.uint16), strict=True):
                 c.append(np.frombuffer(p, t, n, at))
                 at += n * np.dtype(t).itemsize
-        name, whole, doc, lo, flags = map(np.concatenate, cols)
-        by = np.lexsort((lo, doc, whole, name))
-        name, whole, doc, lo, flags = name[by], whole[by], doc[by], lo[by].astype(np.int64), flags[by].astype(np.int64)
-        same = np.r_[False, (name[1:] == name[:-1]) & (whole[1:] == whole[:-1])]
+        name, whole, other, doc, lo, flags = map(np.concatenate, cols)
+        by = np.lexsort((lo, doc, other, whole, name))
+        name, whole, other, doc, lo, flags = name[by], whole[by], other[by], doc[by], lo[by].astype(np.int64), flags[by].astype(np.int64)
+        same = np.r_[False, (name[1:] == name[:-1]) & (whole[1:] == whole[:-1]) & (other[1:] == other[:-1])]
         if (b := _joined(None, doc[same], lo[same], flags[same] >> 1)) is not None:
             yield b
         name, doc, lo, flags = name[~same], doc[~same], lo[~same], flags[~same]
@@ -315,43 +307,91 @@ def _meet(batches):
     yield from flush(held)
 
 
-def _contexts(min_len: int):
+_CONTEXT = pa.schema([("name", pa.int64()), ("ord", pa.int64()), ("lo", pa.int32()), ("windows", pa.int32()), ("context", pa.binary())])
+
+
+def _split(name: int, windows: int, context: bytes, min_len: int):
+    """(name of its own, place, bytes) of each window of a run."""
+    s = prefix_hashes(np.frombuffer(context, np.uint8))
+    own = mixed((s[min_len : min_len + windows] - s[:windows]) * _powers(windows)[1][:windows] + np.uint64(name & (1 << 64) - 1))
+    return [(h, k, context[k : k + min_len]) for k, h in enumerate(own.view(np.int64).tolist())]
+
+
+def _contexts(text_at: int, min_len: int):
+    """Rows of documents, the last columns their number and the runs asked for, to (name, ord, lo, windows, context).
+
+    The windows of hot runs are rows of their own; of those with equal bytes in a batch only the earliest has
+    its bytes, and the others, which are removed, have none.
+    """
+
     def run(batches):
         for batch in batches:
+            rows, hot = [], {}
             for at in range(0, batch.num_rows, 256):
-                rows = []
-                for text, ord_, asked in zip(*(c.to_pylist() for c in batch.slice(at, 256).columns), strict=True):
-                    raw = (text or "").encode("utf-8", "surrogatepass")
-                    rows += [(a["name"], ord_, a["lo"], a["windows"], raw[a["lo"] : a["lo"] + a["windows"] - 1 + min_len]) for a in asked]
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary()], strict=True)], ["name", "ord", "lo", "windows", "context"])
+                part = batch.slice(at, 256)
+                n = part.num_columns
+                for text, ord_, asked in zip(*(part.column(c).to_pylist() for c in (text_at, n - 2, n - 1)), strict=True):
+                    if not asked:
+                        continue
+                    raw = text.encode("utf-8", "surrogatepass")
+                    for a in asked:
+                        lo, w = a["lo"], a["windows"]
+                        context = raw[lo : lo + w - 1 + min_len]
+                        if not a["hot"]:
+                            rows.append((a["name"], ord_, lo, w, context))
+                            continue
+                        for name, k, window in _split(a["name"], w, context, min_len):
+                            place = (ord_, lo + k)
+                            first = hot.get((name, window))
+                            if first is None or place < first:
+                                hot[name, window], place = place, first
+                            if place is not None:
+                                rows.append((place[0], *place, 1, None))
+                if len(rows) > 20_000:
+                    yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), _CONTEXT.types, strict=True)], schema=_CONTEXT)
+                    rows = []
+            rows += [(name, *place, 1, window) for (name, window), place in hot.items()]
+            if rows:
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), _CONTEXT.types, strict=True)], schema=_CONTEXT)
 
     return run
 
 
-def _compare(min_len: int, block: int, large: int):
-    """Rows sorted by name: whole names make a block; gives the windows that also start earlier."""
+def _compare(min_len: int, block: int):
+    """Rows sorted by name, ord and lo: whole names make a block; gives the windows that also start earlier."""
+
+    def out(b):
+        return pa.RecordBatch.from_arrays([b.column(c) for c in (3, 4, 5)], ["ord", "lo", "windows"])
 
-    def flush(rows, size):
-        # one place may be asked for once only, and equal contexts of one place are the same row
+    def flush(rows, gone):
+        # a context that has its name to itself and one window can't repeat anything
+        names = Counter(r[0] for r in rows)
+        rows = [r for r in rows if r[3] > 1 or names[r[0]] > 1]
         ords, los, windows = (np.array([r[k] for r in rows], np.int64) for k in (1, 2, 3))
-        find = repeated if size <= large else repeated_by_hash
-        ctx, at = find([r[4] for r in rows], ords, los, windows, min_len)
-        if (b := _joined(None, ords[ctx], los[ctx] + at, np.ones(len(ctx), np.int64))) is not None:
-            yield pa.RecordBatch.from_arrays([b.column(c) for c in (3, 4, 5)], ["ord", "lo", "windows"])
+        ctx, at = repeated([r[4] for r in rows], ords, los, windows, min_len) if rows else (np.zeros(0, np.int64),) * 2
+        more = np.array([r[1:4] for r in gone], np.int64).reshape(-1, 3)
+        if (b := _joined(None, np.r_[ords[ctx], more[:, 0]], np.r_[los[ctx] + at, more[:, 1]], np.r_[np.ones(len(ctx), np.int64), more[:, 2]])) is not None:
+            yield out(b)
 
     def run(batches):
-        rows, size, last, begun, tail = [], 0, None, 0, 0
+        rows, gone, size, last = [], [], 0, None
         for batch in batches:
             for r in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if r[4] is None or rows and r[0] == rows[-1][0] and r[4] == rows[-1][4]:  # equal to an earlier one as a whole
+                    gone.append(r)
+                    if len(gone) >= 100_000:
+                        yield from flush([], gone)
+                        gone = []
+                    continue
                 if r[0] != last:
                     if size >= block:
-                        yield from flush(rows, size)
-                        rows, size = [], 0
+                        yield from flush(rows, gone)
+                        rows, gone, size = [], [], 0
                     last = r[0]
                 rows.append(r)
                 size += len(r[4])
-        if rows:
-            yield from flush(rows, size)
+        if rows or gone:
+            yield from flush(rows, gone)
 
     return run
 
@@ -387,42 +427,57 @@ def _merge(min_len: int):
     return run
 
 
-def removed_spans(docs: DataFrame, min_len: int = MIN_LEN, k: int = K) -> DataFrame:
-    """(ord, starts, ends) of the removed runs, in bytes, of documents that lose any; ``docs`` is (ord, text), see `ordered`."""
-    n_buckets = max(16, math.ceil(docs.count() / DOCS_A_BUCKET))
-    texts = docs.select("text", "ord")
+def _removed(rows: DataFrame, text_at: int, min_len: int, k: int, hot: int) -> DataFrame:
+    """(ord, starts, ends) of the removed runs, in bytes, of the documents that lose any; the last column of ``rows`` is ord."""
+    ord_ = rows.columns[-1]
+    n_buckets = max(16, math.ceil(rows.count() / DOCS_A_BUCKET))
+    texts = rows.select(F.col(rows.columns[text_at]).alias("text"), F.col(ord_).alias("ord"))
     met = texts.mapInArrow(_spread(n_buckets, min_len, k), _RUN).repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_meet, _RUN)
     met = written(met.drop("bucket", "n", "payload"), "runs")
-    asked = met.where("kind = 3").groupBy("ord").agg(F.collect_list(F.struct("name", "lo", "windows")).alias("asked"))
-    if met.where("kind = 3").count() <= BROADCAST_ROWS:
-        asked = F.broadcast(asked)
-    some = texts.join(asked, "ord").select("text", "ord", "asked").mapInArrow(_contexts(min_len), "name long, ord long, lo int, windows int, context binary")
-    more = some.repartition("name").sortWithinPartitions("name", "ord", "lo").mapInArrow(_compare(min_len, BLOCK_BYTES, LARGE), "ord long, lo int, windows int")
+    differ = met.where("kind = 3").select("name", F.col("ord"), "lo", "windows")
+    crowded = written(differ.groupBy("name").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > hot).select(F.col("name").alias("crowd")), "hot")
+    differ = differ.join(crowded, F.col("name") == F.col("crowd"), "left")
+    asked_ord, asked = fresh(rows.columns, "asked_ord", "asked")
+    wanted = differ.groupBy(F.col("ord").alias(asked_ord)).agg(F.collect_list(F.struct("name", "lo", "windows", F.col("crowd").isNotNull().alias("hot"))).alias(asked))
+    # the same columns, hashed by the same number, as `with_spans` joins: one shuffle of the texts serves both
+    some = rows.join(wanted, F.col(ord_) == F.col(asked_ord), "left").select(*[c for c in rows.columns if c != ord_], ord_, asked)
+    found = some.mapInArrow(_contexts(text_at, min_len), "name long, ord long, lo int, windows int, context binary")
+    more = found.repartition("name").sortWithinPartitions("name", "ord", "lo").mapInArrow(_compare(min_len, BLOCK_BYTES), "ord long, lo int, windows int")
     all_ = met.where("kind = 1").select("ord", "lo", "windows").unionAll(more)
-    return written(all_.repartition("ord").sortWithinPartitions("ord", "lo").mapInArrow(_merge(min_len), "ord long, starts array<int>, ends array<int>"), "spans")
+    return all_.repartition("ord").sortWithinPartitions("ord", "lo").mapInArrow(_merge(min_len), "ord long, starts array<int>, ends array<int>")
 
 
 def ordered(docs: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """``docs`` with ``ord`` long: the id, if it is there and unique; else a number in the order of (id, hash of the text).
+    """``docs`` with a long as its last column: the id, if it is there and unique; else a number in the order of (id, hash of the text).
 
-    Null ids come first; rows equal in id and text get the same number and count as one document.
+    The column is named ord, with underscores where that name is taken. Null ids come first; rows equal
+    in id and text get the same number and count as one document.
     """
-    ids = docs.groupBy(id_col).agg(F.count(F.lit(1)).alias("n"))
-    if not ids.where(F.col(id_col).isNull() | (F.col("n") > 1)).limit(1).count():
-        return docs.withColumn("ord", F.col(id_col).cast("long"))
-    th = F.xxhash64(F.coalesce("text", F.lit("")))
-    keys = docs.select(F.col(id_col).alias("_id"), th.alias("_th")).distinct().orderBy("_id", "_th")
-    keys = written(keys.withColumn("ord", F.monotonically_increasing_id()), "order")
-    return docs.drop("ord").withColumn("_th0", th).join(keys, F.col(id_col).eqNullSafe(F.col("_id")) & (F.col("_th0") == F.col("_th"))).drop("_id", "_th", "_th0")
+    ord_, id_, th, th0 = fresh(docs.columns, "ord", "id", "th", "th0")
+    ids = docs.groupBy(id_col).agg(F.count(F.lit(1)).alias("_rows"))
+    if not ids.where(F.col(id_col).isNull() | (F.col("_rows") > 1)).limit(1).count():
+        return docs.withColumn(ord_, F.col(id_col).cast("long"))
+    text = F.xxhash64(F.coalesce("text", F.lit("")))
+    keys = docs.select(F.col(id_col).alias(id_), text.alias(th)).distinct().orderBy(id_, th)
+    keys = written(keys.withColumn(ord_, F.monotonically_increasing_id()), "order")
+    return docs.withColumn(th0, text).join(keys, F.col(id_col).eqNullSafe(F.col(id_)) & (F.col(th0) == F.col(th))).select(*docs.columns, ord_)
 
 
-def with_spans(docs: DataFrame, min_len: int = MIN_LEN) -> DataFrame:
-    """``docs`` with ``starts`` and ``ends`` of what is removed, in bytes of the text; null where nothing is. No rows give no rows."""
+def _joined_spans(docs: DataFrame, names: list[str], min_len: int, hot: int) -> DataFrame:
     rows = ordered(docs)
-    spans = removed_spans(rows.select("ord", "text"), min_len)
-    if spans.count() <= BROADCAST_ROWS:
-        spans = F.broadcast(spans)
-    return rows.drop("starts", "ends").join(spans, "ord", "left").drop("ord")
+    ord_ = rows.columns[-1]
+    own, *names = fresh(rows.columns, "own", *names)
+    spans = _removed(rows, docs.columns.index("text"), min_len, K, hot).toDF(own, *names)
+    return rows.join(spans, F.col(ord_) == F.col(own), "left").select(*docs.columns, *names)
+
+
+def with_spans(docs: DataFrame, min_len: int = MIN_LEN, hot: int = HOT) -> DataFrame:
+    """``docs`` with ``starts`` and ``ends`` of what is removed, in bytes of the text; null where nothing is.
+
+    Columns of those names are replaced, all others stay. Null and empty texts lose nothing; rows equal in
+    id and text count as one document and lose the same; a text may be of any length; no rows give no rows.
+    """
+    return _joined_spans(docs.drop("starts", "ends"), ["starts", "ends"], min_len, hot)
 
 
 def kept(text: str | None, starts, ends) -> tuple[bytes, int, bytes]:
@@ -461,8 +516,11 @@ def _strip(text_at: int, schema):
 
 
 def without_repeats(docs: DataFrame, min_len: int = MIN_LEN) -> DataFrame:
-    """``docs`` with the repeated bytes of every text removed; parts of characters at the cuts go too."""
-    spans = with_spans(docs, min_len).select(*docs.columns, "starts", "ends")
+    """``docs`` with the repeated bytes of every text removed, and parts of characters at the cuts; other columns, whatever their names, stay.
+
+    Null texts stay null; else as `with_spans`.
+    """
+    spans = _joined_spans(docs, ["starts", "ends"], min_len, HOT)
     return spans.mapInArrow(_strip(docs.columns.index("text"), docs.schema), docs.schema)
 
 

@@ -227,6 +227,21 @@ def test_suffixes(docs, none, texts, spark):
     assert suffixes.without_repeats(docs).columns == docs.columns
 
 
+def test_suffixes_of_hot_names_and_clashing_columns(docs, texts, spark):
+    """Names split by windows give what whole names give; columns named like helpers stay."""
+    want = brute_repeats([(3 * i + 1, t) for i, t in enumerate(texts)])
+    for hot in (0, 3):
+        for r in suffixes.with_spans(docs, hot=hot).collect():
+            _, gone, left = suffixes.kept(r["text"], r["starts"], r["ends"])
+            assert (gone, hashlib.sha256(left).hexdigest()) == want[r["doc_id"]], (hot, r["doc_id"])
+    odd = docs.selectExpr("doc_id", "text", "'a' AS ord", "'b' AS Starts", "1 AS ends", "'c' AS own", "2 AS asked", "3 AS asked_ord", "4 AS id", "5 AS th", "6 AS th0", "7 AS name")
+    for d in (odd, odd.union(odd.limit(1))):
+        got = suffixes.without_repeats(d)
+        assert got.columns == odd.columns and {(r["ord"], r["Starts"], r["ends"], r["th"]) for r in got.collect()} == {("a", "b", 1, 5)}
+    kept = {r["doc_id"]: r["text"] for r in suffixes.without_repeats(odd).collect()}
+    assert all(hashlib.sha256((t or "").encode()).hexdigest() == want[i][1] for i, t in kept.items() if (t or "").isascii())
+
+
 def test_interval_expansion():
     rng = np.random.default_rng(5)
     for alphabet in (2, 20):
@@ -239,8 +254,13 @@ def test_interval_expansion():
         assert all(got[i] == (keys[i] != keys[i - 1]) for i in range(1, len(t)))
     ctx = [b"ab" * 80, b"x" * 20 + b"ab" * 70]
     at = [np.array([0, 0]), np.array([0, 0]), np.array([61, 61])]
-    a, b = suffixes.repeated(ctx, *at), suffixes.repeated_by_hash(ctx, *at)
-    assert set(zip(*map(list, a), strict=True)) == set(zip(*map(list, b), strict=True))
+    seen, want = set(), set()
+    for k, c in enumerate(ctx):
+        for i in range(61):
+            if c[i : i + 100] in seen:
+                want.add((k, i))
+            seen.add(c[i : i + 100])
+    assert set(zip(*map(list, suffixes.repeated(ctx, *at)), strict=True)) == want
 
 
 def test_packing(docs, none, texts):
@@ -288,10 +308,10 @@ def brute_links(items):
     return {i: (len(s), top(i)) for i, s in sets.items()}
 
 
-@pytest.mark.parametrize("spelt, group", [(256, 2_000_000), (2, 500)])
+@pytest.mark.parametrize("spelt, group", [(256, 2_000_000), (2, 500), (1, 150)])
 def test_jaccard(docs, none, texts, monkeypatch, spelt, group):
     monkeypatch.setattr(jaccard, "GROUP_TOKENS", group)
-    monkeypatch.setattr(jaccard.candidate_links, "__defaults__", (75, spelt))
+    monkeypatch.setattr(jaccard.candidate_links, "__defaults__", (75, spelt, jaccard.ORDERS))
     got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in jaccard.link_components(docs).collect()}
     assert got == brute_links([(3 * i + 1, t) for i, t in enumerate(texts)])
     if spelt == 256:
@@ -299,6 +319,29 @@ def test_jaccard(docs, none, texts, monkeypatch, spelt, group):
         assert jaccard.one_of_each(docs).count() == len(set(c for _, c in got.values()))
 
 
+@pytest.mark.parametrize("spelt, group", [(16, 2_000_000), (2, 300)])
+def test_jaccard_of_chains(spark, monkeypatch, spelt, group):
+    """Texts that drift step by step, copies of many sizes and a group that its largest set doesn't link at once."""
+    monkeypatch.setattr(jaccard, "GROUP_TOKENS", group)
+    monkeypatch.setattr(jaccard.candidate_links, "__defaults__", (75, spelt, jaccard.ORDERS))
+    rng = random.Random(21)
+    words = [f"w{k}" for k in range(400)]
+    items = []
+    for start in range(0, 300, 4):  # each shares 75 % or more with its neighbours only
+        items.append(" ".join(words[start : start + 60]))
+    base = [rng.choice(words) for _ in range(80)]
+    for k in range(30):
+        own = list(base)
+        own[rng.randrange(80)] = f"x{k % 7}"
+        items.append(" ".join(own[: rng.randint(60, 80)]))
+    items += [None, "", "a b", "A B", " ".join(base)]
+    rng.shuffle(items)
+    rows_ = [(5 * k + 2, t) for k, t in enumerate(items)]
+    df = spark.createDataFrame(rows_, "doc_id long, text string").withColumn("node", F.lit("clash")).withColumn("u", F.lit(1))
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in jaccard.link_components(df.repartition(3)).collect()}
+    assert got == brute_links(rows_)
+
+
 def test_jaccard_of_null_ids(spark):
     """A row without an id that comes first among its equal texts still links them to near copies."""
     base = prose(random.Random(8), 100)
