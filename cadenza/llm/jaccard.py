@@ -3,17 +3,19 @@
 A document's tokens are the hashes of its distinct 5-word shingles. Two sets with similarity t or more
 share a token among the first |x| - ceil(t |x|) + 1 of each, under any global order of the tokens. Each
 order here puts tokens by how many documents hold them, rare ones first, and by a hash of its own among
-those that are equally rare, so each order is a filter of its own. Besides the shared token a pair must
-pass two bounds that follow from it: sizes within the ratio, and enough shared prefix tokens to reach
-the overlap it needs even if all tokens behind the prefixes were shared. Pairs that pass link documents
-under that order; a pair can be similar only if all orders connect it, so the sets of documents
-connected under all orders are what is verified, each on its own, with exact set sizes.
-
-Links of a group of many copies are never spelt out: tokens with the same list of holders are counted
-as one list, a list of more than ``SPELT`` holders gives a forest instead of pairs, and
-verification expands a document against all others only while it may still join components. Copies
-within a block count as one document. What is shuffled: prefixes as packed numbers, forests, and the
-sets of documents that have a candidate partner. Groups above a size are verified in pairs of blocks.
+those that are equally rare, so each order is a filter of its own. Under every order a pair must share
+enough prefix tokens to reach the overlap it needs even if all tokens behind the prefixes were shared;
+only pairs that pass this filter under all orders, with sizes within the ratio, are candidates.
+
+Pairs within a group of many copies are never spelt out: a token with more than ``SPELT`` holders
+connects them in a chain by size instead, broken where neighbours are too unlike in size. A similar pair
+either shares such a token under some order, and its chain connects it, or shares none, and then its
+counts are whole and pass. Components of these links are verified with the exact sets, each on its own;
+a document is expanded against all others only while it may still join components. A component too
+large for one task is dealt to blocks which all get its largest set: what that set links needs nothing
+more, and only documents it leaves loose meet the other blocks. Copies within a block of documents count
+as one. What is shuffled: prefixes as packed numbers, forests, and the sets of documents that have a
+candidate partner.
 """
 
 from __future__ import annotations
@@ -30,16 +32,16 @@ from pyspark.sql import functions as F
 from .common import WordHashes, blocks, documents, mixed, word_shingles, written
 from .components import components, forest
 
-WIDTH, PERCENT, ORDERS = 5, 75, 2
+WIDTH, PERCENT, ORDERS = 5, 75, 3
 #: Frequent tokens known to all tasks: at most so many, counted in blocks of documents from this count a block.
 FREQUENT, LOCAL = 1 << 18, 3
-#: Lists of up to so many holders are spelt out as pairs.
-SPELT = 256
+#: Lists of up to so many holders are spelt out as pairs, longer ones as chains; results are the same.
+SPELT = 64
 DOCS_A_BUCKET = 4096
 #: Tokens that one verification holds at a time.
 GROUP_TOKENS = 2_000_000
-#: Up to so many candidate keys are broadcast; more are joined by a shuffle.
-BROADCAST_ROWS = 1_000_000
+#: Up to so many candidate keys, of five numbers each, are broadcast; more are joined by a shuffle.
+BROADCAST_ROWS = 250_000
 _SALTS = [np.uint64(s) for s in (0x243F6A8885A308D3, 0x13198A2E03707344, 0xA4093822299F31D0, 0x082EFA98EC4E6C89)]
 
 
@@ -95,7 +97,16 @@ def frequent_tokens(docs: DataFrame, most: int = FREQUENT, local: int = LOCAL, w
     The count is over all documents. Any order is right for the join; this one keeps common passages out of prefixes.
     """
     counted = docs.select("text").mapInArrow(_frequent(width, local), "token long, n long").groupBy("token").agg(F.sum("n").alias("n"))
-    got = counted.orderBy(F.desc("n"), "token").limit(most).toPandas()
+    # a histogram of a few hundred bins tells from which count on the tokens are few enough
+    bin_ = F.when(F.col("n") < 256, F.col("n")).otherwise(256 + F.floor(16 * F.log2(F.col("n") / 256))).cast("long")
+    counted = written(counted.withColumn("bin", bin_), "frequent")
+    total, least = 0, 1 << 40
+    for r in sorted(counted.groupBy("bin").agg(F.count(F.lit(1)).alias("tokens")).collect(), reverse=True):
+        total += r["tokens"]
+        if total > most:
+            break
+        least = r["bin"]
+    got = counted.where(F.col("bin") >= least).select("token", "n").toPandas().sort_values(["n", "token"], ascending=[False, True])
     tokens = got["token"].to_numpy(np.int64).view(np.uint64)
     order = np.argsort(tokens)
     return tokens[order], (len(got) - np.arange(len(got)))[order].astype(np.uint64)
@@ -194,60 +205,69 @@ def _meet(batches):
 
 
 def _pairs(spelt: int, percent: int):
-    """Rows sorted by first node: pairs (u, v) with the number of shared prefix tokens (n) and their sizes; of a longer list, links to its first node with n -1."""
+    """Rows sorted by first node: pairs (u, v) with the number of prefix tokens (n) that they share under an order (kind) and their sizes; of longer lists, links with n 0."""
 
-    def out(u, v, n, a, b):
-        return pa.RecordBatch.from_arrays([pa.array(x.astype(np.int64)) for x in (u, v, n, a, b)], ["u", "v", "n", "a", "b"])
+    def out(kind, u, v, n, a, b):
+        return pa.RecordBatch.from_arrays([pa.array(x.astype(np.int64)) for x in (kind, u, v, n, a, b)], ["kind", "u", "v", "n", "a", "b"])
 
-    def flush(held):
+    def flush(held, chains):
         parts = []
-        for m in {n for n, _, _ in held}:
-            rows = [(w, p) for n, w, p in held if n == m]
-            nodes = np.array([np.frombuffer(p, np.int64, m) for _, p in rows])
-            sizes = np.array([np.frombuffer(p, np.uint32, m, 8 * m) for _, p in rows]).astype(np.int64)
+        for m in {m for _, m, _, _ in held}:
+            rows = [(k, w, p) for k, n, w, p in held if n == m]
+            nodes = np.array([np.frombuffer(p, np.int64, m) for _, _, p in rows])
+            sizes = np.array([np.frombuffer(p, np.uint32, m, 8 * m) for _, _, p in rows]).astype(np.int64)
             if m > spelt:
-                u, v = forest(np.repeat(nodes[:, :1], m - 1, 1).ravel(), nodes[:, 1:].ravel())
-                yield out(u, v, np.full(len(u), -1), np.zeros(len(u)), np.zeros(len(u)))
+                by = np.argsort(sizes, axis=1, kind="stable")
+                nodes, sizes = np.take_along_axis(nodes, by, 1), np.take_along_axis(sizes, by, 1)
+                near = 100 * sizes[:, :-1] >= percent * sizes[:, 1:]
+                chains.append((nodes[:, :-1][near], nodes[:, 1:][near]))
                 continue
             i, j = np.triu_indices(m, 1)
             a, b = sizes[:, i].ravel(), sizes[:, j].ravel()
             fits = 100 * np.minimum(a, b) >= percent * np.maximum(a, b)
-            w = np.repeat(np.array([w for w, _ in rows]), len(i))
-            parts.append([x[fits] for x in (nodes[:, i].ravel(), nodes[:, j].ravel(), w, a, b)])
+            kind, w = (np.repeat(np.array(x), len(i)) for x in list(zip(*rows, strict=True))[:2])
+            parts.append([x[fits] for x in (kind, nodes[:, i].ravel(), nodes[:, j].ravel(), w, a, b)])
+        if chains:  # a forest of the task's nodes
+            chains[:] = [forest(*(np.concatenate(x) for x in zip(*chains, strict=True)))]
         if parts:
-            u, v, w, a, b = (np.concatenate(x) for x in zip(*parts, strict=True))
-            order = np.lexsort((v, u))
-            u, v, w, a, b = u[order], v[order], w[order], a[order], b[order]
-            new = np.flatnonzero(np.r_[True, (u[1:] != u[:-1]) | (v[1:] != v[:-1])][: len(u)])
+            kind, u, v, w, a, b = (np.concatenate(x) for x in zip(*parts, strict=True))
+            order = np.lexsort((v, u, kind))
+            kind, u, v, w, a, b = (x[order] for x in (kind, u, v, w, a, b))
+            new = np.flatnonzero(np.r_[True, (kind[1:] != kind[:-1]) | (u[1:] != u[:-1]) | (v[1:] != v[:-1])][: len(u)])
             if len(new):
-                yield out(u[new], v[new], np.add.reduceat(w, new), a[new], b[new])
+                yield out(kind[new], u[new], v[new], np.add.reduceat(w, new), a[new], b[new])
 
     def run(batches):
-        held, pairs = [], 0
+        held, pairs, chains = [], 0, []
         for batch in batches:
-            for m, w, p in zip(*(batch.column(c).to_pylist() for c in ("v", "n", "payload")), strict=True):
-                held.append((m, w, p))
+            for k, m, w, p in zip(*(batch.column(c).to_pylist() for c in ("kind", "v", "n", "payload")), strict=True):
+                held.append((k, m, w, p))
                 pairs += m * m // 2 if m <= spelt else m
                 if pairs >= 1_000_000:
-                    yield from flush(held)
+                    yield from flush(held, chains)
                     held, pairs = [], 0
         if held:
-            yield from flush(held)
+            yield from flush(held, chains)
+        for u, v in chains:
+            none = np.zeros(len(u), np.int64)
+            yield out(none, u, v, none, none, none)
 
     return run
 
 
-def candidate_links(lists: DataFrame, percent: int = PERCENT, spelt: int = SPELT) -> DataFrame:
-    """(u, v) of nodes that pass the filters of one order.
+def candidate_links(lists: DataFrame, percent: int = PERCENT, spelt: int = SPELT, orders: int = ORDERS) -> DataFrame:
+    """(u, v) of nodes that pass the filters of all orders or follow each other in a chain.
 
     A pair needs an overlap of percent (a + b) / (100 + percent). All shared tokens up to the nearer end of
     the two prefixes are seen; behind it lie at most as many as that set has behind its prefix.
     """
-    found = lists.select("u", "v", "n", "payload").repartition("u").sortWithinPartitions("u").mapInArrow(_pairs(spelt, percent), "u long, v long, n long, a long, b long")
-    summed = found.groupBy("u", "v").agg(F.sum("n").alias("n"), F.min("n").alias("low"), F.max("a").alias("a"), F.max("b").alias("b"))
+    found = lists.select("kind", "u", "v", "n", "payload").repartition("u").sortWithinPartitions("u").mapInArrow(_pairs(spelt, percent), "kind long, u long, v long, n long, a long, b long")
+    counts = [F.sum(F.when(F.col("kind") == 1 + j, F.col("n")).otherwise(0)).alias(f"n{j}") for j in range(orders)]
+    summed = found.groupBy("u", "v").agg(*counts, F.min("n").alias("low"), F.max("a").alias("a"), F.max("b").alias("b"))
     behind = lambda n: F.floor((percent * n + 99) / 100) - 1
     enough = F.ceil(percent * (F.col("a") + F.col("b")) / (100 + percent)) - F.greatest(behind(F.col("a")), behind(F.col("b")))
-    return summed.where((F.col("low") < 0) | (F.col("n") >= F.greatest(enough, F.lit(1)))).select("u", "v")
+    least = F.least(*[F.col(f"n{j}") for j in range(orders)], F.lit(1 << 40), F.lit(1 << 40))
+    return summed.where((F.col("low") == 0) | (least >= F.greatest(enough, F.lit(1)))).select("u", "v")
 
 
 def verified(sets: list[np.ndarray], percent: int = PERCENT) -> np.ndarray:
@@ -285,33 +305,65 @@ def verified(sets: list[np.ndarray], percent: int = PERCENT) -> np.ndarray:
 
 
 def _verify(percent: int):
+    """Of the sets of a group: (u, v, loose) of nodes, v the root of u; loose if there is a pivot that u isn't connected with."""
+
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["node"], kind="stable").drop_duplicates("node")
-        nodes = pdf["node"].to_numpy()
+        nodes, pivot = pdf["node"].to_numpy(), np.flatnonzero(pdf["pivot"].to_numpy())
         root = verified([np.frombuffer(x, np.uint64) for x in pdf["tokens"]], percent=percent)
-        return pd.DataFrame({"u": nodes, "v": nodes[root]})[nodes != nodes[root]]
+        loose = root != root[pivot[0]] if len(pivot) else np.zeros(len(nodes), bool)
+        return pd.DataFrame({"u": nodes, "v": nodes[root], "loose": loose})[(nodes != nodes[root]) | loose]
 
     return run
 
 
 def _sets(width: int):
+    """(g, parts, pivot, node, text) with the tokens in place of the text."""
+
     def run(batches):
         hashes = ByteHashes()
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
                 part = batch.slice(at, 256)
-                sets = [shingle_set(t, hashes, width).tobytes() for t in part.column(2).to_pylist()]
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(sets, pa.binary())], ["group", "node", "tokens"])
+                sets = [shingle_set(t, hashes, width).tobytes() for t in part.column(4).to_pylist()]
+                yield pa.RecordBatch.from_arrays([*part.columns[:4], pa.array(sets, pa.binary())], ["g", "parts", "pivot", "node", "tokens"])
 
     return run
 
 
+_LINK = "u long, v long, loose boolean"
+
+
+def _verified_links(sets: DataFrame, large: bool, percent: int) -> DataFrame:
+    """(u, v) that connect what is similar within the groups of ``sets`` (g, parts, pivot, node, tokens); large: some group has several parts."""
+    if not large:
+        keyed = sets.select(F.struct("g").alias("group"), "node", F.lit(False).alias("pivot"), "tokens")
+        return written(keyed.groupBy("group").applyInPandas(_verify(percent), _LINK), "forest").select("u", "v")
+    sets = written(sets, "sets")
+    block = F.pmod(F.xxhash64("node"), F.col("parts")).cast("int")
+    every = lambda n: F.sequence(F.lit(0), F.col(n) - 1)
+    # the largest set of a group of several parts goes to all of them
+    at = F.explode(F.when(F.col("pivot"), every("parts")).otherwise(F.array(block))).alias("at")
+    first = sets.select("g", at, "node", (F.col("pivot") & (F.col("parts") > 1)).alias("pivot"), "tokens")
+    links = written(first.select(F.struct("g", "at").alias("group"), "node", "pivot", "tokens").groupBy("group").applyInPandas(_verify(percent), _LINK), "forest")
+    loose = sets.join(links.where("loose").select(F.col("u").alias("node")).distinct(), "node", "left_semi").where("NOT pivot")
+    shares = loose.groupBy("g").agg(F.ceil(F.sum(F.length("tokens") / 8) / GROUP_TOKENS).cast("int").alias("shares"))
+    both = sets.join(shares, "g")
+    mine = F.pmod(F.xxhash64("node", F.lit(1)), F.col("shares")).cast("int")
+    members = both.select("g", block.alias("at"), F.explode(every("shares")).alias("share"), "node", "tokens")
+    others = loose.join(shares, "g").select("g", F.explode(every("parts")).alias("at"), mine.alias("share"), "node", "tokens")
+    met = members.unionByName(others).select(F.struct("g", "at", "share").alias("group"), "node", F.lit(False).alias("pivot"), "tokens")
+    more = written(met.groupBy("group").applyInPandas(_verify(percent), _LINK), "forest")
+    return links.unionByName(more).where("u != v").select("u", "v")
+
+
 def link_components(docs: DataFrame, percent: int = PERCENT, width: int = WIDTH, orders: int = ORDERS) -> DataFrame:
     """(doc_id, th, n_shingles, component_id) of every row of ``docs`` (doc_id, text).
 
     th is the hash of the text. Null texts are empty. A document without words has n_shingles 0 and is a
-    component by itself. component_id is the smallest doc_id of the component. Repeated rows link with
-    each other like any equal texts; no rows give no rows.
+    component by itself. component_id is the smallest doc_id of the component; rows without an id link like
+    others and their component is null only where no row of it has an id. Repeated rows link with each
+    other like any equal texts; other columns are not read; no rows give no rows.
     """
     spark = docs.sparkSession
     keyed = docs.select("text", F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("th"))
@@ -320,28 +372,18 @@ def link_components(docs: DataFrame, percent: int = PERCENT, width: int = WIDTH,
     met = keyed.mapInArrow(_prefixes(shared, n_buckets, orders, width, percent), _R).repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_meet, _R)
     met = written(met.drop("bucket"), "prefixes")
     nodes = met.where("kind = 0").select("doc_id", "th", "n", F.col("u").alias("node"), (F.col("v") == 1).alias("first"))
-    # connected under all orders
-    group = None
-    for j in range(orders):
-        found = components(candidate_links(met.where(F.col("kind") == 1 + j), percent)).withColumnRenamed("root", f"r{j}")
-        group = found if group is None else group.join(found, "node")
-    keys = [f"r{j}" for j in range(orders)]
+    group = components(candidate_links(met.where("kind > 0"), percent, orders=orders))
     sized = group.join(nodes.where("first").select("node", "n", "doc_id", "th"), "node")
-    totals = sized.groupBy(*keys).agg(F.sum("n").alias("tokens"), F.count(F.lit(1)).alias("members"), F.min("node").alias("g")).where("members > 1")
-    wanted = written(sized.join(totals, keys).select("node", "doc_id", "th", "g", F.ceil(F.col("tokens") / GROUP_TOKENS).cast("int").alias("parts")), "candidates")
+    totals = sized.groupBy("root").agg(F.sum("n").alias("tokens"), F.max(F.struct("n", "node"))["node"].alias("largest"))
+    parts = F.ceil(F.col("tokens") / GROUP_TOKENS).cast("int")
+    wanted = written(sized.join(totals, "root").select("node", "doc_id", "th", F.col("root").alias("g"), parts.alias("parts"), (F.col("node") == F.col("largest")).alias("pivot")), "candidates")
     n_wanted, most = wanted.agg(F.count(F.lit(1)), F.coalesce(F.max("parts"), F.lit(1))).first()
     side = F.broadcast(wanted) if n_wanted <= BROADCAST_ROWS else wanted
     side = side.withColumnsRenamed({"doc_id": "node_id", "th": "node_th"})
     some = keyed.join(side, keyed["doc_id"].eqNullSafe(side["node_id"]) & (keyed["th"] == side["node_th"]))
-    if most > 1:  # a large group: each pair of its blocks is verified on its own
-        block = F.pmod(F.xxhash64("node"), F.col("parts")).cast("int")
-        pairs = F.explode(F.transform(F.sequence(F.lit(0), F.col("parts") - 1), lambda k: F.struct(F.col("g"), F.least(block, k).alias("a"), F.greatest(block, k).alias("b"))))
-        some = some.withColumn("group", pairs)
-    else:
-        some = some.withColumn("group", F.struct("g", F.lit(0).alias("a"), F.lit(0).alias("b")))
-    sets = some.select("group", "node", "text").mapInArrow(_sets(width), "group struct<g:long,a:int,b:int>, node long, tokens binary")
-    links = written(sets.groupBy("group").applyInPandas(_verify(percent), "u long, v long"), "forest")
-    found = components(links) if most > 1 else links.select(F.col("u").alias("node"), F.col("v").alias("root"))
+    sets = some.select("g", "parts", "pivot", "node", "text").mapInArrow(_sets(width), "g long, parts int, pivot boolean, node long, tokens binary")
+    links = _verified_links(sets, most > 1, percent)
+    found = components(links) if most > 1 else links.where("u != v").select(F.col("u").alias("node"), F.col("v").alias("root"))
     # equal sets of different blocks are nodes of their own but share all tokens, so they are linked like others
     rooted = nodes.join(found, "node", "left").withColumn("root", F.coalesce("root", "node"))
     low = rooted.where("n > 0").groupBy(F.col("root").alias("key")).agg(F.min("doc_id").alias("low"))
