@@ -68,3 +68,11 @@ def mean_vectors(df: DataFrame, keys: list[str], vec: str, out: str = "v") -> Da
     """The mean vector of each group, by partial aggregation per position, whatever the size of a group."""
     long = df.select(*keys, F.posexplode(doubles(F.col(vec))).alias("_p", "_x")).groupBy(*keys, "_p").agg(F.avg("_x").alias("_x"))
     return long.groupBy(*keys).agg(F.transform(F.array_sort(F.collect_list(F.struct("_p", "_x"))), lambda s: s["_x"]).alias(out))
+
+
+def ensure_finite(df: DataFrame, vec: str, width: int, key: str = "id") -> DataFrame:
+    """``df`` itself, or a ValueError that names up to ten rows that `bad_vectors` finds."""
+    bad = [r[0] for r in bad_vectors(df, vec, width).select(key).orderBy(key).limit(10).collect()]
+    if bad:
+        raise ValueError(f"vectors that are not {width} finite numbers, first at {key} {bad}")
+    return df

@@ -73,3 +73,64 @@ def compose(matrix: DataFrame, terms: dict[int, float]) -> DataFrame:
     weights = F.coalesce(*[F.when(F.col("label") == k, F.lit(float(w))) for k, w in terms.items()])
     long = matrix.withColumn("w", weights).where("w IS NOT NULL").select("w", F.posexplode("v").alias("p", "x")).groupBy("p").agg(F.sum(F.col("w") * F.col("x")).alias("x"))
     return long.agg(F.transform(F.array_sort(F.collect_list(F.struct("p", "x"))), lambda s: s["x"]).alias("v")).select(l2(F.col("v")).alias("v"))
+
+
+def redundancy(matrix: DataFrame) -> DataFrame:
+    """(a, b, cos) of all pairs a < b of label directions; a few dozen rows, joined by a range."""
+    a, b = (matrix.select(F.col("label").alias(n), F.col("v").alias(f"v{n}")) for n in "ab")
+    return a.join(F.broadcast(b), F.col("a") < F.col("b")).select("a", "b", dot(F.col("va"), F.col("vb")).alias("cos"))
+
+
+def redundancy_summary(matrix: DataFrame) -> DataFrame:
+    """(mean, largest, pairs) of `redundancy`; zeros for fewer than two labels."""
+    zero = F.lit(0.0)
+    return redundancy(matrix).agg(F.coalesce(F.avg("cos"), zero).alias("mean"), F.coalesce(F.max("cos"), zero).alias("largest"), F.count(F.lit(1)).alias("pairs"))
+
+
+def quality_metrics(tops: DataFrame) -> DataFrame:
+    """(n_distinct, max_share, mean_margin, mean_top) of ``tops`` (top); rows with one label have a margin of 0."""
+    t = tops.select(F.col("top")[0]["label"].alias("label"), F.col("top")[0]["score"].alias("a"), F.when(F.size("top") > 1, F.col("top")[1]["score"]).alias("b"))
+    h = t.groupBy("label").agg(F.count(F.lit(1)).alias("n")).agg(F.count(F.lit(1)).alias("n_distinct"), (F.max("n") / F.sum("n")).alias("max_share"))
+    m = t.agg(F.avg(F.coalesce(F.col("a") - F.col("b"), F.lit(0.0))).alias("mean_margin"), F.avg("a").alias("mean_top"))
+    return h.crossJoin(F.broadcast(m))
+
+
+def prompt_table(spark, descriptors: list[str], templates: list[str]) -> DataFrame:
+    """(label, prompt_no, descriptor, prompt): every descriptor in every template, each of which has one pair of braces."""
+    if any(t.count("{}") != 1 for t in templates):
+        raise ValueError("a template needs one {}")
+    d = spark.createDataFrame(list(enumerate(descriptors)), "label int, descriptor string")
+    t = spark.createDataFrame(list(enumerate(templates)), "prompt_no int, template string")
+    return d.crossJoin(F.broadcast(t)).select("label", "prompt_no", "descriptor", F.expr("replace(template, '{}', descriptor)").alias("prompt"))
+
+
+def attribute_priors(df: DataFrame, energy: DataFrame, valence: DataFrame) -> DataFrame:
+    """(axis, label, prior): the mean similarity of each pole of both axes, to be kept and given to `attribute_scores`."""
+    each = [label_prior(similarities(df, p)).select(F.lit(n).alias("axis"), "label", "prior") for n, p in (("energy", energy), ("valence", valence))]
+    return each[0].unionByName(each[1])
+
+
+def attribute_scores(df: DataFrame, energy: DataFrame, valence: DataFrame, priors: DataFrame | None = None, temperature: float = TEMPERATURE) -> DataFrame:
+    """(id, energy, valence): probability of the upper pole of each axis, recentred by own means or given priors."""
+    out = []
+    for name, poles in (("energy", energy), ("valence", valence)):
+        prior = None if priors is None else priors.where(F.col("axis") == name).select("label", "prior")
+        out.append(score_moods(df.select("id", "v"), poles, prior, temperature).select("id", F.col("probs")[1].alias(name)))
+    return out[0].join(out[1], "id")
+
+
+def segment_arc(segments: DataFrame, matrix: DataFrame, prior: DataFrame | None = None, recentre: bool = True, temperature: float = TEMPERATURE, k: int = 3) -> DataFrame:
+    """(track, seg, top) of ``segments`` (track, seg, v): the k best labels of each segment along a track.
+
+    Similarities are recentred by the prior, or by the means of the track's own segments from five on.
+    """
+    s = similarities(segments, matrix)
+    if not recentre:
+        s = s.withColumn("rec", F.col("sims"))
+    elif prior is not None:
+        s = recentred(s, prior)
+    else:
+        own = mean_vectors(s, ["track"], "sims", "own").join(s.groupBy("track").agg(F.count(F.lit(1)).alias("_n")), "track")
+        low = F.when(F.col("_n") >= RECENTRE_FROM, F.zip_with("sims", "own", lambda x, m: x - m)).otherwise(F.col("sims"))
+        s = s.join(own, "track").withColumn("rec", low)
+    return top_labels(s.withColumn("probs", softmax(F.col("rec"), temperature)), k).select("track", "seg", "top")

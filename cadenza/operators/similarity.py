@@ -6,6 +6,8 @@ one task that multiplies two matrices, and only what passes (a threshold, a bloc
 
 from __future__ import annotations
 
+import re
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -33,6 +35,23 @@ def _paired(df: DataFrame, block_rows: int, upper: bool, work, schema: str) -> D
     return left.unionAll(right).groupBy("bi", "bj").applyInPandas(both, schema)
 
 
+def against(left: DataFrame, right: DataFrame, work, schema: str, block_rows: int = BLOCK_ROWS) -> DataFrame:
+    """``work`` over every pair of a block of ``left`` and a block of ``right`` (id, v, ...): each pair of blocks is one task.
+
+    The side with fewer blocks is the one that is copied most, so that what travels is the smaller product.
+    """
+    na, nb = (max(1, -(-df.count() // block_rows)) for df in (left, right))
+    block = lambda n: F.pmod(F.xxhash64("id"), F.lit(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    a = left.withColumn("_i", block(na)).withColumn("_j", every(nb))
+    b = right.withColumn("_j", block(nb)).withColumn("_i", every(na))
+
+    def both(_key, x: pd.DataFrame, y: pd.DataFrame) -> pd.DataFrame:
+        return work(x.sort_values("id", kind="stable"), y.sort_values("id", kind="stable"))
+
+    return a.groupBy("_i", "_j").cogroup(b.groupBy("_i", "_j")).applyInPandas(both, schema)
+
+
 def _matrix(pdf: pd.DataFrame) -> np.ndarray:
     return np.array(pdf["v"].tolist(), np.float64).reshape(len(pdf), -1)
 
@@ -96,6 +115,82 @@ def knn_novelty(df: DataFrame, k: int = 10) -> DataFrame:
     return top_neighbours(df, k).groupBy("id").agg((1 - mean).alias("novelty"))
 
 
+def novelty_against(df: DataFrame, ref: DataFrame, k: int = 10) -> DataFrame:
+    """(id, novelty) of ``df`` by its k nearest rows of another set, fewer if that has fewer; each task returns its best k."""
+
+    def work(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
+        if not len(a) or not len(b):
+            return pd.DataFrame({"id": [], "cos": []})
+        s = -np.sort(-(_matrix(a) @ _matrix(b).T), axis=1)[:, :k]
+        return pd.DataFrame({"id": np.repeat(a["id"].to_numpy(), s.shape[1]), "cos": s.ravel()})
+
+    unit = [d.select("id", l2(F.col("v")).alias("v")) for d in (df, ref)]
+    near = against(*unit, work, "id long, cos double")
+    near = near.withColumn("r", F.row_number().over(Window.partitionBy("id").orderBy(F.desc("cos")))).where(F.col("r") <= k)
+    return near.groupBy("id").agg((1 - F.least(F.greatest(F.avg("cos"), F.lit(-1.0)), F.lit(1.0))).alias("novelty"))
+
+
+def near_duplicates(df: DataFrame, threshold: float = 0.98, max_pairs: int = 500) -> DataFrame:
+    """The pairs of `near_pairs` with the largest cosines, at most so many, with their rank; ties go to smaller ids."""
+    top = near_pairs(df, threshold).orderBy(F.desc("cos"), "a", "b").limit(max_pairs)
+    return top.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("cos"), "a", "b")))
+
+
+def playlist(df: DataFrame, query: Column, k: int = 20, name: str = "path") -> DataFrame:
+    """(rank, name): only the names of the k rows of ``df`` (id, v, name) most similar to a vector, best first."""
+    return search(df, query, k).join(df.select("id", name), "id").select("rank", name)
+
+
+def radio(df: DataFrame, query_id: int, k: int = 20, lam: float = 0.7, pool_mult: int = 5, harmonic_weight: float = 0.0, tempo_weight: float = 0.0, sigma: float = 0.05, exclude: list[int] | None = None) -> DataFrame:
+    """(step, id, cos): `mmr` over ``df`` (id, v, code, bpm) with bonuses for a key and a tempo that follow the pick before.
+
+    The first pick is held against the seed. A row without a key or tempo gets no bonus and stays in the
+    running; excluded ids are out before the pool is drawn. The pool, of k * pool_mult rows, is picked from in one task.
+    """
+    gone = [query_id, *(exclude or [])]
+    pool = find_similar(df.where(~F.col("id").isin(gone[1:])) if exclude else df, query_id, k * max(1, pool_mult))
+    seed = df.where(F.col("id") == query_id).select(F.lit(0).alias("rank"), "id", F.lit(1.0).alias("cos"))
+    rows = pool.select("rank", "id", "cos").unionByName(seed).join(df, "id").select("rank", "id", "cos", l2(F.col("v")).alias("v"), "code", F.col("bpm").cast("double").alias("bpm"))
+    formed = re.compile(r"(\d+)([AB])")
+
+    def harmony(a, b) -> float:
+        if a is None or b is None:
+            return 0.0
+        if a == b:
+            return 1.0
+        x, y = formed.fullmatch(a), formed.fullmatch(b)
+        if not x or not y:
+            return 0.0
+        apart = (int(x[1]) - int(y[1])) % 12
+        return 0.5 if (x[2] == y[2] and apart in (1, 11)) or (x[2] != y[2] and apart == 0) else 0.0
+
+    def tempo(bpm: np.ndarray, ref: float) -> np.ndarray:
+        if not ref > 0 or not np.isfinite(ref):
+            return np.zeros(len(bpm))
+        ok = np.isfinite(bpm) & (bpm > 0)
+        away = np.abs(np.log2(np.where(ok, bpm, 1.0)[:, None] * np.array([1.0, 2.0, 0.5]) / ref)).min(1)
+        return np.where(ok, np.exp(-((away / sigma) ** 2) / 2), 0.0)
+
+    def pick(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("rank")
+        x, rel, ids, codes, bpm = _matrix(pdf), pdf["cos"].to_numpy(), pdf["id"].to_numpy(), pdf["code"].tolist(), pdf["bpm"].to_numpy(float)
+        left, near, ref, out = np.ones(len(ids), bool), np.full(len(ids), -np.inf), 0, []
+        left[0] = False  # the seed
+        for step in range(min(k, len(ids) - 1)):
+            score = lam * rel - (0.0 if step == 0 else (1 - lam) * near)
+            if harmonic_weight:
+                score = score + harmonic_weight * np.array([harmony(c, codes[ref]) for c in codes])
+            if tempo_weight:
+                score = score + tempo_weight * tempo(bpm, bpm[ref])
+            ref = int(np.argmax(np.where(left, score, -np.inf)))
+            left[ref] = False
+            near = np.maximum(near, x @ x[ref])
+            out.append((step + 1, ids[ref], rel[ref]))
+        return pd.DataFrame(out, columns=["step", "id", "cos"])
+
+    return rows.withColumn("g", F.lit(0)).groupBy("g").applyInPandas(lambda pdf: pick(pdf), "step int, id long, cos double")
+
+
 def knn_edges(df: DataFrame, k: int = 15) -> DataFrame:
     """(src, dst, weight), src < dst: neighbour links of either side, the larger weight, floored at 1e-6."""
     e = top_neighbours(df, k).select(F.least("id", "other").alias("src"), F.greatest("id", "other").alias("dst"), F.greatest("cos", F.lit(1e-6)).alias("weight"))

@@ -151,9 +151,7 @@ def label_matrix(spark, sf_dir):
 
 @query(f"WITH {_M} SELECT a.j::INT AS a, b.j::INT AS b, round(list_dot_product(a.v, b.v), 6) AS cos FROM m a, m b WHERE a.j < b.j")
 def label_redundancy(spark, sf_dir):
-    m = _matrix(spark, sf_dir)
-    a, b = m.select(F.col("label").alias("a"), F.col("v").alias("va")), m.select(F.col("label").alias("b"), F.col("v").alias("vb"))
-    return a.join(F.broadcast(b), F.col("a") < F.col("b")).select("a", "b", F.round(V.dot(F.col("va"), F.col("vb")), 6).alias("cos"))
+    return labelling.redundancy(_matrix(spark, sf_dir)).withColumn("cos", F.round("cos", 6))
 
 
 @query(f"WITH {_S} SELECT j::INT AS label, round(avg(s), 6) AS prior FROM s GROUP BY 1")
@@ -194,10 +192,8 @@ def name_clusters(spark, sf_dir):
 
 @query(f"WITH {_S}, t AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY prob DESC, j) r FROM pr), u AS (SELECT id, max(CASE WHEN r = 1 THEN j END) top, max(CASE WHEN r = 1 THEN prob END) a, max(CASE WHEN r = 2 THEN prob END) b FROM t GROUP BY 1), h AS (SELECT top, count(*) n FROM u GROUP BY 1) SELECT (SELECT count(*) FROM h) AS n_distinct, round((SELECT max(n) / sum(n) FROM h), 6) AS max_share, round(avg(a - b), 6) AS mean_margin, round(avg(a), 6) AS mean_top FROM u")
 def labeling_quality(spark, sf_dir):
-    t = _top(spark, sf_dir, 2).select(F.col("top")[0]["label"].alias("label"), F.col("top")[0]["score"].alias("a"), F.when(F.size("top") > 1, F.col("top")[1]["score"]).alias("b"))
-    h = t.groupBy("label").agg(F.count(F.lit(1)).alias("n")).agg(F.count(F.lit(1)).alias("n_distinct"), F.round(F.max("n") / F.sum("n"), 6).alias("max_share"))
-    m = t.agg(F.round(F.avg(F.coalesce(F.col("a") - F.col("b"), F.lit(0.0))), 6).alias("mean_margin"), F.round(F.avg("a"), 6).alias("mean_top"))
-    return h.crossJoin(F.broadcast(m))
+    q = labelling.quality_metrics(_top(spark, sf_dir, 2))
+    return q.withColumns({c: F.round(c, 6) for c in ("max_share", "mean_margin", "mean_top")})
 
 
 @query(f"WITH {_M}, w AS (SELECT p.g, 0.5 * a.v[g] + 2.0 * b.v[g] x FROM m a, m b, generate_series(1, 64) p(g) WHERE a.j = 2 AND b.j = 7), n AS (SELECT greatest(sqrt(sum(x * x)), 1e-8) n FROM w) SELECT (g - 1)::INT AS pos, round(x / n, 6) AS val FROM w, n")
@@ -272,10 +268,15 @@ def axis_auc(spark, sf_dir):
 
 @query(f"WITH {_S}, k AS (SELECT j, id, row_number() OVER (PARTITION BY j ORDER BY s DESC, id) rank, (cluster = j % 9)::INT rel FROM s), h AS (SELECT *, sum(rel) OVER (PARTITION BY j ORDER BY rank) hits FROM k), g AS (SELECT j, sum(rel) n, sum(CASE WHEN rank <= 10 THEN rel ELSE 0 END) top, sum(CASE WHEN rel = 1 THEN hits / rank ELSE 0 END) ap, sum(CASE WHEN rank <= 10 THEN rel / log2(rank + 1) ELSE 0 END) dcg FROM h GROUP BY 1) SELECT j::INT AS query, round(top / 10, 6) AS precision, round(top / n, 6) AS recall, round(ap / n, 6) AS average_precision, round(dcg / (SELECT sum(1 / log2(i + 1)) FROM generate_series(1, 10) t(i) WHERE i <= n), 6) AS ndcg FROM g")
 def text_query_eval(spark, sf_dir):
+    m = metrics.ranking_metrics(text_query_ranks(spark, sf_dir), 10)
+    return m.select("query", *[F.round(c, 6).alias(c) for c in ("precision", "recall", "average_precision", "ndcg")])
+
+
+def text_query_ranks(spark, sf_dir):
+    """(query, rank, relevant): tracks by their similarity to each label."""
     s = labelling.similarities(_tracks(spark, sf_dir), _matrix(spark, sf_dir)).select("id", "cluster", F.posexplode("sims").alias("query", "s"))
     rank = F.row_number().over(Window.partitionBy("query").orderBy(F.desc("s"), "id"))
-    m = metrics.ranking_metrics(s.select("query", rank.alias("rank"), (F.col("cluster") == F.col("query") % 9).alias("relevant")), 10)
-    return m.select("query", *[F.round(c, 6).alias(c) for c in ("precision", "recall", "average_precision", "ndcg")])
+    return s.select("query", rank.alias("rank"), (F.col("cluster") == F.col("query") % 9).alias("relevant"))
 
 
 @query("WITH d AS (SELECT l_quantity a, l_extendedprice / 1000 b FROM lineitem), m AS (SELECT covar_pop(a, b) c, var_pop(a) va, var_pop(b) vb, avg(a) ma, avg(b) mb, corr(a, b) r FROM d) SELECT round(2 * c / (va + vb + pow(ma - mb, 2)), 6) AS ccc, round(r, 6) AS pearson, round(2 / (sqrt(va / vb) + 1 / sqrt(va / vb) + pow((ma - mb) / sqrt(sqrt(va) * sqrt(vb)), 2)), 6) AS bias FROM m")

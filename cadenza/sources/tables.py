@@ -84,3 +84,15 @@ def cluster_report(assigned: DataFrame) -> DataFrame:
     """(cluster, n, energy, valence, examples): report rows, noise last by its key; NaN does not count in means."""
     num = lambda c: F.avg(F.when(~F.isnan(c), F.col(c)))
     return assigned.groupBy("cluster").agg(F.count(F.lit(1)).alias("n"), num("energy").alias("energy"), num("valence").alias("valence"), F.concat_ws(",", F.transform(F.slice(F.array_sort(F.collect_list(F.struct("id"))), 1, 6), lambda s: s["id"].cast("string"))).alias("examples"))
+
+
+def hover_text(columns: list[str]):
+    """``filename``, moods with their percentages, energy and valence of a row, on lines of their own; what is not there is left out."""
+    parts = [F.col("filename")]
+    if "mood_topk" in columns and "mood_topk_scores" in columns:
+        each = F.zip_with("mood_topk", "mood_topk_scores", lambda m, s: F.concat(m, F.lit(" "), F.round(100 * s).cast("int").cast("string"), F.lit("%")))
+        parts.append(F.when(F.size("mood_topk") > 0, F.concat(F.lit("moods: "), F.array_join(each, ", "))))
+    if "energy" in columns and "valence" in columns:
+        known = ~F.isnan("energy") & ~F.isnan("valence")
+        parts.append(F.when(known, F.format_string("energy %.2f \u00b7 valence %.2f", F.col("energy"), F.col("valence"))))
+    return F.concat_ws("<br>", *parts)
