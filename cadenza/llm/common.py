@@ -5,13 +5,14 @@ Nothing outside this subpackage imports it.
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 import numpy as np
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 
+from cadenza.functions.lineage import shared_folder
+
 #: Rows that a generator holds as Python objects at a time.
 ROWS_AT_ONCE = 512
 #: Characters of documents that a block gathers before it is worked off.
@@ -24,13 +25,8 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def scratch(spark: SparkSession) -> str:
-    """A folder that all executors share: that of ``spark.checkpoint.dir``, or a local one where it is unset."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        if not spark.sparkContext.getCheckpointDir():
-            spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="cadenza-"))
-        base = spark.sparkContext.getCheckpointDir()
-    return base.rstrip("/")
+    """The folder of ``spark.checkpoint.dir``, which all executors share. Where it is unset a local session gets one of its own; a cluster gets an error."""
+    return shared_folder(spark)
 
 
 def written(df: DataFrame, what: str) -> DataFrame:

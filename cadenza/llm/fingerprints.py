@@ -24,12 +24,19 @@ from .common import WordHashes, documents, word_shingles
 
 K = 256
 WIDTH = 5
+#: Words of a part; a longer text's sketch is merged from those of its parts.
+PART_WORDS = 4096
 _BITS = np.uint64(48)
 _SPACE = float(1 << 48)
 
 
 def sketch(words: list[str], hashes: WordHashes, k: int = K, width: int = WIDTH) -> np.ndarray:
-    """The k smallest distinct shingle hashes of a list of words, ascending."""
+    """The k smallest distinct shingle hashes of a list of words, ascending; a long list is worked off in parts that overlap by a shingle."""
+    if len(words) > PART_WORDS + width:
+        out = np.zeros(0, np.uint64)
+        for at in range(0, len(words) - width + 1, PART_WORDS):
+            out = merge(out, sketch(words[at : at + PART_WORDS + width - 1], hashes, k, width), k)
+        return out
     h = word_shingles(words, hashes, width) >> (np.uint64(64) - _BITS)
     return np.unique(h[: 2 * k])[:k] if len(h) > 2 * k else np.unique(h)[:k]
 
@@ -117,8 +124,8 @@ def _fingerprint(k: int, width: int):
         return sketch(text.lower().split(), hashes, k, width)
 
     def out(rows):
-        names = ["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"]
-        kinds = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64()]
+        names = ["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next", "in_edited", "n_distinct"]
+        kinds = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), *[pa.float64()] * 4]
         return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names)
 
     def run(batches):
@@ -133,7 +140,7 @@ def _fingerprint(k: int, width: int):
                         _, key0, text0, mine = last
                         new = edited(text0, text)
                         theirs = one(new, hashes)
-                        rows.append((key0, len(text0), hashlib.sha256(new.encode("utf-8", "surrogatepass")).hexdigest(), to_string(mine), to_string(theirs), resemblance(mine, theirs, k), resemblance(mine, now, k)))
+                        rows.append((key0, len(text0), hashlib.sha256(new.encode("utf-8", "surrogatepass")).hexdigest(), to_string(mine), to_string(theirs), resemblance(mine, theirs, k), resemblance(mine, now, k), containment(mine, theirs, k), distinct(mine, k)))
                     last = None if ahead else (part, key, text, now)
                     if len(rows) >= 500:
                         yield out(rows)
@@ -145,18 +152,20 @@ def _fingerprint(k: int, width: int):
 
 
 def fingerprints(docs: DataFrame, parts: int | None = None, k: int = K, width: int = WIDTH) -> DataFrame:
-    """(doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next) of every row.
+    """(doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next, in_edited, n_distinct) of every row.
 
-    The next row is that of the next larger (doc_id, text); after the last comes the first, and a single
+    near_edited and near_next are estimated resemblances, in_edited the estimated share of the text's shingles
+    that its edited text has, n_distinct the estimated number of distinct shingles. The next row is that of the next larger (doc_id, text); after the last comes the first, and a single
     row follows itself. Words are lower-cased and split at white space. Null texts are empty; two empty
-    sets of shingles are alike (1), an empty one is unlike any other (0). No rows give no rows.
+    sets of shingles are alike (1), an empty one is unlike any other (0) and contained in all (1). Texts of any
+    length are sketched whole; other columns are not read; no rows give no rows.
     """
     spark = docs.sparkSession
     parts = parts or 4 * max(int(spark.conf.get("spark.sql.shuffle.partitions")), 2)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     keyed = with_next_in_part(rows, "doc_id", parts)
     # of rows ahead only the first in order is used, and nothing after it
-    return keyed.repartition("_part").sortWithinPartitions("_part", "_ahead", "doc_id", "text").mapInArrow(_fingerprint(k, width), "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double")
+    return keyed.repartition("_part").sortWithinPartitions("_part", "_ahead", "doc_id", "text").mapInArrow(_fingerprint(k, width), "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double, in_edited double, n_distinct double")
 
 
 def op6_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:

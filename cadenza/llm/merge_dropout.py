@@ -187,7 +187,8 @@ def encode_documents(docs: DataFrame, path: str, *, dropout: float = DROPOUT, se
 
     path: a SentencePiece BPE file with byte fallback, on every executor. seed: another one gives other
     segmentations; so does another document or another place in it. Null texts are empty and
-    have no ids; equal rows have equal results; no rows give no rows.
+    have no ids; texts of any length are encoded whole; equal rows have equal results; other columns are not
+    read; no rows give no rows.
     """
     return docs.select("text", F.col("doc_id").cast("long")).mapInArrow(_encoded(path, dropout, seed), "doc_id long, n_bytes long, n_tokens long, ids_crc32 long, decoded_sha256 string")
 

@@ -28,6 +28,8 @@ from .common import blocks, documents
 LENGTH = 2048
 DEME = 4096
 ISLANDS = 2
+#: Crossovers in a row that may bring nothing.
+PATIENCE = 6
 #: Demes whose poorly filled bins are packed anew together, and the fill below which a bin is opened.
 JOINED, WELL = 16, 0.98
 _END = b"\0\0\0\0"
@@ -39,7 +41,16 @@ _ROW = f"deme long, island int, bin int, {_PIECE}"
 def _tokenizer(path: str):
     from tokenizers import Tokenizer
 
-    return Tokenizer.from_file(path)
+    t = Tokenizer.from_file(path)
+    for text, want in _PROBES:
+        ids = t.encode(text, add_special_tokens=False).ids
+        if ids != [i for w in want for i in t.encode(w, add_special_tokens=False).ids] or len(t.pre_tokenizer.pre_tokenize_str(text)) != len(want):
+            raise ValueError(f"{path} has other pre-tokens")
+    return t
+
+
+#: Texts and the pre-tokens that they must have: white space is dropped, letters, single digits and signs are told apart.
+_PROBES = [("it's 12,ab", ["it", "'s", "1", "2", ",", "ab"]), ("a  b\n(c", ["a", "b", "(", "c"])]
 
 
 def parts_of(text: str) -> list[str]:
@@ -206,12 +217,14 @@ def first_packing(sizes: list[int], length: int, random: np.random.Generator | N
     return Packing(sizes, length).best_fit(np.lexsort((np.arange(len(sizes)), -keys)).tolist())
 
 
-def evolve(people: list[Packing], generations: int, random: np.random.Generator, floor: int) -> Packing:
-    """The fittest after some crossovers; each child takes the place of the least fit if it is fitter."""
+def evolve(people: list[Packing], patience: int, random: np.random.Generator, floor: int) -> Packing:
+    """The fittest once it has no more bins than the bound, or so many crossovers in a row have made none fitter; each child takes the place of the least fit."""
     people = sorted(people, key=Packing.fitness, reverse=True)
-    for _ in range(generations):
-        if len(people[0].bins) <= floor:
-            break
+    still, best = 0, people[0].fitness()
+    while len(people[0].bins) > floor and still < patience:
+        still += 1
+        if people[0].fitness() > best:
+            still, best = 0, people[0].fitness()
         i, j = random.permutation(len(people))[:2] if len(people) > 1 else (0, 0)
         people.append(crossover(people[min(i, j)], people[max(i, j)], random))
         people = sorted(people, key=Packing.fitness, reverse=True)[: max(2, len(people) - 1)]
@@ -221,7 +234,7 @@ def evolve(people: list[Packing], generations: int, random: np.random.Generator,
 _KEYS = ["doc_id", "piece", "start", "length", "ids_crc32"]
 
 
-def _epoch(length: int, generations: int, final: bool):
+def _epoch(length: int, patience: int, final: bool):
     """Rows of one island, or in the end of one deme; ``island`` tells whose elite a bin number is of, -1 none yet."""
 
     def run(key, pdf: pd.DataFrame) -> pd.DataFrame:
@@ -236,7 +249,7 @@ def _epoch(length: int, generations: int, final: bool):
             people = [first_packing(sizes, length, None if k == 0 and not seed[-1] else random) for k in range(2)]
         else:
             people = [from_numbers(sizes, length, g["bin"].to_numpy()) for g in groups]
-        best = evolve(people, generations, random, floor)
+        best = evolve(people, patience, random, floor)
         items["bin"] = best.numbers()
         if final:
             room = np.array(best.room, np.int64)[items["bin"]]
@@ -248,23 +261,25 @@ def _epoch(length: int, generations: int, final: bool):
     return run
 
 
-def _elites(pieces: DataFrame, length: int, islands: int, generations: int, epochs: int) -> DataFrame:
+def _elites(pieces: DataFrame, length: int, islands: int, patience: int, epochs: int) -> DataFrame:
     """(deme, bin, fill, offset and the piece) of the best packing of each deme."""
     row = _ROW
     at = pieces.withColumn("bin", F.lit(-1)).withColumn("island", F.explode(F.array(*map(F.lit, range(islands))))).withColumn("from", F.lit(0))
     for epoch in range(epochs):
-        at = at.groupBy("deme", "island").applyInPandas(_epoch(length, generations, False), row)
+        at = at.groupBy("deme", "island").applyInPandas(_epoch(length, patience, False), row)
         if epoch < epochs - 1:  # each elite stays and goes to the next island
             to = F.explode(F.array(*[F.struct(((F.col("island") + k) % islands).cast("int").alias("island"), F.lit(k).alias("from")) for k in range(min(2, islands))]))
             at = at.withColumn("_to", to).select("deme", "_to.island", "bin", *_KEYS, "_to.from")
-    return at.withColumn("from", F.col("island")).groupBy("deme").applyInPandas(_epoch(length, generations, True), f"{row}, fill double, offset long")
+    return at.withColumn("from", F.col("island")).groupBy("deme").applyInPandas(_epoch(length, patience, True), f"{row}, fill double, offset long")
 
 
-def pack(docs: DataFrame, path: str, *, length: int = LENGTH, deme: int = DEME, islands: int = ISLANDS, generations: int = 4, epochs: int = 2) -> DataFrame:
+def pack(docs: DataFrame, path: str, *, length: int = LENGTH, deme: int = DEME, islands: int = ISLANDS, patience: int = PATIENCE, epochs: int = 2) -> DataFrame:
     """(doc_id, piece, start, length, ids_crc32, sequence_id, offset) of every piece of every row.
 
-    path: a vocabulary of the tokenizers library that drops white space, on every executor. Null texts
-    are empty and have the end id alone; repeated rows are packed each; no rows give no rows.
+    path: a vocabulary of the tokenizers library with the pre-tokens of `_PRE_TOKEN`, on every executor; any other
+    fails. patience: crossovers in a row without a fitter packing that end an island's epoch. Null texts are empty
+    and have the end id alone; texts of any length are cut, not shortened; repeated rows are packed each; ties of
+    length are broken by the piece; other columns are not read; no rows give no rows.
     """
     n = docs.count()
     demes = max(1, n // deme)
@@ -272,11 +287,11 @@ def pack(docs: DataFrame, path: str, *, length: int = LENGTH, deme: int = DEME,
     pieces = pieces.withColumn("deme", F.pmod(F.xxhash64("doc_id", "piece", "start", "ids_crc32"), F.lit(demes)))
     # a piece of full length is a sequence by itself
     dealt = pieces.withColumn("deme", F.when(F.col("length") == length, -1 - F.col("deme")).otherwise(F.col("deme")))
-    first = _elites(dealt, length, islands, generations, epochs)
+    first = _elites(dealt, length, islands, patience, epochs)
     if demes > 1:
         opened = F.col("fill") < WELL
         again = first.withColumn("deme", F.when(opened, demes + F.floor(F.col("deme") / JOINED)).otherwise(F.col("deme"))).withColumn("from", F.when(opened, -1).otherwise(0)).withColumn("bin", F.when(opened, -1).otherwise(F.col("bin")))
-        first = again.select("deme", "island", "bin", *_KEYS, "from").groupBy("deme").applyInPandas(_epoch(length, generations, True), f"{_ROW}, fill double, offset long")
+        first = again.select("deme", "island", "bin", *_KEYS, "from").groupBy("deme").applyInPandas(_epoch(length, patience, True), f"{_ROW}, fill double, offset long")
     sequence = F.shiftleft(F.col("deme") + demes + 1, 32) + F.col("bin")
     return first.select(*_KEYS, sequence.alias("sequence_id"), "offset")
 

@@ -158,7 +158,9 @@ def _indicators(batches):
 def train(docs: DataFrame, labels: DataFrame, target: str = "quality", max_rows: int = MAX_ROWS) -> Model:
     """Fit on rows of ``labels`` (doc_id, target) outside the held-out third; see `held_out`.
 
-    Null labels and ids are left out. Of a class with more than half of ``max_rows``, the rows with the
+    Null labels and ids are left out; an id with both labels counts in both classes; repeated rows of a label
+    count once, of a document each; empty and null texts have no indicators; texts of any length count whole.
+    Without rows of both classes the score is the share of class 1, 0.5 without any. Of a class with more than half of ``max_rows``, the rows with the
     smallest hashes of their ids are taken. Only their indicators, a few KB a row, reach the driver.
     """
     known = labels.where(F.col(target).isin(0, 1) & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id"))).select("doc_id", F.col(target).cast("int").alias("label")).distinct()
@@ -177,7 +179,7 @@ def held_out(doc_id):
 
 
 def score(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
-    """``docs`` with ``score`` double of every whole text; null texts score as empty ones. A column of that name is replaced."""
+    """``docs`` with ``score`` double of every whole text; null texts score as empty ones. A column of that name is replaced, others stay; no rows give no rows."""
     docs = docs.drop("score")
     where = docs.columns.index(text_col)
     shared = docs.sparkSession.sparkContext.broadcast(model)  # two arrays of fixed size
@@ -196,15 +198,5 @@ def score(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
 def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Quality scores of all documents, learnt from the labels outside the held-out third."""
     docs = documents(spark, sf_dir).select("doc_id", "text")
-    model = train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    shared = spark.sparkContext.broadcast(model)
-
-    def run(batches):
-        m = shared.value
-        for batch in batches:
-            for at in range(0, batch.num_rows, 512):
-                part = batch.slice(at, 512)
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([m.score(features(t or "")) for t in part.column(1).to_pylist()], pa.float64())], ["doc_id", "score"])
-
-    scored = docs.mapInArrow(run, "doc_id long, score double")
-    return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+    scored = score(docs, train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
+    return scored.select(F.col("doc_id").cast("long").alias("doc_id"), held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))

@@ -100,12 +100,39 @@ def scan_versions(versions: DataFrame, ledger: DataFrame | None = None, rules: s
     """``versions`` (any columns, with text) with ``blob`` and ``spans`` of every row, null texts taken as empty.
 
     ledger: what earlier scans returned through `unseen`; None for the first scan. Columns named blob or
-    spans are replaced. Repeated rows each get the findings; no rows give no rows.
+    spans are replaced. Repeated rows each get the findings; texts of any length are scanned whole; no rows
+    give no rows.
     """
     paths = versions.drop("spans").withColumn("blob", F.sha2(F.coalesce("text", F.lit("")), 256))
     return paths.join(findings(versions, ledger, rules), "blob", "left").withColumn("spans", F.coalesce("spans", F.array().cast(_SPANS)))
 
 
+def scan_increment(versions: DataFrame, ledger_path: str, rules: str = RULES_VERSION) -> DataFrame:
+    """`scan_versions` against the ledger at ``ledger_path``, a folder of Parquet that is made by the first call.
+
+    Blobs of ``versions`` that the ledger lacks under these rules are scanned once; their rows, with or without
+    findings, are added to it, and all paths are joined with what it then holds. A call that fails has added all
+    of its rows or none; calls at the same time may add a blob twice, which changes no result.
+    """
+    spark = versions.sparkSession
+    schema = f"blob string, rules string, spans {_SPANS}"
+    known = spark.read.schema(schema).parquet(ledger_path) if _there(spark, ledger_path) else None
+    unseen(versions, known, rules).write.mode("append").parquet(ledger_path)
+    return scan_known(versions, spark.read.schema(schema).parquet(ledger_path), rules)
+
+
+def _there(spark: SparkSession, path: str) -> bool:
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p)
+
+
+def scan_known(versions: DataFrame, ledger: DataFrame, rules: str = RULES_VERSION) -> DataFrame:
+    """``versions`` with ``blob`` and ``spans``, all from a ledger that holds every blob of theirs; nothing is scanned."""
+    paths = versions.drop("blob", "spans").withColumn("blob", F.sha2(F.coalesce("text", F.lit("")), 256))
+    found = ledger.where((F.col("rules") == rules) & (F.size("spans") > 0)).groupBy("blob").agg(F.first("spans").alias("spans"))
+    return paths.join(found, "blob", "left").withColumn("spans", F.coalesce("spans", F.array().cast(_SPANS)))
+
+
 def digest(spans) -> object:
     """``kind:start:end`` of each span, comma-joined."""
     names = F.array(*map(F.lit, KINDS))

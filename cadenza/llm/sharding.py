@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import documents
+from .common import documents, fresh
 
 #: Cells of the ring; a power of two. Keys of a cell always travel together until a shard is full.
 RING_BITS = 16
@@ -83,17 +83,19 @@ def shard_ring(df: DataFrame, key: str, n_shards: int, *, tie: list[Column] | No
 
     key: the column whose hash places a row; null is a key like any other. tie: orders rows of one key.
     epsilon: a shard takes at most (1 + epsilon) times the mean; 0 makes counts differ by one at most.
-    No rows give no rows. Columns named like the two new ones are replaced. Rows that are equal in key
-    and tie are interchangeable: any of them may have any of their places.
+    No rows give no rows. Columns named like the two new ones are replaced, all others stay, whatever their
+    names. Rows that are equal in key and tie are interchangeable: any of them may have any of their places.
     """
-    hashed = df.withColumn("_cell", cell_of(F.col(key), bits)).withColumn("_hash", F.xxhash64(F.col(key)))
-    counts = {r["_cell"]: r["n"] for r in df.select(cell_of(F.col(key), bits).alias("_cell")).groupBy("_cell").agg(F.count(F.lit(1)).alias("n")).collect()}
+    df = df.drop("shard", "slot")
+    cell, hash_, rank, at, from_, to, owner, first = fresh([*df.columns, "shard", "slot"], "cell", "hash", "rank", "at", "from", "to", "owner", "first")
+    hashed = df.withColumn(cell, cell_of(F.col(key), bits)).withColumn(hash_, F.xxhash64(F.col(key)))
+    counts = {r[0]: r["n"] for r in hashed.groupBy(cell).agg(F.count(F.lit(1)).alias("n")).collect()}
     plan = walk(counts, ring(n_shards, vnodes, bits), bounds(sum(counts.values()), n_shards, epsilon))
-    steps = df.sparkSession.createDataFrame(plan, "_at int, _from long, _to long, _shard int, _slot long")
-    ranked = hashed.withColumn("_rank", F.row_number().over(Window.partitionBy("_cell").orderBy("_hash", key, *(tie or []))).cast("long") - 1)
+    steps = df.sparkSession.createDataFrame(plan, f"`{at}` int, `{from_}` long, `{to}` long, `{owner}` int, `{first}` long")
+    ranked = hashed.withColumn(rank, F.row_number().over(Window.partitionBy(cell).orderBy(hash_, key, *(tie or []))).cast("long") - 1)
     # the steps are at most as many as cells and, for each shard that fills up, one more
-    placed = ranked.join(F.broadcast(steps), (F.col("_cell") == F.col("_at")) & (F.col("_rank") >= F.col("_from")) & (F.col("_rank") < F.col("_to")))
-    return placed.withColumn("shard", F.col("_shard")).withColumn("slot", F.col("_slot") + F.col("_rank") - F.col("_from")).drop("_cell", "_hash", "_rank", "_at", "_from", "_to", "_shard", "_slot")
+    placed = ranked.join(F.broadcast(steps), (F.col(cell) == F.col(at)) & (F.col(rank) >= F.col(from_)) & (F.col(rank) < F.col(to)))
+    return placed.select(*df.columns, F.col(owner).alias("shard"), (F.col(first) + F.col(rank) - F.col(from_)).alias("slot"))
 
 
 def op1_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
