@@ -6,11 +6,20 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from cadenza.functions.lineage import cut
+
 
 def average_ranks(df: DataFrame, value: str, out: str) -> DataFrame:
-    """``df`` with ranks from 1, ties sharing their mean: counts of distinct values, accumulated, joined back."""
-    n = df.groupBy(value).agg(F.count(F.lit(1)).alias("_n"))
-    upto = n.withColumn("_upto", F.sum("_n").over(Window.orderBy(value)))
+    """``df`` with ranks from 1, ties sharing their mean: counts of distinct values, accumulated, joined back.
+
+    Values are dealt out by range and accumulated within each part, to which the sum of the parts before is
+    added; only those sums, one a part, are brought together.
+    """
+    n = df.groupBy(value).agg(F.count(F.lit(1)).alias("_n")).repartitionByRange(F.col(value))
+    n = cut(n.withColumn("_part", F.spark_partition_id()), "counts")  # written, so that ranges are drawn once
+    parts = n.groupBy("_part").agg(F.sum("_n").alias("_sum"))
+    before = parts.select("_part", (F.sum("_sum").over(Window.orderBy("_part")) - F.col("_sum")).alias("_before"))
+    upto = n.join(F.broadcast(before), "_part").withColumn("_upto", F.col("_before") + F.sum("_n").over(Window.partitionBy("_part").orderBy(value)))
     return df.join(upto.select(value, (F.col("_upto") - (F.col("_n") - 1) / 2).alias(out)), value)
 
 
@@ -81,9 +90,9 @@ def aps_scores(df: DataFrame) -> DataFrame:
 
 def aps_threshold(scored: DataFrame, coverage: float) -> DataFrame:
     """(q_hat): the ceil((n + 1) coverage)-th smallest score; 1 beyond the last, 0 before the first."""
-    n = scored.agg(F.count(F.lit(1)).alias("n"), F.array_sort(F.collect_list("score")).alias("s"))
-    k = F.ceil((F.col("n") + 1) * F.lit(coverage)).cast("int")
-    return n.select(F.when(k > F.col("n"), 1.0).when(k < 1, 0.0).otherwise(F.try_element_at("s", k)).alias("q_hat"))
+    from cadenza.operators.calibration import conformal_threshold
+
+    return scored.sparkSession.createDataFrame([(conformal_threshold(scored, coverage),)], "q_hat double")
 
 
 def prediction_sets(df: DataFrame, q_hat: float) -> DataFrame:
