@@ -16,6 +16,7 @@ import hashlib
 import heapq
 import re
 import zlib
+from array import array
 from functools import lru_cache
 
 import numpy as np
@@ -95,19 +96,38 @@ def segment(v: Vocabulary, part: str, skipped=frozenset()) -> tuple[list[int], i
     return out, n
 
 
+def _packed(ids: list[int]) -> bytes:
+    return array("I", ids).tobytes()
+
+
 class Known:
-    """Segmentations of short parts by the set of skipped candidates: trees of (ids, candidates, skipped, by the next one skipped)."""
+    """Segmentations of short parts: by number the part's plain ids and count of candidates, and trees of (ids, candidates, skipped, by the next one skipped)."""
 
     def __init__(self, v: Vocabulary):
         self.v = v
         self.clear()
 
     def clear(self) -> None:
-        self.count, self.roots = 0, {"": ([self.v.byte_ids[b] for b in SPACE.encode()], 0, (), {})}
+        self.at, self.plain, self.counts, self.trees, self.held = {}, [], [], [], 0
+        self._add("", (_packed([self.v.byte_ids[b] for b in SPACE.encode()]), 0, (), {}))
+
+    def _add(self, part: str, tree: tuple) -> int:
+        self.at[part] = len(self.trees)
+        self.plain.append(tree[0])
+        self.counts.append(tree[1])
+        self.trees.append(tree)
+        return self.at[part]
+
+    def number(self, part: str) -> int:
+        """The part's number, also of a new one; -1 for one that is too long to be remembered."""
+        if (k := self.at.get(part)) is not None:
+            return k
+        return -1 if len(part) > SHORT else self._add(part, self.node(part, ()))
 
     def node(self, part: str, skipped: tuple[int, ...]) -> tuple:
-        self.count += 1
-        return *segment(self.v, part, skipped), skipped, {}
+        self.held += 1
+        ids, n = segment(self.v, part, skipped)
+        return _packed(ids), n, skipped, {}
 
 
 def skips(key: bytes, n: int, dropout: float) -> np.ndarray:
@@ -121,47 +141,69 @@ def skips(key: bytes, n: int, dropout: float) -> np.ndarray:
     return np.concatenate(out)
 
 
-def encode(v: Vocabulary, text: str, dropout: float = 0.0, key: bytes = b"") -> list[int]:
-    """The ids of a text."""
-    if not text:
-        return []
+def _parts(text: str) -> list[str]:
+    """The parts of a text, with space marks for spaces; '' for a mark that the text itself holds."""
+    if SPACE not in text:
+        return _PARTS.findall(SPACE + text.replace(" ", SPACE))
     parts: list[str] = []
     for k, piece in enumerate(text.split(SPACE)):
-        if k:  # a mark that the text itself holds is no space
-            parts.append("")
         marked = piece.replace(" ", SPACE)
-        parts += _PARTS.findall(SPACE + marked if k == 0 else marked)
-    ends = np.cumsum(np.fromiter(map(len, parts), np.int64, len(parts))) * DRAWS
-    at = skips(key, int(ends[-1]), dropout) if dropout else np.zeros(0, np.int64)
-    cuts = np.searchsorted(at, ends)
-    # numbered within each part
-    at = (at - np.repeat(np.concatenate([[0], ends[:-1]]), np.diff(cuts, prepend=0))).tolist()
-    if v.known.count > REMEMBERED:
-        v.known.clear()
-    known, new, out, lo = v.known.roots, v.known.node, [], 0
-    for part, hi in zip(parts, cuts.tolist(), strict=True):
-        node = known.get(part)
-        if node is None:
-            if len(part) > SHORT:
-                out += segment(v, part, frozenset(at[lo:hi]))[0]
-                lo = hi
-                continue
-            node = known[part] = new(part, ())
-        for d in at[lo:hi]:
-            if d >= node[1]:
-                break
-            below = node[3].get(d)
-            if below is None:
-                below = node[3][d] = new(part, (*node[2], d))
-            node = below
-        lo = hi
-        out += node[0]
-    return out
-
-
-def decode(v: Vocabulary, ids: list[int]) -> str:
+        parts += ["", *_PARTS.findall(marked)] if k else _PARTS.findall(SPACE + marked)
+    return parts
+
+
+def encode_packed(v: Vocabulary, text: str, dropout: float = 0.0, key: bytes = b"") -> bytes:
+    """The ids of a text as 32-bit numbers.
+
+    Only parts in which a candidate is skipped are looked at one by one; the others have their plain ids.
+    """
+    if not text:
+        return b""
+    parts, known = _parts(text), v.known
+    if known.held > REMEMBERED:
+        known.clear()
+    at = list(map(known.at.get, parts))
+    if None in at:
+        at = list(map(known.number, parts))
+    out = list(map(known.plain.__getitem__, at))
+    long = [k for k, a in enumerate(at) if a < 0] if -1 in at else []
+    where = local = np.zeros(0, np.int64)
+    if dropout:
+        begin = np.zeros(len(parts) + 1, np.int64)
+        np.cumsum(np.fromiter(map(len, parts), np.int64, len(parts)) * DRAWS, out=begin[1:])
+        drawn = skips(key, int(begin[-1]), dropout)
+        where = np.searchsorted(begin[1:], drawn, side="right")
+        local = drawn - begin[where]  # numbered within each part
+        first = np.flatnonzero(np.r_[True, where[1:] != where[:-1]][: len(where)])
+        last = np.append(first[1:], len(where))
+        hit = where[first]
+        # a part none of whose first candidates is skipped has no other
+        good = local[first] < np.fromiter(map(known.counts.__getitem__, at), np.int64, len(at))[hit]
+        numbers, trees, node = local.tolist(), known.trees, known.node
+        for k, lo, hi in zip(hit[good].tolist(), first[good].tolist(), last[good].tolist(), strict=True):
+            tree = trees[at[k]]
+            for d in numbers[lo:hi]:
+                if d >= tree[1]:
+                    break
+                below = tree[3].get(d)
+                if below is None:
+                    below = tree[3][d] = node(parts[k], (*tree[2], d))
+                tree = below
+            out[k] = tree[0]
+    for k in long:
+        lo, hi = np.searchsorted(where, (k, k + 1))
+        out[k] = _packed(segment(v, parts[k], frozenset(local[lo:hi].tolist()))[0])
+    return b"".join(out)
+
+
+def encode(v: Vocabulary, text: str, dropout: float = 0.0, key: bytes = b"") -> list[int]:
+    """The ids of a text."""
+    return array("I", encode_packed(v, text, dropout, key)).tolist()
+
+
+def decode(v: Vocabulary, ids) -> str:
     """The text of ids that `encode` gave."""
-    return b"".join([v.raw[i] for i in ids]).decode("utf-8", "surrogatepass")[1:]  # without the space that every text is given in front
+    return b"".join(map(v.raw.__getitem__, ids)).decode("utf-8", "surrogatepass")[1:]  # without the space that every text is given in front
 
 
 def _encoded(path: str, dropout: float, seed: int):
@@ -173,9 +215,10 @@ def _encoded(path: str, dropout: float, seed: int):
                 text = text or ""
                 raw = text.encode("utf-8", "surrogatepass")
                 # with the text, so that documents of null or repeated ids draw on their own
-                got = encode(v, text, dropout, f"{seed}/{doc}/".encode() + raw)
+                packed = encode_packed(v, text, dropout, f"{seed}/{doc}/".encode() + raw)
+                got = array("I", packed)
                 back = decode(v, got)
-                rows.append((doc, len(raw), len(got), zlib.crc32(np.array(got, "<u4").tobytes()), hashlib.sha256(back.encode("utf-8", "surrogatepass")).hexdigest()))
+                rows.append((doc, len(raw), len(got), zlib.crc32(np.frombuffer(packed, np.uint32).astype("<u4").tobytes()), hashlib.sha256(back.encode("utf-8", "surrogatepass")).hexdigest()))
             kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string()]
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], ["doc_id", "n_bytes", "n_tokens", "ids_crc32", "decoded_sha256"])
 
