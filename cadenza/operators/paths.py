@@ -83,44 +83,72 @@ def held_karp(cost: np.ndarray, start: int | None = None) -> list[int]:
     return path[::-1]
 
 
-def two_opt(cost: np.ndarray, start: int | None = None) -> list[int]:
-    """Nearest-neighbour tour, the best of all starts, improved by reversals until none gains."""
-    n = len(cost)
+#: Entries of cost that the tours of a block of starts look at in one step.
+_LOOKED_AT = 1 << 22
+
+
+def nearest_tours(cost: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    """One tour a row, each going on to the nearest node it has not visited, ties to the lower number; all grow at once."""
+    n, rows = len(cost), np.arange(len(starts))
+    tours, open_ = np.empty((len(starts), n), np.int64), np.ones((len(starts), n), bool)
+    at = starts
+    for step in range(n):
+        tours[:, step] = at
+        open_[rows, at] = False
+        if step < n - 1:
+            at = np.where(open_, cost[at], np.inf).argmin(1)
+    return tours
+
 
-    def near(s):
-        path, left = [s], set(range(n)) - {s}
-        while left:
-            path.append(min(left, key=lambda j: (cost[path[-1], j], j)))
-            left.remove(path[-1])
-        return path
+def _reversal(cost: np.ndarray, path: np.ndarray, i: int, low: int) -> int:
+    """The first place from ``low`` on up to which turning the path round from i makes it shorter; -1 if there is none."""
+    last, behind = path[low:], np.append(path[low + 1 :], -1)
+    change = cost[path[i - 1], last] - cost[path[i - 1], path[i]]
+    change += np.where(behind < 0, 0.0, cost[path[i], behind] - cost[last, behind])
+    found = np.flatnonzero(change < -1e-12)
+    return low + int(found[0]) if len(found) else -1
 
-    length = lambda p: float(cost[p[:-1], p[1:]].sum())
-    path = min((near(s) for s in (range(n) if start is None else [start])), key=length)
-    moved = True
+
+def two_opt(cost: np.ndarray, start: int | None = None) -> list[int]:
+    """Nearest-neighbour tour, the shortest of all starts or that of a given one, improved by reversals until none gains; the first node stays first."""
+    n = len(cost)
+    starts, best = np.arange(n) if start is None else np.array([start]), (np.inf, np.zeros(0, np.int64))
+    for lo in range(0, len(starts), step := max(1, _LOOKED_AT // n)):
+        tours = nearest_tours(cost, starts[lo : lo + step])
+        length = cost[tours[:, :-1], tours[:, 1:]].sum(1)
+        k = int(length.argmin())
+        if length[k] < best[0]:
+            best = (length[k], tours[k])
+    path, moved = best[1].copy(), True
     while moved:
         moved = False
-        for i in range(1 if start is not None else 0, n - 1):
-            for j in range(i + 1, n):
-                before = (cost[path[i - 1], path[i]] if i else 0.0) + (cost[path[j], path[j + 1]] if j + 1 < n else 0.0)
-                after = (cost[path[i - 1], path[j]] if i else 0.0) + (cost[path[i], path[j + 1]] if j + 1 < n else 0.0)
-                if after < before - 1e-12:
-                    path[i : j + 1] = path[i : j + 1][::-1]
-                    moved = True
-    return path
+        for i in range(1, n - 1):
+            j = i
+            while j + 1 < n and (j := _reversal(cost, path, i, j + 1)) > 0:
+                path[i : j + 1] = path[i : j + 1][::-1].copy()
+                moved = True
+    return path.tolist()
 
 
-def smooth_order(df: DataFrame) -> DataFrame:
-    """(playlist, pos, id): a smooth order of each playlist of ``df`` (playlist, id, v) by cosine distance."""
+def smooth_order(df: DataFrame, pinned: str | None = None) -> DataFrame:
+    """(playlist, pos, id): a smooth order of each playlist of ``df`` (playlist, id, v) by cosine distance.
+
+    Exact up to a dozen rows, else by reversals from the best nearest-neighbour tour. pinned: a boolean column; the
+    row of the smallest id for which it is true opens its playlist.
+    """
 
     def order(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("id")
         x = np.array(pdf["v"].tolist(), np.float64)
         x /= np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-8)
         cost = np.clip(1 - x @ x.T, 0, None)
-        path = held_karp(cost) if len(x) <= EXACT else two_opt(cost)
+        first = np.flatnonzero(pdf["pinned"].to_numpy())
+        start = int(first[0]) if len(first) else None
+        path = held_karp(cost, start) if len(x) <= EXACT else two_opt(cost, start)
         return pd.DataFrame({"playlist": pdf["playlist"].to_numpy()[path], "pos": np.arange(len(path)), "id": pdf["id"].to_numpy()[path]})
 
-    return df.groupBy("playlist").applyInPandas(lambda pdf: order(pdf), "playlist long, pos int, id long")
+    rows = df.select("playlist", "id", "v", F.coalesce(F.col(pinned), F.lit(False)).alias("pinned") if pinned else F.lit(False).alias("pinned"))
+    return rows.groupBy("playlist").applyInPandas(lambda pdf: order(pdf), "playlist long, pos int, id long")
 
 
 def sinkhorn(cost: np.ndarray, mass_a: np.ndarray, mass_b: np.ndarray, reg: float = 0.05, rounds: int = 1000) -> np.ndarray:

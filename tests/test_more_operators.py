@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from cadenza import errors
 from cadenza.config import Config, Segments
 from cadenza.functions import lineage, vectors
-from cadenza.operators import calibration, embedders, evaluation, metrics, pooling, probes, signals, similarity, structure
+from cadenza.operators import calibration, embedders, evaluation, metrics, paths, pooling, probes, signals, similarity, structure
 from cadenza.plans import analysis
 from cadenza.sources import artifacts, tables
 
@@ -234,3 +234,35 @@ def test_cache_and_settings(spark, tmp_path):
     assert [r["s"] for r in names] == ["été_co", "unknown", "unknown"]
     assert lineage.shared_folder(spark).startswith("file:")
     assert metrics.macro_f1(spark.createDataFrame([(1, 1)], "truth int, predicted int")).first()["macro_f1"] == 1.0
+
+
+def test_tours_against_one_reversal_at_a_time(spark):
+    """The same path as plain loops over all reversals, from the shortest greedy tour."""
+    rng = np.random.default_rng(7)
+    x = rng.normal(0, 1, (40, 6))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    cost = np.clip(1 - x @ x.T, 0, None)
+    length = lambda p: sum(cost[a, b] for a, b in zip(p, p[1:], strict=False))
+
+    def greedy(s):
+        p = [s]
+        while len(p) < 40:
+            p.append(min((j for j in range(40) if j not in p), key=lambda j: (cost[p[-1], j], j)))
+        return p
+
+    def improved(p):
+        again = True
+        while again:
+            again = False
+            for i in range(1, 39):
+                for j in range(i + 1, 40):
+                    new = p[:i] + p[i : j + 1][::-1] + p[j + 1 :]
+                    if length(new) < length(p) - 1e-12:
+                        p, again = new, True
+        return p
+
+    assert paths.two_opt(cost) == improved(min(map(greedy, range(40)), key=length))
+    assert paths.two_opt(cost, 5) == improved(greedy(5))
+    df = spark.createDataFrame([(k // 30, k, x[k].tolist(), k in (3, 35)) for k in range(40)], "playlist long, id long, v array<double>, first boolean")
+    got = paths.smooth_order(df, "first").collect()
+    assert {r["id"] for r in got if r["pos"] == 0} == {3, 35} and sorted(r["id"] for r in got) == list(range(40))
