@@ -94,18 +94,17 @@ def conformal_scores(df: DataFrame, k_reg: int = 0, lam_reg: float = 0.0) -> Dat
 def conformal_threshold(scored: DataFrame, coverage: float, lam_reg: float = 0.0) -> float:
     """The ceil((n + 1) coverage)-th smallest score: 0 before the first, beyond the last 1, or infinite with a penalty.
 
-    Only counts travel: a histogram of equal bins narrows the range that holds the rank until one value is left
+    Scores are written once. Only counts travel: a histogram of equal bins narrows the range that holds the rank until one value is left
     or so few that they are fetched.
     """
-    n = scored.count()
-    k = math.ceil((n + 1) * coverage)
+    bins, few = 1024, 10_000
+    rows, below = cut(scored.select(F.col("score").cast("double").alias("s")), "scores"), 0
+    low, high, n = rows.agg(F.min("s"), F.max("s"), F.count(F.lit(1))).first()
+    k, inside = math.ceil((n + 1) * coverage), n
     if k < 1:
         return 0.0
     if k > n:
         return 1.0 if lam_reg <= 0 else float("inf")
-    bins, few = 1024, 10_000
-    rows, below = scored.select(F.col("score").cast("double").alias("s")), 0
-    low, high, inside = *rows.agg(F.min("s"), F.max("s")).first(), n
     while inside > few and high > low:
         width = (high - low) / bins
         span = rows.where(F.col("s").between(low, high)).select("s", F.least(F.floor((F.col("s") - low) / width), F.lit(bins - 1)).alias("b"))
