@@ -18,6 +18,7 @@ import re
 import zlib
 from array import array
 from functools import lru_cache
+from operator import add
 
 import numpy as np
 import pyarrow as pa
@@ -33,6 +34,7 @@ DROPOUT = 0.1
 DRAWS = 3
 #: Characters up to which segmentations of a part are remembered, and how many of them.
 SHORT, REMEMBERED = 32, 300_000
+_NEVER = float("inf")
 _PARTS = re.compile(rf"{SPACE}+[^{SPACE}\n]*|\n+|[^{SPACE}\n]+")
 
 
@@ -48,6 +50,7 @@ class Vocabulary:
         self.byte_ids = {b: i for i, b in self.bytes.items()}
         self.ids = {p: i for i, p in enumerate(self.pieces) if not (m.is_byte(i) or m.is_control(i) or m.is_unknown(i))}
         self.scores = m.get_score(list(range(m.get_piece_size())))
+        self.costs = {p: -self.scores[i] for p, i in self.ids.items()}
         self.raw = [bytes([self.bytes[i]]) if i in self.bytes else p.replace(SPACE, " ").encode() for i, p in enumerate(self.pieces)]
         self.known = Known(self)
         if any("\n" in p or SPACE in p.lstrip(SPACE) for p in self.ids):
@@ -61,6 +64,16 @@ def vocabulary(path: str) -> Vocabulary:
 
 def segment(v: Vocabulary, part: str, skipped=frozenset()) -> tuple[list[int], int]:
     """The ids of one part, with space marks for spaces, and its count of candidates, of which those numbered in ``skipped`` are left out."""
+    symbols, n = (_by_scan if len(part) <= SHORT else _by_agenda)(v, part, skipped)
+    out: list[int] = []
+    for s in symbols:
+        k = v.ids.get(s)
+        out += [k] if k is not None else [v.byte_ids[b] for b in s.encode("utf-8", "surrogatepass")]
+    return out, n
+
+
+def _by_agenda(v: Vocabulary, part: str, skipped) -> tuple[list[str], int]:
+    """The symbols that are left, and the count of candidates; the agenda is a heap, so that a part may be of any length."""
     symbols = list(part)
     after, before = list(range(1, len(symbols) + 1)), list(range(-1, len(symbols) - 1))
     agenda: list[tuple[float, int, str]] = []
@@ -68,8 +81,8 @@ def segment(v: Vocabulary, part: str, skipped=frozenset()) -> tuple[list[int], i
     def propose(i: int) -> None:
         if i >= 0 and after[i] < len(symbols):
             piece = symbols[i] + symbols[after[i]]
-            if (k := v.ids.get(piece)) is not None:
-                heapq.heappush(agenda, (-v.scores[k], i, piece))
+            if (cost := v.costs.get(piece)) is not None:
+                heapq.heappush(agenda, (cost, i, piece))
 
     for i in range(len(symbols) - 1):
         propose(i)
@@ -88,12 +101,30 @@ def segment(v: Vocabulary, part: str, skipped=frozenset()) -> tuple[list[int], i
             before[after[j]] = i
         propose(before[i])
         propose(i)
-    out: list[int] = []
-    for s in symbols:
-        if s:
-            k = v.ids.get(s)
-            out += [k] if k is not None else [v.byte_ids[b] for b in s.encode("utf-8", "surrogatepass")]
-    return out, n
+    return [s for s in symbols if s], n
+
+
+def _by_scan(v: Vocabulary, part: str, skipped) -> tuple[list[str], int]:
+    """The same, where the agenda of a short part is a list of its neighbours' costs, searched whole for each candidate.
+
+    A neighbourhood that was skipped costs infinitely much until one of its two symbols grows.
+    """
+    symbols, cost = list(part), v.costs.get
+    agenda = [cost(p, _NEVER) for p in map(add, symbols, symbols[1:])]
+    n = 0
+    while agenda and (least := min(agenda)) < _NEVER:
+        i = agenda.index(least)
+        n += 1
+        if n - 1 in skipped:
+            agenda[i] = _NEVER
+            continue
+        symbols[i] += symbols.pop(i + 1)
+        del agenda[i]
+        if i:
+            agenda[i - 1] = cost(symbols[i - 1] + symbols[i], _NEVER)
+        if i < len(agenda):
+            agenda[i] = cost(symbols[i] + symbols[i + 1], _NEVER)
+    return symbols, n
 
 
 def _packed(ids: list[int]) -> bytes:
@@ -179,6 +210,7 @@ def encode_packed(v: Vocabulary, text: str, dropout: float = 0.0, key: bytes = b
         hit = where[first]
         # a part none of whose first candidates is skipped has no other
         good = local[first] < np.fromiter(map(known.counts.__getitem__, at), np.int64, len(at))[hit]
+        good &= np.fromiter(at, np.int64, len(at))[hit] >= 0  # long parts have no tree
         numbers, trees, node = local.tolist(), known.trees, known.node
         for k, lo, hi in zip(hit[good].tolist(), first[good].tolist(), last[good].tolist(), strict=True):
             tree = trees[at[k]]

@@ -102,6 +102,26 @@ def test_merge_dropout(docs, none, texts):
     assert merge_dropout.encode_documents(none, path).count() == 0
 
 
+def test_long_parts_leave_remembered_words_alone():
+    """A part too long to be remembered must not enter the tree of the word learnt last; both agendas agree."""
+    import public_tokenizers
+
+    v = merge_dropout.vocabulary(public_tokenizers.path("piece_bpe_32k.model"))
+    v.known.clear()
+    for k in range(60):
+        text = "abcde" * 10 + " international" * 20
+        assert merge_dropout.decode(v, merge_dropout.encode(v, text, 0.1, b"%d" % k)) == text
+    v.known.clear()
+    words = ["international", "é日本🎵x", "a\tb", "<s>", "</s>", "<0x41>", "~~~~", "x\0y", "0123456789" * 3, "▁", "ﬁ"]
+    text = "\n".join(words) + "  " + " ".join(words)
+    assert merge_dropout.decode(v, merge_dropout.encode(v, text, 0.0)) == text
+    for word in words:
+        for part in ("▁" + word, "▁▁" + word, word):
+            for skipped in ((), (0,), (1, 3), (0, 2, 4, 5)):
+                assert merge_dropout._by_scan(v, part, skipped) == merge_dropout._by_agenda(v, part, skipped), part
+    v.known.clear()
+
+
 def test_each_occurrence_draws_its_own_merges(spark):
     """Cuts of a word vary within and between documents, at the rate of the dropout, as one by one."""
     import public_tokenizers
