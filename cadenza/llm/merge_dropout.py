@@ -34,6 +34,7 @@ DROPOUT = 0.1
 DRAWS = 3
 #: Characters up to which segmentations of a part are remembered, and how many of them.
 SHORT, REMEMBERED = 32, 300_000
+UNKNOWN = 1 << 40
 _NEVER = float("inf")
 _PARTS = re.compile(rf"{SPACE}+[^{SPACE}\n]*|\n+|[^{SPACE}\n]+")
 
@@ -65,7 +66,10 @@ def vocabulary(path: str) -> Vocabulary:
 def segment(v: Vocabulary, part: str, skipped=frozenset()) -> tuple[list[int], int]:
     """The ids of one part, with space marks for spaces, and its count of candidates, of which those numbered in ``skipped`` are left out."""
     symbols, n = (_by_scan if len(part) <= SHORT else _by_agenda)(v, part, skipped)
-    out: list[int] = []
+    try:
+        return [v.ids[s] for s in symbols], n
+    except KeyError:
+        out: list[int] = []
     for s in symbols:
         k = v.ids.get(s)
         out += [k] if k is not None else [v.byte_ids[b] for b in s.encode("utf-8", "surrogatepass")]
@@ -132,33 +136,44 @@ def _packed(ids: list[int]) -> bytes:
 
 
 class Known:
-    """Segmentations of short parts: by number the part's plain ids and count of candidates, and trees of (ids, candidates, skipped, by the next one skipped)."""
+    """Segmentations of short parts, by number: plain ids and counts of candidates, None and UNKNOWN until a run gave them, and trees.
+
+    A node is [ids, count of candidates, nodes by the next one skipped]. A run with several skips fills only the last node of its way.
+    """
 
     def __init__(self, v: Vocabulary):
         self.v = v
         self.clear()
 
     def clear(self) -> None:
-        self.at, self.plain, self.counts, self.trees, self.held = {}, [], [], [], 0
-        self._add("", (_packed([self.v.byte_ids[b] for b in SPACE.encode()]), 0, (), {}))
-
-    def _add(self, part: str, tree: tuple) -> int:
-        self.at[part] = len(self.trees)
-        self.plain.append(tree[0])
-        self.counts.append(tree[1])
-        self.trees.append(tree)
-        return self.at[part]
+        self.at, self.plain, self.counts, self.trees, self.held = {"": 0}, [_packed([self.v.byte_ids[b] for b in SPACE.encode()])], [0], [], 0
+        self.trees.append([self.plain[0], 0, {}])
 
     def number(self, part: str) -> int:
         """The part's number, also of a new one; -1 for one that is too long to be remembered."""
         if (k := self.at.get(part)) is not None:
             return k
-        return -1 if len(part) > SHORT else self._add(part, self.node(part, ()))
-
-    def node(self, part: str, skipped: tuple[int, ...]) -> tuple:
+        if len(part) > SHORT:
+            return -1
+        k = self.at[part] = len(self.trees)
+        self.plain.append(None)
+        self.counts.append(UNKNOWN)
+        self.trees.append([None, UNKNOWN, {}])
+        return k
+
+    def run(self, k: int, part: str, drawn: list[int]) -> bytes:
+        """Segment a part with the skips that were drawn, and remember the ids under those of them that met a candidate."""
+        ids, n = segment(self.v, part, drawn)
+        node = self.trees[k]
+        for d in drawn:
+            if d >= n:
+                break
+            node = node[2].setdefault(d, [None, UNKNOWN, {}])
+        node[0], node[1] = packed, _ = _packed(ids), n
+        if node is self.trees[k]:
+            self.plain[k], self.counts[k] = packed, n
         self.held += 1
-        ids, n = segment(self.v, part, skipped)
-        return _packed(ids), n, skipped, {}
+        return packed
 
 
 def skips(key: bytes, n: int, dropout: float) -> np.ndarray:
@@ -196,8 +211,8 @@ def encode_packed(v: Vocabulary, text: str, dropout: float = 0.0, key: bytes = b
     at = list(map(known.at.get, parts))
     if None in at:
         at = list(map(known.number, parts))
-    out = list(map(known.plain.__getitem__, at))
     long = [k for k, a in enumerate(at) if a < 0] if -1 in at else []
+    out = list(map(known.plain.__getitem__, at))
     where = local = np.zeros(0, np.int64)
     if dropout:
         begin = np.zeros(len(parts) + 1, np.int64)
@@ -211,17 +226,18 @@ def encode_packed(v: Vocabulary, text: str, dropout: float = 0.0, key: bytes = b
         # a part none of whose first candidates is skipped has no other
         good = local[first] < np.fromiter(map(known.counts.__getitem__, at), np.int64, len(at))[hit]
         good &= np.fromiter(at, np.int64, len(at))[hit] >= 0  # long parts have no tree
-        numbers, trees, node = local.tolist(), known.trees, known.node
+        numbers, trees = local.tolist(), known.trees
         for k, lo, hi in zip(hit[good].tolist(), first[good].tolist(), last[good].tolist(), strict=True):
-            tree = trees[at[k]]
+            node = trees[at[k]]
             for d in numbers[lo:hi]:
-                if d >= tree[1]:
+                if d >= node[1]:
+                    break
+                if (node := node[2].get(d)) is None:
                     break
-                below = tree[3].get(d)
-                if below is None:
-                    below = tree[3][d] = node(parts[k], (*tree[2], d))
-                tree = below
-            out[k] = tree[0]
+            out[k] = (node and node[0]) or known.run(at[k], parts[k], numbers[lo:hi])
+    if None in out:
+        for k in [k for k, ids in enumerate(out) if ids is None and at[k] >= 0]:
+            out[k] = known.plain[at[k]] or known.run(at[k], parts[k], [])
     for k in long:
         lo, hi = np.searchsorted(where, (k, k + 1))
         out[k] = _packed(segment(v, parts[k], frozenset(local[lo:hi].tolist()))[0])
