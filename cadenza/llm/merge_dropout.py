@@ -18,6 +18,7 @@ import re
 import zlib
 from array import array
 from functools import lru_cache
+from itertools import repeat
 from operator import add
 
 import numpy as np
@@ -114,7 +115,7 @@ def _by_scan(v: Vocabulary, part: str, skipped) -> tuple[list[str], int]:
     A neighbourhood that was skipped costs infinitely much until one of its two symbols grows.
     """
     symbols, cost = list(part), v.costs.get
-    agenda = [cost(p, _NEVER) for p in map(add, symbols, symbols[1:])]
+    agenda = list(map(cost, map(add, symbols, symbols[1:]), repeat(_NEVER)))
     n = 0
     while agenda and (least := min(agenda)) < _NEVER:
         i = agenda.index(least)
