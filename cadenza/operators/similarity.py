@@ -104,6 +104,33 @@ def find_similar(df: DataFrame, query_id: int, k: int) -> DataFrame:
     return top.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("cos"), "id")))
 
 
+def similar_to(queries: DataFrame, df: DataFrame, k: int, block_rows: int = BLOCK_ROWS) -> DataFrame:
+    """(query_id, id, cos, rank): the k rows of ``df`` most similar to each row of ``queries``, both (id, v), without the row of its own id.
+
+    Queries and rows meet in pairs of blocks, of which each returns its k best; ties go to the smaller id.
+    """
+
+    def work(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
+        if not len(a) or not len(b):
+            return pd.DataFrame({"query_id": [], "id": [], "cos": []})
+        s = _matrix(a) @ _matrix(b).T
+        ids, others = a["id"].to_numpy(), b["id"].to_numpy()
+        s[ids[:, None] == others[None, :]] = -np.inf
+        top = np.argsort(-s, axis=1, kind="stable")[:, :k]
+        out = pd.DataFrame({"query_id": np.repeat(ids, top.shape[1]), "id": others[top].ravel(), "cos": np.take_along_axis(s, top, 1).ravel()})
+        return out[out["cos"] > -np.inf]
+
+    unit = [d.select("id", l2(F.col("v")).alias("v")) for d in (queries, df)]
+    part = against(*unit, work, "query_id long, id long, cos double", block_rows)
+    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("cos"), "id"))
+    return part.withColumn("rank", rank).where(F.col("rank") <= k)
+
+
+def spread_to(queries: DataFrame, df: DataFrame, k: int, spread: int) -> DataFrame:
+    """Of the k * spread rows most similar to each query, every spread-th."""
+    return similar_to(queries, df, k * spread).where((F.col("rank") - 1) % spread == 0)
+
+
 def spread_neighbours(df: DataFrame, query_id: int, k: int, spread: int) -> DataFrame:
     """Of the k * spread most similar rows, every spread-th."""
     return find_similar(df, query_id, k * spread).where((F.col("rank") - 1) % spread == 0)
@@ -206,21 +233,46 @@ def modularity(edges: DataFrame, labels: DataFrame) -> DataFrame:
     return ends.crossJoin(F.broadcast(inner)).groupBy("m", "within").agg(F.sum(F.pow(F.col("degree") / (2 * F.col("m")), 2)).alias("e")).select((F.col("within") / F.col("m") - F.col("e")).alias("modularity"))
 
 
-def late_interaction(query: DataFrame, candidates: DataFrame) -> DataFrame:
-    """(track, score): for each query segment the best cosine with a segment of the track, summed.
+def _starts(ids: np.ndarray) -> np.ndarray:
+    """Where each run of equal ids begins."""
+    return np.flatnonzero(np.r_[True, ids[1:] != ids[:-1]][: len(ids)])
+
+
+def late_interaction(query: DataFrame, candidates: DataFrame, k: int = 20, block_rows: int = BLOCK_ROWS) -> DataFrame:
+    """(query, track, score, rank): for each segment of a query track the best cosine with a segment of the other track, summed.
 
-    query: (seg, v), few rows, gathered to one; candidates: (track, seg, v).
+    query, candidates: (track, v), one row a segment; segments of a track meet in one block, so that a task sees
+    whole tracks and returns the k best for each query. A track is no candidate for itself; ties go to the smaller one.
     """
-    q = query.agg(F.collect_list(l2(F.col("v"))).alias("q"))
-    best = candidates.select("track", l2(F.col("v")).alias("v")).crossJoin(F.broadcast(q)).select("track", F.posexplode(F.transform("q", lambda x: dot(x, F.col("v")))).alias("p", "s"))
-    return best.groupBy("track", "p").agg(F.max("s").alias("s")).groupBy("track").agg(F.sum("s").alias("score"))
+
+    def work(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
+        if not len(a) or not len(b):
+            return pd.DataFrame({"query": [], "track": [], "score": []})
+        i, j = a["id"].to_numpy(), b["id"].to_numpy()
+        at, to = _starts(i), _starts(j)
+        s = np.add.reduceat(np.maximum.reduceat(_matrix(a) @ _matrix(b).T, to, axis=1), at, axis=0)
+        queries, tracks = i[at], j[to]
+        s[queries[:, None] == tracks[None, :]] = -np.inf
+        top = np.argsort(-s, axis=1, kind="stable")[:, :k]
+        out = pd.DataFrame({"query": np.repeat(queries, top.shape[1]), "track": tracks[top].ravel(), "score": np.take_along_axis(s, top, 1).ravel()})
+        return out[out["score"] > -np.inf]
+
+    unit = [d.select(F.col("track").alias("id"), l2(F.col("v")).alias("v")) for d in (query, candidates)]
+    part = against(*unit, work, "query long, track long, score double", block_rows)
+    rank = F.row_number().over(Window.partitionBy("query").orderBy(F.desc("score"), "track"))
+    return part.withColumn("rank", rank).where(F.col("rank") <= k)
 
 
 def mmr(df: DataFrame, query_id: int, k: int, lam: float = 0.7, pool_mult: int = 5) -> DataFrame:
-    """(step, id, cos): greedy picks from a bounded pool, relevance against likeness to what is picked."""
-    pool = find_similar(df, query_id, k * pool_mult).join(df, "id").select("id", "cos", l2(F.col("v")).alias("v"))
+    """(step, id, cos): `mmr_to` for one row of the table."""
+    return mmr_to(df.where(F.col("id") == query_id), df, k, lam, pool_mult).select("step", "id", "cos")
 
-    def pick(pdf: pd.DataFrame) -> pd.DataFrame:
+
+def mmr_to(queries: DataFrame, df: DataFrame, k: int, lam: float = 0.7, pool_mult: int = 5) -> DataFrame:
+    """(query_id, step, id, cos): for each row of ``queries`` greedy picks from a bounded pool, relevance against likeness to what is picked."""
+    pool = similar_to(queries, df, k * pool_mult).join(df, "id").select("query_id", "id", "cos", l2(F.col("v")).alias("v"))
+
+    def pick(key, pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["cos", "id"], ascending=[False, True])
         x, rel, ids = _matrix(pdf), pdf["cos"].to_numpy(), pdf["id"].to_numpy()
         near, left, out = np.full(len(ids), -np.inf), np.ones(len(ids), bool), []
@@ -229,10 +281,10 @@ def mmr(df: DataFrame, query_id: int, k: int, lam: float = 0.7, pool_mult: int =
             best = int(np.argmax(score))
             left[best] = False
             near = np.maximum(near, x @ x[best])
-            out.append((step + 1, ids[best], rel[best]))
-        return pd.DataFrame(out, columns=["step", "id", "cos"])
+            out.append((key[0], step + 1, ids[best], rel[best]))
+        return pd.DataFrame(out, columns=["query_id", "step", "id", "cos"])
 
-    return pool.withColumn("g", F.lit(0)).groupBy("g").applyInPandas(lambda pdf: pick(pdf), "step int, id long, cos double")
+    return pool.groupBy("query_id").applyInPandas(lambda key, pdf: pick(key, pdf), "query_id long, step int, id long, cos double")
 
 
 def tip_adapter(df: DataFrame, cache: DataFrame, beta: float = 5.0) -> DataFrame:

@@ -48,6 +48,11 @@ def _tracks(spark, sf_dir):
     return _read(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), V.l2(F.col("embedding")).alias("v"), "label", F.when(F.col("label") == 9, -1).otherwise(F.col("label")).alias("cluster"))
 
 
+def _asked(t, by="id"):
+    """The queries of a search: every row whose id is divisible by 50."""
+    return t.where(F.col(by) % 50 == 0)
+
+
 def _matrix(spark, sf_dir):
     t = _tracks(spark, sf_dir).where("id < 54").select(F.floor(F.col("id") / 3).cast("int").alias("label"), "v")
     return labelling.label_matrix(t)
@@ -64,6 +69,9 @@ _X = f"{_E}, x AS (SELECT id, label, cluster, unnest(v) a, generate_subscripts(v
 _M = f"{_X}, m0 AS (SELECT id // 3 j, p, avg(a) a FROM x WHERE id < 54 GROUP BY 1, 2), mn AS (SELECT j, greatest(sqrt(sum(a * a)), 1e-8) n FROM m0 GROUP BY 1), m AS (SELECT j, list(a / n ORDER BY p) v FROM m0 JOIN mn USING (j) GROUP BY j)"
 _S = f"{_M}, s AS (SELECT e.id, e.cluster, m.j, list_dot_product(e.v, m.v) s FROM e, m), r AS (SELECT id, cluster, j, s, s - avg(s) OVER (PARTITION BY j) rec FROM s), q AS (SELECT *, exp((rec - max(rec) OVER (PARTITION BY id)) / 0.05) w FROM r), pr AS (SELECT id, cluster, j, s, rec, w / sum(w) OVER (PARTITION BY id) prob FROM q)"
 _P = f"{_E}, pairs AS (SELECT a.id, b.id other, list_dot_product(a.v, b.v) cos FROM e a, e b WHERE a.id <> b.id), ranked AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY cos DESC, other) rank FROM pairs)"
+# searches take as queries every row whose id is divisible by 50
+_Q = f"""{_E}, asked AS (SELECT a.id query_id, b.id, b.v, list_dot_product(a.v, b.v) cos FROM e a, e b WHERE a.id % 50 = 0 AND a.id <> b.id),
+near AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY cos DESC, id) rank FROM asked)"""
 _C = f"{_X}, cs AS (SELECT cluster, p, avg(a) a, count(*) n FROM x WHERE cluster <> -1 GROUP BY 1, 2), c AS (SELECT cluster, max(n) n, list(a ORDER BY p) mean FROM cs GROUP BY 1)"
 _EV = "ev AS (SELECT event_id, ts, user_id, CAST(json_extract_string(props, '$.k') AS INT) track, CASE event_type WHEN 'purchase' THEN 'complete' WHEN 'signup' THEN 'replay' WHEN 'view' THEN 'play' WHEN 'click' THEN 'seek' WHEN 'error' THEN 'skip' END event, CAST(json_extract_string(props, '$.k') AS INT) / 100 AS pos, value FROM events)"
 _W = f"{_EV}, w AS (SELECT *, CASE WHEN event IN ('complete', 'replay') THEN 1.0::DOUBLE WHEN event = 'skip' THEN CASE WHEN pos < 0.2 THEN -1.0::DOUBLE ELSE -greatest(0.0::DOUBLE, 1 - (pos - 0.2) / 0.8) END ELSE 0.0::DOUBLE END weight FROM ev)"
@@ -74,14 +82,16 @@ def l2_normalize(spark, sf_dir):
     return _tracks(spark, sf_dir).select("id", F.posexplode(V.l2(F.col("v"))).alias("pos", "val")).select("id", "pos", F.round("val", 6).alias("val"))
 
 
-@query(f"WITH {_E} SELECT b.id, round(list_dot_product(a.v, b.v) / (sqrt(list_dot_product(a.v, a.v)) * sqrt(list_dot_product(b.v, b.v))), 6) AS cos, (row_number() OVER (ORDER BY list_dot_product(a.v, b.v) / (sqrt(list_dot_product(a.v, a.v)) * sqrt(list_dot_product(b.v, b.v))) DESC, b.id))::INT AS rank FROM e a, e b WHERE a.id = 0 AND b.id <> 0 ORDER BY rank LIMIT 10")
+@query(f"WITH {_Q} SELECT query_id, id, round(cos, 6) AS cos, rank::INT AS rank FROM near WHERE rank <= 10")
 def find_similar(spark, sf_dir):
-    return similarity.find_similar(_tracks(spark, sf_dir), 0, 10).withColumn("cos", F.round("cos", 6))
+    t = _tracks(spark, sf_dir)
+    return similarity.similar_to(_asked(t), t, 10).withColumn("cos", F.round("cos", 6))
 
 
-@query(f"WITH {_P} SELECT other AS id, round(cos, 6) AS cos, rank::INT AS rank FROM ranked WHERE id = 1 AND rank <= 30 AND (rank - 1) % 3 = 0")
+@query(f"WITH {_Q} SELECT query_id, id, round(cos, 6) AS cos, rank::INT AS rank FROM near WHERE rank <= 30 AND (rank - 1) % 3 = 0")
 def find_neighbours_spread(spark, sf_dir):
-    return similarity.spread_neighbours(_tracks(spark, sf_dir), 1, 10, 3).withColumn("cos", F.round("cos", 6))
+    t = _tracks(spark, sf_dir)
+    return similarity.spread_to(_asked(t), t, 10, 3).withColumn("cos", F.round("cos", 6))
 
 
 @query(f"WITH {_P} SELECT id AS a, other AS b, round(least(greatest(cos, -1), 1), 6) AS cos FROM pairs WHERE id < other AND cos >= 0.4")
@@ -110,10 +120,13 @@ def graph_modularity(spark, sf_dir):
     return similarity.modularity(similarity.knn_edges(t, 15), t).withColumn("modularity", F.round("modularity", 6))
 
 
-@query(f"WITH {_E}, s AS (SELECT id // 5 track, id % 5 seg, v FROM e), b AS (SELECT c.track, q.seg, max(list_dot_product(q.v, c.v)) s FROM s q, s c WHERE q.track = 0 AND c.track <> 0 GROUP BY 1, 2) SELECT track, round(sum(s), 6) AS score FROM b GROUP BY 1")
+@query(f"""WITH {_E}, s AS (SELECT id // 5 track, id % 5 seg, v FROM e),
+b AS (SELECT q.track query, c.track, q.seg, max(list_dot_product(q.v, c.v)) s FROM s q, s c WHERE q.track % 50 = 0 AND c.track <> q.track GROUP BY 1, 2, 3),
+t AS (SELECT query, track, sum(s) score FROM b GROUP BY 1, 2), r AS (SELECT *, row_number() OVER (PARTITION BY query ORDER BY score DESC, track) rank FROM t)
+SELECT query, track, round(score, 6) AS score, rank::INT AS rank FROM r WHERE rank <= 20""")
 def late_interaction(spark, sf_dir):
-    s = _tracks(spark, sf_dir).select(F.floor(F.col("id") / 5).alias("track"), (F.col("id") % 5).alias("seg"), "v")
-    return similarity.late_interaction(s.where("track = 0"), s.where("track <> 0")).withColumn("score", F.round("score", 6))
+    s = _tracks(spark, sf_dir).select(F.floor(F.col("id") / 5).alias("track"), "v")
+    return similarity.late_interaction(_asked(s, "track"), s, 20).withColumn("score", F.round("score", 6))
 
 
 @query(f"WITH {_E}, c AS (SELECT id // 4 label, v FROM e WHERE id < 20) SELECT e.id, c.label::INT AS label, round(sum(exp(-5.0 * (1 - list_dot_product(e.v, c.v)))), 6) AS affinity FROM e, c GROUP BY 1, 2")
@@ -123,13 +136,15 @@ def tip_adapter(spark, sf_dir):
     return similarity.tip_adapter(t, c).withColumn("affinity", F.round("affinity", 6))
 
 
-@query(f"""WITH RECURSIVE {_E}, pool AS MATERIALIZED (SELECT b.id, b.v, list_dot_product(a.v, b.v) rel FROM e a, e b WHERE a.id = 0 AND b.id <> 0 ORDER BY rel DESC, b.id LIMIT 25),
-mmr(step, id, chosen) AS ((SELECT 1, id, [id] FROM pool ORDER BY rel DESC, id LIMIT 1) UNION ALL
-(SELECT m.step + 1, p.id, list_append(m.chosen, p.id) FROM mmr m, pool p WHERE m.step < 5 AND NOT list_contains(m.chosen, p.id)
-ORDER BY 0.7 * p.rel - 0.3 * (SELECT max(list_dot_product(p.v, s.v)) FROM pool s WHERE list_contains(m.chosen, s.id)) DESC, p.rel DESC, p.id LIMIT 1))
-SELECT step::INT AS step, id FROM mmr""")
+@query(f"""WITH RECURSIVE {_Q}, pool AS MATERIALIZED (SELECT query_id, id, v, cos rel FROM near WHERE rank <= 25),
+mmr(query_id, step, id, chosen, vs) AS (SELECT query_id, 1, id, [id], [v] FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY rel DESC, id) k FROM pool) WHERE k = 1 UNION ALL
+SELECT query_id, step, id, chosen, vs FROM (SELECT query_id, m.step + 1 AS step, p.id, list_append(m.chosen, p.id) chosen, list_append(m.vs, p.v) vs,
+row_number() OVER (PARTITION BY query_id ORDER BY 0.7 * p.rel - 0.3 * list_max(list_transform(m.vs, lambda x: list_dot_product(p.v, x))) DESC, p.rel DESC, p.id) k
+FROM mmr m JOIN pool p USING (query_id) WHERE m.step < 5 AND NOT list_contains(m.chosen, p.id)) WHERE k = 1)
+SELECT query_id, step::INT AS step, id FROM mmr""")
 def mmr(spark, sf_dir):
-    return similarity.mmr(_tracks(spark, sf_dir), 0, 5).select("step", "id")
+    t = _tracks(spark, sf_dir)
+    return similarity.mmr_to(_asked(t), t, 5).select("query_id", "step", "id")
 
 
 @query(f"WITH {_X}, t AS (SELECT id // 5 track, p, avg(a) a FROM x GROUP BY 1, 2), n AS (SELECT track, greatest(sqrt(sum(a * a)), 1e-8) n FROM t GROUP BY 1) SELECT track, (p - 1)::INT AS pos, round(a / n, 6) AS val FROM t JOIN n USING (track)")
