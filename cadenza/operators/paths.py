@@ -1,4 +1,4 @@
-"""Orders of tracks: waypoints between two vectors, nearest unused tracks, and short open tours.
+"""Orders of tracks: waypoints between two vectors, nearest unused tracks, transport to a fade, and short open tours.
 
 The inputs of a tour are one playlist; each is worked off in one task of its own.
 """
@@ -10,6 +10,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from cadenza.functions.vectors import dot, l2
+
 EXACT = 12
 
 
@@ -163,3 +165,44 @@ def sinkhorn(cost: np.ndarray, mass_a: np.ndarray, mass_b: np.ndarray, reg: floa
             break
         u = new
     return u[:, None] * k * v[None, :]
+
+
+def ot_morph(df: DataFrame, a: list[float], b: list[float], n: int = 8, reg: float = 0.05) -> DataFrame:
+    """(pos, id): up to n different rows of ``df`` (id, v) that lead from a to b, chosen by entropic transport, most like b last.
+
+    The pool is the max(4 n, 32) rows most like a, as many most like b and as many most like both; what is
+    transported to it is n slots whose ideal likenesses fade from a to b, and each slot takes the unused row that
+    receives most of it. Ends of one direction give the rows most like both; no rows give none. Ties go to the smaller id.
+    """
+    unit = [np.array(q, np.float64) / max(np.linalg.norm(q), 1e-8) for q in (a, b)]
+    to_a, to_b = (dot(l2(F.col("v")), F.array(*map(F.lit, q.tolist()))) for q in unit)
+    rows, most, n = df.select("id", to_a.alias("a"), to_b.alias("b")), max(4 * n, 32), max(1, n)
+    tops = [rows.orderBy(F.desc(by), "id").limit(most) for by in (F.col("a"), F.col("b"), F.col("a") + F.col("b"))]
+    same = float(np.linalg.norm(unit[1] - unit[0])) < 1e-6
+
+    def pick(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("id")
+        ids, at = pdf["id"].to_numpy(), pdf[["a", "b"]].to_numpy(np.float64)
+        both = at.sum(1)
+        if same or n == 1 or len(ids) == 1:
+            chosen = np.argsort(-both, kind="stable")[:n]
+        else:
+            slots = min(n, len(ids))
+            fade = ((np.arange(slots) + 0.5) / slots)[:, None]
+            low, high = np.quantile(at, (0.05, 0.95), axis=0)
+            ideal = (1 - fade) * [high[0], low[1]] + fade * [low[0], high[1]]
+            cost = np.square(ideal[:, None] - at[None]).sum(2)
+            cost /= cost.max() or 1.0
+            mass = np.exp((both - both.max()) / 0.1)
+            plan = sinkhorn(cost, np.full(slots, 1 / slots), mass / mass.sum(), reg)
+            if not np.isfinite(plan).all():
+                plan = -cost
+            chosen = np.zeros(slots, np.int64)
+            for k, row in enumerate(plan):
+                chosen[k] = row.argmax()
+                plan[:, chosen[k]] = -np.inf
+            chosen = chosen[np.lexsort((ids[chosen], at[chosen, 1]))]
+        return pd.DataFrame({"pos": np.arange(len(chosen)), "id": ids[chosen]})
+
+    pool = tops[0].unionAll(tops[1]).unionAll(tops[2]).dropDuplicates(["id"])
+    return pool.groupBy(F.lit(0).alias("g")).applyInPandas(lambda pdf: pick(pdf), "pos int, id long")

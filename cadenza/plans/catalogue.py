@@ -435,6 +435,13 @@ def journey_slerp(spark, sf_dir):
     return paths.journey(t, ends[0], ends[1], 8)
 
 
+@query()
+def journey_transport(spark, sf_dir):
+    t = _tracks(spark, sf_dir)
+    ends = {r["id"]: r["v"] for r in t.where("id IN (0, 1)").collect()}
+    return paths.ot_morph(t, ends[0], ends[1], 8)
+
+
 @query()
 def smooth_order(spark, sf_dir):
     return paths.smooth_order(_tracks(spark, sf_dir).select(F.floor(F.col("id") / 10).alias("playlist"), "id", "v"))

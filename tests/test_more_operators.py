@@ -266,3 +266,41 @@ def test_tours_against_one_reversal_at_a_time(spark):
     df = spark.createDataFrame([(k // 30, k, x[k].tolist(), k in (3, 35)) for k in range(40)], "playlist long, id long, v array<double>, first boolean")
     got = paths.smooth_order(df, "first").collect()
     assert {r["id"] for r in got if r["pos"] == 0} == {3, 35} and sorted(r["id"] for r in got) == list(range(40))
+
+
+def test_ot_morph_against_one_by_one(spark):
+    """The picks of a plan worked out in logarithms, over a pool found by full sorts."""
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(150, 8))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "id long, v array<double>")
+    a, b, n = x[3] * 2, x[90] * 3, 9
+    sa, sb = x @ x[3], x @ x[90]
+    m = max(4 * n, 32)
+    pool = sorted({i for s in (sa, sb, sa + sb) for i in sorted(range(150), key=lambda i: (-s[i], i))[:m]})
+    qa, qb = sa[pool], sb[pool]
+    cost = np.zeros((n, len(pool)))
+    for k in range(n):
+        t = (k + 0.5) / n
+        ia = (1 - t) * np.percentile(qa, 95) + t * np.percentile(qa, 5)
+        ib = (1 - t) * np.percentile(qb, 5) + t * np.percentile(qb, 95)
+        cost[k] = (ia - qa) ** 2 + (ib - qb) ** 2
+    cost /= cost.max()
+    want = (qa + qb) / 0.1
+    want -= np.log(np.exp(want - want.max()).sum()) + want.max()
+    f, g = np.zeros(n), np.zeros(len(pool))
+    for _ in range(3000):
+        g = want - np.logaddexp.reduce(f[:, None] - cost / 0.05, axis=0)
+        f = -np.log(n) - np.logaddexp.reduce(g[None, :] - cost / 0.05, axis=1)
+    plan, used = f[:, None] + g[None, :] - cost / 0.05, []
+    for k in range(n):
+        used.append(max((j for j in range(len(pool)) if j not in used), key=lambda j: (plan[k, j], -j)))
+    want = sorted((pool[j] for j in used), key=lambda i: (sb[i], i))
+    rows = paths.ot_morph(df, a.tolist(), b.tolist(), n).orderBy("pos").collect()
+    assert [r["pos"] for r in rows] == list(range(n)) and [r["id"] for r in rows] == want
+    one = paths.ot_morph(df, a.tolist(), b.tolist(), 1).collect()
+    assert [r["id"] for r in one] == [int(np.argmax(sa + sb))]
+    alike = paths.ot_morph(df, a.tolist(), (a * 5).tolist(), 4).orderBy("pos").collect()
+    assert [r["id"] for r in alike] == np.argsort(-sa, kind="stable")[:4].tolist()
+    assert paths.ot_morph(df.where("false"), a.tolist(), b.tolist()).count() == 0
+    assert paths.ot_morph(df.limit(5), a.tolist(), b.tolist()).count() == 5
