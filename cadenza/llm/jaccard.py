@@ -3,7 +3,8 @@
 A document's tokens are the hashes of its distinct 5-word shingles. Two sets with similarity t or more
 share a token among the first |x| - ceil(t |x|) + 1 of each, under any global order of the tokens. Each
 order here puts tokens by how many documents hold them, rare ones first, and by a hash of its own among
-those that are equally rare, so each order is a filter of its own. Under every order a pair must share
+those that are about equally rare, so each order is a filter of its own. How common tokens are is counted
+over the whole table, in slots that many rare tokens may share. Under every order a pair must share
 enough prefix tokens to reach the overlap it needs even if all tokens behind the prefixes were shared;
 only pairs that pass this filter under all orders, with sizes within the ratio, are candidates.
 
@@ -21,6 +22,9 @@ candidate partner.
 from __future__ import annotations
 
 import math
+import uuid
+import zlib
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -33,8 +37,10 @@ from .common import WordHashes, blocks, documents, mixed, word_shingles, written
 from .components import components, forest
 
 WIDTH, PERCENT, ORDERS = 5, 75, 3
-#: Frequent tokens known to all tasks: at most so many, counted in blocks of documents from this count a block.
-FREQUENT, LOCAL = 1 << 18, 3
+#: The commonest slots of tokens, put by their counts; all other slots have a level. Any choice gives the same results.
+FREQUENT = 1 << 18
+#: Most bits of a slot, and holders above the slots' mean (and what chance adds to it) that make a slot common.
+MOST_BITS, COMMON = 29, 8
 #: Lists of up to so many holders are spelt out as pairs, longer ones as chains; results are the same.
 SPELT = 64
 DOCS_A_BUCKET = 4096
@@ -79,48 +85,132 @@ def _distinct_sets(texts, hashes, width):
     return sets, at
 
 
-def _frequent(width: int, local: int):
+def _posted_slots(width: int, bits: int, n_ranges: int):
+    """(range, n, deltas): how far apart the sorted slots of a block's tokens are, in bytes, for each range of slots."""
+    span = (1 << bits) // n_ranges
+
     def run(batches):
         hashes = ByteHashes()
         for (texts,) in blocks(batches, 1, 16_000_000):
             sets, at = _distinct_sets(texts, hashes, width)
-            tokens, counts = np.unique(np.concatenate([s for k, s in enumerate(sets) if at[k] == k]), return_counts=True)
-            keep = counts >= local
-            yield pa.RecordBatch.from_arrays([pa.array(tokens[keep].view(np.int64)), pa.array(counts[keep].astype(np.int64))], ["token", "n"])
+            slots = np.sort((np.concatenate([s for k, s in enumerate(sets) if at[k] == k]) >> np.uint64(64 - bits)).astype(np.uint32))
+            cuts = np.searchsorted(slots, np.arange(n_ranges + 1, dtype=np.int64) * span)
+            some = [(r, a, b) for r, (a, b) in enumerate(zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True)) if a < b]
+            yield pa.RecordBatch.from_arrays([pa.array([r for r, _, _ in some], pa.int32()), pa.array([b - a for _, a, b in some], pa.int64()), pa.array([deltas(slots[a:b] - np.uint32(r * span)) for r, a, b in some], pa.binary())], ["range", "n", "deltas"])
 
     return run
 
 
-def frequent_tokens(docs: DataFrame, most: int = FREQUENT, local: int = LOCAL, width: int = WIDTH) -> tuple[np.ndarray, np.ndarray]:
-    """(tokens ascending, their ranks by count) of at most ``most`` tokens that many documents hold; the rest counts as rare.
+def deltas(ascending: np.ndarray) -> bytes:
+    """Ascending whole numbers as bytes: a byte of 255 moves on by as much, any other one moves on and gives a number."""
+    step = np.diff(ascending, prepend=ascending.dtype.type(0))
+    far = (step // 255).astype(np.int64)
+    out = np.full(len(step) + int(far.sum()), 255, np.uint8)
+    out[np.cumsum(far + 1) - 1] = step % 255
+    return out.tobytes()
 
-    The count is over all documents. Any order is right for the join; this one keeps common passages out of prefixes.
-    """
-    counted = docs.select("text").mapInArrow(_frequent(width, local), "token long, n long").groupBy("token").agg(F.sum("n").alias("n"))
-    # a histogram of a few hundred bins tells from which count on the tokens are few enough
-    bin_ = F.when(F.col("n") < 256, F.col("n")).otherwise(256 + F.floor(16 * F.log2(F.col("n") / 256))).cast("long")
-    counted = written(counted.withColumn("bin", bin_), "frequent")
-    total, least = 0, 1 << 40
-    for r in sorted(counted.groupBy("bin").agg(F.count(F.lit(1)).alias("tokens")).collect(), reverse=True):
-        total += r["tokens"]
-        if total > most:
-            break
-        least = r["bin"]
-    got = counted.where(F.col("bin") >= least).select("token", "n").toPandas().sort_values(["n", "token"], ascending=[False, True])
-    tokens = got["token"].to_numpy(np.int64).view(np.uint64)
-    order = np.argsort(tokens)
-    return tokens[order], (len(got) - np.arange(len(got)))[order].astype(np.uint64)
 
+def undone(packed: bytes) -> np.ndarray:
+    """The numbers that `deltas` packed."""
+    x = np.frombuffer(packed, np.uint8)
+    return np.cumsum(x, dtype=np.int64)[x != 255]
+
+
+def levels(counts: np.ndarray) -> np.ndarray:
+    """0 for counts that chance gives a slot, then 1 to 3 for ever higher ones; four of them to a byte."""
+    mean = counts.mean()
+    least = mean + 5 * math.sqrt(mean) + COMMON
+    level = (counts >= least).astype(np.uint8) + (counts >= mean + 4 * (least - mean)) + (counts >= mean + 16 * (least - mean))
+    return level[0::4] | level[1::4] << 2 | level[2::4] << 4 | level[3::4] << 6
+
+
+def _counted(span: int, most: int):
+    """Rows sorted by range to (range, levels, top, n): the levels of its slots, compressed, and its ``most`` commonest ones with their counts."""
+
+    def done(r, counts):
+        top = np.argpartition(-counts, most)[:most] if most < span else np.arange(span)
+        top = np.sort(top[counts[top] > 1])
+        columns = [pa.array([r], pa.int32()), *(pa.array([x], pa.binary()) for x in (zlib.compress(levels(counts).tobytes(), 1), (top + r * span).astype(np.int64).tobytes(), counts[top].astype(np.int64).tobytes()))]
+        return pa.RecordBatch.from_arrays(columns, ["range", "levels", "top", "n"])
+
+    def run(batches):
+        last, counts, held, size = None, None, [], 0
+
+        def add():
+            if held:
+                counts[:] += np.bincount(np.concatenate([undone(x) for x in held]), minlength=span)
+                held.clear()
 
-def _order(tokens: np.ndarray, known, j: int) -> np.ndarray:
-    """The keys by which order j puts tokens."""
-    keys = mixed(tokens ^ _SALTS[j]) >> np.uint64(1)
-    heavy, rank = known
-    if len(heavy):
-        at = np.minimum(np.searchsorted(heavy, tokens), len(heavy) - 1)
-        hit = heavy[at] == tokens
-        keys[hit] = (np.uint64(1) << np.uint64(63)) | rank[at[hit]]
-    return keys
+        for batch in batches:
+            for r, n, packed in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if r != last:
+                    if last is not None:
+                        add()
+                        yield done(last, counts)
+                    last, counts, size = r, np.zeros(span, np.int64), 0
+                held.append(packed)
+                size += n
+                if size >= 4 * span:
+                    add()
+                    size = 0
+        if last is not None:
+            add()
+            yield done(last, counts)
+
+    return run
+
+
+def token_levels(docs: DataFrame, n_docs: int, width: int = WIDTH) -> tuple[int, int, dict[int, bytes], np.ndarray, np.ndarray]:
+    """(bits, slots of a range, ranges' levels, commonest slots ascending, their ranks): how common the tokens of each slot are.
+
+    A token's slot is its first bits; there are 64 slots a document or more, up to ``MOST_BITS``. All tokens of all
+    documents are counted, so that a passage of a few dozen holders is told from rare tokens in a table of any size.
+    Any order of the tokens is right for the join; this one keeps shared passages out of prefixes.
+    """
+    bits = min(MOST_BITS, max(16, math.ceil(math.log2(64 * max(n_docs, 1)))))
+    n_ranges = max(16, (1 << bits) >> 20)
+    span = (1 << bits) // n_ranges
+    posted = docs.select("text").mapInArrow(_posted_slots(width, bits, n_ranges), "range int, n long, deltas binary")
+    got = posted.repartition("range").sortWithinPartitions("range").mapInArrow(_counted(span, FREQUENT // n_ranges), "range int, levels binary, top binary, n binary").collect()
+    top, n = (np.concatenate([np.zeros(0, np.int64), *(np.frombuffer(r[c], np.int64) for r in got)]) for c in ("top", "n"))
+    by = np.lexsort((top, -n))
+    rank = np.empty(len(top), np.uint64)
+    rank[by] = len(top) - np.arange(len(top), dtype=np.uint64)
+    order = np.argsort(top)
+    return bits, span, {r["range"]: bytes(r["levels"]) for r in got}, top[order].astype(np.uint64), rank[order]
+
+
+class Order:
+    """The orders of tokens that `token_levels` gives."""
+
+    def __init__(self, bits: int, span: int, packed: dict[int, bytes], heavy: np.ndarray, rank: np.ndarray):
+        self.shift, self.heavy, self.rank = np.uint64(64 - bits), heavy, rank
+        self.levels = np.zeros((1 << bits) // 4, np.uint8)
+        for r, x in packed.items():
+            self.levels[r * span // 4 : (r + 1) * span // 4] = np.frombuffer(zlib.decompress(x), np.uint8)
+
+    def heads(self, tokens: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """What comes first in the keys of the tokens, and which of them have a rank, and their keys."""
+        slots = tokens >> self.shift
+        level = self.levels[slots >> np.uint64(2)] >> ((slots & np.uint64(3)) << np.uint64(1)).astype(np.uint8) & np.uint8(3)
+        common = np.flatnonzero(level)
+        at = np.minimum(np.searchsorted(self.heavy, slots[common]), max(len(self.heavy) - 1, 0))
+        hit = self.heavy[at] == slots[common] if len(self.heavy) else np.zeros(len(common), bool)
+        return level.astype(np.uint64) << np.uint64(61), common[hit], (np.uint64(1) << np.uint64(63)) | self.rank[at[hit]]
+
+    @staticmethod
+    def keys(tokens: np.ndarray, heads, j: int) -> np.ndarray:
+        """The keys by which order j puts tokens."""
+        head, hit, known = heads
+        keys = mixed(tokens ^ _SALTS[j]) >> np.uint64(3) | head
+        keys[hit] = known
+        return keys
+
+
+@lru_cache(1)
+def _shared_order(key: str, shared) -> Order:
+    """One for the tasks of a worker."""
+    return Order(*shared.value)
 
 
 _R = "kind int, bucket long, u long, v long, doc_id long, th long, n int, payload binary"
@@ -132,33 +222,34 @@ def _batch(columns: list, n: int) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.nulls(n, k) if c is None else pa.array(c, k) for c, k in zip(columns, _KINDS, strict=True)], _NAMES)
 
 
-def _prefixes(shared, n_buckets: int, orders: int, width: int, percent: int):
+def _prefixes(key: str, shared, n_buckets: int, orders: int, width: int, percent: int):
     """Kind 0: a document, with its node u. Kind 1 and up: prefix tokens of one bucket and block under an order."""
 
     def run(batches):
         from pyspark import TaskContext
 
-        known, hashes, block = shared.value, ByteHashes(), TaskContext.get().partitionId() << 38
+        order_, hashes, block = _shared_order(key, shared), ByteHashes(), TaskContext.get().partitionId() << 38
         for texts, ids, ths in blocks(batches, 3):
             sets, at = _distinct_sets(texts, hashes, width)
             n = len(sets)
             yield _batch([[0] * n, [-1 - (block >> 16)] * n, [block + k for k in at], [int(k == a) for k, a in enumerate(at)], ids, ths, [len(s) for s in sets], None], n)
             own = [k for k in range(n) if at[k] == k and len(sets[k])]
+            sizes = np.array([len(s) for s in sets], np.uint32)
+            if own:
+                all_ = np.concatenate([sets[k] for k in own])
+                heads = order_.heads(all_)
+                ends = np.cumsum(sizes[own], dtype=np.int64)
+                lengths = [prefix_length(len(sets[k]), percent) for k in own]
             for j in range(orders if own else 0):
-                tokens, who = [], []
-                sizes = np.array([len(s) for s in sets], np.uint32)
-                for k in own:
-                    p = prefix_length(len(sets[k]), percent)
-                    keys = _order(sets[k], known, j)
-                    tokens.append(sets[k][np.argpartition(keys, p - 1)[:p]] if p < len(keys) else sets[k])
-                    who.append(np.full(len(tokens[-1]), k, np.uint16))
-                tokens, who = np.concatenate(tokens), np.concatenate(who)
+                keys = order_.keys(all_, heads, j)
+                tokens = np.concatenate([sets[k][np.argpartition(keys[b - len(sets[k]) : b], p - 1)[:p]] if p < len(sets[k]) else sets[k] for k, b, p in zip(own, ends.tolist(), lengths, strict=True)])
+                who = np.repeat(np.array(own, np.uint16), lengths)
                 bucket = (tokens % np.uint64(n_buckets)).astype(np.int64)
                 order = np.argsort(bucket, kind="stable")
                 tokens, who, bucket = tokens[order], who[order], bucket[order]
                 starts = np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1]])
-                ends = np.r_[starts[1:], len(bucket)]
-                yield _batch([[1 + j] * len(starts), bucket[starts] * orders + j, [block] * len(starts), None, None, None, (ends - starts).astype(np.int32), [tokens[a:b].tobytes() + who[a:b].tobytes() + sizes[who[a:b]].tobytes() for a, b in zip(starts, ends, strict=True)]], len(starts))
+                stops = np.r_[starts[1:], len(bucket)]
+                yield _batch([[1 + j] * len(starts), bucket[starts] * orders + j, [block] * len(starts), None, None, None, (stops - starts).astype(np.int32), [tokens[a:b].tobytes() + who[a:b].tobytes() + sizes[who[a:b]].tobytes() for a, b in zip(starts, stops, strict=True)]], len(starts))
             block += 1 << 16
 
     return run
@@ -367,9 +458,10 @@ def link_components(docs: DataFrame, percent: int = PERCENT, width: int = WIDTH,
     """
     spark = docs.sparkSession
     keyed = docs.select("text", F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("th"))
-    n_buckets = max(16, math.ceil(docs.count() / DOCS_A_BUCKET))
-    shared = spark.sparkContext.broadcast(frequent_tokens(docs, width=width))  # two arrays of at most FREQUENT numbers
-    met = keyed.mapInArrow(_prefixes(shared, n_buckets, orders, width, percent), _R).repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_meet, _R)
+    n_docs = docs.count()
+    n_buckets = max(16, math.ceil(n_docs / DOCS_A_BUCKET))
+    shared = spark.sparkContext.broadcast(token_levels(docs, n_docs, width))  # two bits a slot, compressed, and two arrays of at most FREQUENT numbers
+    met = keyed.mapInArrow(_prefixes(uuid.uuid4().hex, shared, n_buckets, orders, width, percent), _R).repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_meet, _R)
     met = written(met.drop("bucket"), "prefixes")
     nodes = met.where("kind = 0").select("doc_id", "th", "n", F.col("u").alias("node"), (F.col("v") == 1).alias("first"))
     group = components(candidate_links(met.where("kind > 0"), percent, orders=orders))

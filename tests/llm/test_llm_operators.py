@@ -362,6 +362,29 @@ def test_jaccard_of_chains(spark, monkeypatch, spelt, group):
     assert got == brute_links(rows_)
 
 
+def test_jaccard_of_passages(spark, monkeypatch):
+    """Holders of a passage that is nowhere frequent are no candidates, however many there are and however few in each block."""
+    monkeypatch.setattr(jaccard.candidate_links, "__defaults__", (75, 4, jaccard.ORDERS))
+    rng = random.Random(5)
+    passage = prose(rng, 30)
+    rows_ = [(k, f"{prose(rng, 40)} {passage} {prose(rng, 40)}") for k in range(40)]
+    kept, written = {}, jaccard.written
+    monkeypatch.setattr(jaccard, "written", lambda df, what: kept.setdefault(what, written(df, what)))
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in jaccard.link_components(spark.createDataFrame(spark.sparkContext.parallelize(rows_, 40), "doc_id long, text string")).collect()}
+    assert got == brute_links(rows_) and kept["candidates"].count() == 0
+
+
+def test_packed_slots():
+    rng = np.random.default_rng(3)
+    for top in (10, 1000, 1 << 20):
+        x = np.sort(rng.integers(0, top, 500).astype(np.uint32))
+        assert (jaccard.undone(jaccard.deltas(x)) == x).all()
+    counts = np.ones(4096, np.int64)
+    counts[[5, 6]] = 40, 4000
+    got = jaccard.levels(counts)
+    assert got[1] == (1 << 2 | 3 << 4) and not np.delete(got, 1).any()
+
+
 def test_jaccard_of_null_ids(spark):
     """A row without an id that comes first among its equal texts still links them to near copies."""
     base = prose(random.Random(8), 100)
