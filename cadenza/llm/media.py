@@ -3,8 +3,8 @@
 Corners of several scales get an orientation from the centroid of their patch and 128 binary tests turned
 by it. Each of several tables holds a fixed choice of the bits as key; descriptors of one key that differ
 in few bits are matches, and two images are linked when enough matches agree on one similarity transform.
-Images of equal pixels are described and matched once. A key with many holders is dealt out in pairs of
-blocks, which hold all its matches; a match that several tables hit is passed on by the first of them.
+Images of equal pixels are described once each and matched once. Pictures are dealt to pairs of bounded blocks; the
+tables are made anew for each pair, so that all matches of two pictures meet in one task and no match leaves it.
 """
 
 from __future__ import annotations
@@ -26,11 +26,11 @@ RADIUS, BITS, LEVELS, STEP = 14, 128, 4, 2**0.25
 #: Least response of a corner against the strongest of its image, and radius in which it is the largest.
 FLOOR, APART = 0.12, 5
 TABLES, KEY_BITS, FARTHEST = 6, 28, 22
-#: Holders up to which a key is matched in one group, and members of a block beyond that.
-LIGHT, BLOCK = 32, 256
+#: Holders up to which a key is matched together with others; pictures and points up to which a block is filled, blocks at least and tasks at most.
+LIGHT, BLOCK, MOST_POINTS, LEAST_BLOCKS, MOST_TASKS = 32, 8192, 1 << 19, 8, 4096
 #: Matches that agree on one transform, within so many pixels at scale 1.
 AGREEING, NEAR_PX = 4, 2.0
-#: Rows of heavy keys up to which they are broadcast.
+#: Different pictures up to which their classes are broadcast.
 MOST_BROADCAST = 10_000
 #: Pairs of matches whose transforms are tried at a time.
 TRIES = 4096
@@ -174,29 +174,6 @@ def _described(batches):
 
 
 _POINT = 8 + BITS // 8
-_SECOND = 1 << 62
-
-
-def _posted(with_points: bool):
-    """(rep, points) to a row for each point and table: key and, unless only keys are wanted, what is matched."""
-
-    def run(batches):
-        for batch in batches:
-            for at in range(0, batch.num_rows, 512):
-                part = batch.slice(at, 512)
-                raws = part.column(1).to_pylist()
-                each = [len(x) // _POINT for x in raws]
-                rows = np.frombuffer(b"".join(raws), np.uint8).reshape(-1, _POINT)
-                bits = np.unpackbits(rows[:, 8:], axis=1)
-                keys = np.concatenate([(bits[:, c].astype(np.int64) << np.arange(KEY_BITS)).sum(1) + (t << KEY_BITS) for t, c in enumerate(_CHOICE)])
-                if not with_points:
-                    yield pa.RecordBatch.from_arrays([pa.array(keys)], ["key"])
-                    continue
-                rep = np.repeat(np.array(part.column(0).to_pylist(), np.int64), each)
-                rest = [rep, rows[:, :8].copy().view("<i8")[:, 0], rows[:, 8:16].copy().view("<i8")[:, 0], rows[:, 16:].copy().view("<i8")[:, 0]]
-                yield pa.RecordBatch.from_arrays([pa.array(keys), *(pa.array(np.tile(x, TABLES)) for x in rest)], ["key", "rep", "at", "d1", "d2"])
-
-    return run
 
 
 def runs(batches, cols: int, same: int):
@@ -218,48 +195,109 @@ def runs(batches, cols: int, same: int):
         yield rest, np.array([0]), np.array([len(rest[0])])
 
 
-#: Bits of each table's key, as those of d1 and d2.
-_MASKS = [np.packbits(np.isin(np.arange(BITS), c)).view("<i8") for c in _CHOICE]
-#: Pairs of descriptors that are compared at a time.
-_COMPARED = 1 << 20
+#: Pairs of descriptors that are compared at a time, and of those that share a key how many a pair of blocks may hold before it is halved.
+_COMPARED, _MOST_COMPARED = 1 << 20, 1 << 22
 
 
-def _matched(batches):
-    """Rows (key, sub, rep, at, d1, d2), sorted by the first two, to matches (a, b, at_a, at_b).
+def _keys(bits: np.ndarray) -> np.ndarray:
+    """The key of each packed descriptor in each table, (TABLES, n)."""
+    out = np.empty((TABLES, len(bits)), np.uint32)
+    for lo in range(0, len(bits), 1 << 16):
+        own = np.unpackbits(bits[lo : lo + (1 << 16)], axis=1)
+        for t, c in enumerate(_CHOICE):
+            out[t, lo : lo + (1 << 16)] = np.ascontiguousarray(np.packbits(own[:, c], axis=1)).view("<u4")[:, 0]
+    return out
 
-    sub: -1, or blocks i and j of a heavy key as i << 32 | j; _SECOND then marks the members of j in at.
-    """
-    for cols, lo, hi in runs(batches, 6, 2):
-        out, held = [], 0
-        for s, e in zip(lo[hi - lo > 1], hi[hi - lo > 1], strict=True):
-            key, sub, rep, at, d1, d2 = (c[s:e] for c in cols)
-            apart = sub[0] >= 0 and sub[0] >> 32 != sub[0] & 0xFFFFFFFF
-            second = at & _SECOND != 0
-            step = max(1, _COMPARED // (e - s))
-            for k in range(0, e - s, step):
-                own = slice(k, k + step)
-                far = np.bitwise_count(d1[own, None] ^ d1) + np.bitwise_count(d2[own, None] ^ d2)
-                good = (far <= FARTHEST) & (rep[own, None] < rep)
-                if apart:
-                    good &= second[own, None] != second
-                a, b = np.nonzero(good)
-                a += k
-                x1, x2 = d1[a] ^ d1[b], d2[a] ^ d2[b]
-                for m1, m2 in _MASKS[: key[0] >> KEY_BITS]:  # an earlier table has it too
-                    new = (x1 & m1) | (x2 & m2) != 0
-                    a, b, x1, x2 = a[new], b[new], x1[new], x2[new]
-                if len(a):
-                    out.append((rep[a], rep[b], at[a] & ~_SECOND, at[b] & ~_SECOND))
-                    held += len(a)
-                if held > _COMPARED:
-                    yield _batch(out, ["a", "b", "at_a", "at_b"])
-                    out, held = [], 0
-        if out:
-            yield _batch(out, ["a", "b", "at_a", "at_b"])
-
-
-def _batch(rows: list[tuple], names: list[str]) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*rows, strict=True)], names)
+
+class _Blocks:
+    """The points of the pictures of two blocks; pictures are numbered by their ids."""
+
+    def __init__(self, rep: np.ndarray, points: np.ndarray):
+        order = np.argsort(rep, kind="stable")
+        self.rep, raws = rep[order], [points[k] for k in order]
+        rows = np.frombuffer(b"".join(raws), np.uint8).reshape(-1, _POINT)
+        self.picture = np.repeat(np.arange(len(raws)), [len(x) // _POINT for x in raws])
+        self.at, self.bits = rows[:, :8].copy().view("<i8")[:, 0], rows[:, 8:].copy().view("<u8")
+        self.keys, self.order = _keys(rows[:, 8:]), order
+
+    def linked(self, first: np.ndarray, second: np.ndarray):
+        """Arrays (u, v) of the linked pairs of a picture of ``first`` and one of ``second``, masks that are equal or have none in common."""
+        own = np.flatnonzero((first | second)[self.picture])
+        tables, met = [], 0
+        for key in self.keys:
+            by_key = own[np.argsort(key[own], kind="stable")]
+            lo = np.flatnonzero(np.diff(key[by_key], prepend=key[by_key[:1]] ^ 1))
+            size = np.diff(lo, append=len(by_key))
+            lo, size = lo[size > 1], size[size > 1]
+            tables.append((by_key, lo, size))
+            met += int((size * (size - 1) // 2).sum())
+        if met > _MOST_COMPARED and max(first.sum(), second.sum()) > 1:
+            if first is second:
+                one, two = _halves(first)
+                parts = (one, one), (one, two), (two, two)
+            elif first.sum() >= second.sum():
+                parts = tuple((x, second) for x in _halves(first))
+            else:
+                parts = tuple((first, x) for x in _halves(second))
+            for x, y in parts:
+                yield from self.linked(x, y)
+            return
+        found = [x for t, table in enumerate(tables) for x in self.matches(t, *table, None if first is second else first)]
+        if not found:
+            return
+        a, b = (np.concatenate(x) for x in zip(*found, strict=True))
+        pair = self.picture[a] * len(self.rep) + self.picture[b]
+        order = np.argsort(pair, kind="stable")
+        a, b, pair = a[order], b[order], pair[order]
+        lo = np.flatnonzero(np.diff(pair, prepend=-1))
+        hi = np.append(lo[1:], len(pair))
+        enough = hi - lo >= AGREEING
+        good = []
+        for s, e in zip(lo[enough].tolist(), hi[enough].tolist(), strict=True):
+            both = np.unique(np.stack([self.at[a[s:e]], self.at[b[s:e]]]), axis=1)
+            if both.shape[1] >= AGREEING and agreeing(*both, AGREEING) >= AGREEING:
+                good.append(s)
+        if good:
+            yield self.rep[self.picture[a[good]]], self.rep[self.picture[b[good]]]
+
+    def matches(self, table: int, by_key: np.ndarray, lo: np.ndarray, size: np.ndarray, first: np.ndarray | None):
+        """Points (a, b) that match and that no earlier table has, a in the picture of the smaller id; where ``first`` is given, one of its pictures and one of another."""
+        light = size <= LIGHT
+        # each point of a light key with all behind it
+        n = size[light]
+        at = np.repeat(lo[light], n) + (within := _counted(n))
+        after = np.repeat(n, n) - within - 1
+        ends = np.cumsum(after)
+        cut = np.searchsorted(ends, np.arange(_COMPARED, ends[-1] + _COMPARED, _COMPARED)) if len(ends) else []
+        for s, e in zip([0, *cut], [*cut, len(at)], strict=True):
+            i = np.repeat(at[s:e], after[s:e])
+            yield self.near(table, by_key[i], by_key[i + 1 + _counted(after[s:e])], first)
+        for s, n in zip(lo[~light].tolist(), size[~light].tolist(), strict=True):
+            own, step = by_key[s : s + n], max(1, _COMPARED // n)
+            for k in range(0, n, step):
+                i = np.arange(k, min(n, k + step))
+                yield self.near(table, own[np.repeat(i, n - 1 - i)], own[np.repeat(i, n - 1 - i) + 1 + _counted(n - 1 - i)], first)
+
+    def near(self, table: int, a: np.ndarray, b: np.ndarray, first: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
+        p, q = self.picture[a], self.picture[b]
+        good = p != q if first is None else first[p] != first[q]
+        a, b = a[good], b[good]
+        good = np.bitwise_count(self.bits[a] ^ self.bits[b]).sum(1) <= FARTHEST
+        for key in self.keys[:table]:
+            good &= key[a] != key[b]
+        a, b = a[good], b[good]
+        turned = self.picture[a] > self.picture[b]
+        return np.where(turned, b, a), np.where(turned, a, b)
+
+
+def _counted(n: np.ndarray) -> np.ndarray:
+    """0 to n - 1 for each n, one behind the other."""
+    return np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+
+
+def _halves(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    one = x & (np.cumsum(x) <= x.sum() // 2)
+    return one, x & ~one
 
 
 def agreeing(ga: np.ndarray, gb: np.ndarray, enough: int | None = None) -> int:
@@ -296,26 +334,24 @@ def agreeing(ga: np.ndarray, gb: np.ndarray, enough: int | None = None) -> int:
 
 
 def _found(batches):
-    """Matches sorted by (a, b) to the linked pairs u, v, many at a time."""
-    for (a, b, ga, gb), lo, hi in runs(batches, 4, 2):
-        out = []
+    """Rows (pair, second, rep, points), sorted by pair, to the linked pairs u, v of pictures, many at a time."""
+    for (_, second, rep, points), lo, hi in runs(batches, 4, 1):
         for s, e in zip(lo, hi, strict=True):
-            if e - s >= AGREEING:
-                both = np.unique(np.stack([ga[s:e], gb[s:e]]), axis=1)
-                if both.shape[1] >= AGREEING and agreeing(*both, AGREEING) >= AGREEING:
-                    out.append((a[s], b[s]))
-        if out:
-            yield np.array(out, np.int64).T
+            blocks = _Blocks(rep[s:e], points[s:e])
+            behind = second[s:e].astype(bool)[blocks.order]
+            first = ~behind
+            for u, v in blocks.linked(first, behind if behind.any() else first):
+                yield np.stack([u, v])
 
 
 def _verified(batches):
-    """Matches sorted by (a, b) to links (u, v)."""
+    """Rows of pairs of blocks to links (u, v)."""
     for u, v in _found(batches):
         yield pa.RecordBatch.from_arrays([pa.array(u), pa.array(v)], ["u", "v"])
 
 
 def _summed(batches):
-    """Matches sorted by (a, b) to (u, v, n_links): a forest that connects what the links connect, with null n_links, and how many links each picture u has, with null v."""
+    """Rows of pairs of blocks to (u, v, n_links): a forest that connects what the links connect, with null n_links, and how many links each picture u has, with null v."""
     held: list[np.ndarray] = []
 
     def batch():
@@ -336,30 +372,23 @@ def _summed(batches):
 
 def links(points: DataFrame) -> DataFrame:
     """(u, v) of linked images from (rep, points), one row for each different image."""
-    return matches(points).mapInArrow(_verified, "u long, v long")
-
-
-def matches(points: DataFrame) -> DataFrame:
-    """(a, b, at_a, at_b) of matching descriptors from (rep, points), those of a pair of images together."""
-    keys = points.mapInArrow(_posted(False), "key long")
-    heavy = written(keys.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > LIGHT), "heavy").select(F.col("key").alias("heavy_key"), F.pow(2.0, F.ceil(F.log2(F.ceil(F.col("n") / BLOCK)))).cast("int").alias("blocks"))
-    if heavy.count() <= MOST_BROADCAST:
-        heavy = F.broadcast(heavy)
-    rows = points.mapInArrow(_posted(True), "key long, rep long, at long, d1 long, d2 long").join(heavy, F.col("key") == F.col("heavy_key"), "left")
-    block = F.pmod(F.xxhash64("rep"), F.col("blocks").cast("long"))
-    # a heavy key's block meets every block, itself included
-    other = F.explode(F.when(F.col("blocks").isNull(), F.array(F.lit(-1).cast("long"))).otherwise(F.sequence(F.lit(0).cast("long"), F.col("blocks") - F.lit(1).cast("long")))).alias("other")
-    rows = rows.select("key", F.coalesce(block, F.lit(-1)).alias("block"), "rep", "at", "d1", "d2", other)
-    sub = F.when(F.col("other") < 0, F.lit(-1).cast("long")).otherwise(F.shiftleft(F.least("block", "other"), 32).bitwiseOR(F.greatest("block", "other")))
-    rows = rows.select("key", sub.alias("sub"), "rep", F.when(F.col("block") > F.col("other"), F.col("at").bitwiseOR(F.lit(_SECOND))).otherwise(F.col("at")).alias("at"), "d1", "d2")
-    found = rows.repartition("key", "sub").sortWithinPartitions("key", "sub").mapInArrow(_matched, "a long, b long, at_a long, at_b long")
-    return found.repartition("a", "b").sortWithinPartitions("a", "b")
+    return dealt(points).mapInArrow(_verified, "u long, v long")
+
+
+def dealt(points: DataFrame) -> DataFrame:
+    """(pair, second, rep, points) from (rep, points): each picture once for each block that its own block meets, itself included."""
+    n, size = points.agg(F.count("*"), F.coalesce(F.sum(F.length("points") / _POINT), F.lit(0.0))).first()
+    blocks = max(LEAST_BLOCKS, -(-n // BLOCK), int(-(-size // MOST_POINTS)))
+    rows = points.select("rep", "points", F.pmod(F.xxhash64("rep"), F.lit(blocks).cast("long")).alias("block"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))).alias("other"))
+    pair = F.shiftleft(F.least("block", "other"), 32).bitwiseOR(F.greatest("block", "other"))
+    rows = rows.select(pair.alias("pair"), (F.col("block") > F.col("other")).alias("second"), "rep", "points")
+    return rows.repartition(min(blocks * (blocks + 1) // 2, MOST_TASKS), "pair").sortWithinPartitions("pair")
 
 
 def copies(images: DataFrame, id_column: str = "image_id", image_column: str = "image") -> DataFrame:
     """(image_id, n_points, n_links, class_id) of every row: its corners, its links to other pictures, the smallest id among its copies.
 
-    n_links counts all verified links, however many pictures share a key. Images of equal pixels are one picture and share all three results. Nulls, empty values and what is no
+    n_links counts all verified links, however many pictures share a key; pairs of pictures are compared where their blocks meet, and only sums and a forest leave there. Images of equal pixels are one picture and share all three results. Nulls, empty values and what is no
     8-bit PGM or PPM have null n_points and n_links and are their own class; a picture with too few corners
     has no links. A null id has the class of its picture, null where no row of it has an id, and then stays
     unlinked. Repeated rows have equal results, no rows give no rows, other columns are not read.
@@ -367,11 +396,13 @@ def copies(images: DataFrame, id_column: str = "image_id", image_column: str = "
     own = written(images.select(F.col(id_column).cast("long").alias("image_id"), F.col(image_column).alias("image")).mapInArrow(_described, "image_id long, digest binary, points binary"), "points")
     reps = own.where("digest is not null").groupBy("digest").agg(F.min("image_id").alias("rep"), F.first("points").alias("points"))
     reps = written(reps, "pictures")
-    found = written(matches(reps.where("rep is not null").select("rep", "points")).mapInArrow(_summed, "u long, v long, n_links long"), "image-links")
+    found = written(dealt(reps.where("rep is not null").select("rep", "points")).mapInArrow(_summed, "u long, v long, n_links long"), "image-links")
     roots_ = components(found.where("v is not null").select("u", "v"))
     each = found.where("v is null").groupBy(F.col("u").alias("linked")).agg(F.sum("n_links").alias("n_links"))
     pictures = reps.select("digest", "rep").join(roots_, F.col("rep") == F.col("node"), "left").join(each, F.col("rep") == F.col("linked"), "left")
     pictures = pictures.select(F.col("digest").alias("picture"), F.coalesce("root", "rep").alias("class"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
+    if reps.count() <= MOST_BROADCAST:
+        pictures = F.broadcast(pictures)
     out = own.select("image_id", "digest", (F.length("points") / _POINT).cast("long").alias("n_points")).join(pictures, F.col("digest") == F.col("picture"), "left")
     return out.select("image_id", "n_points", "n_links", F.when(F.col("digest").isNull(), F.col("image_id")).otherwise(F.col("class")).alias("class_id"))
 

@@ -477,6 +477,41 @@ def test_heavy_keys_keep_links(spark, monkeypatch):
     assert {i: n for i, (n, _) in dealt[0].items() if n} == each
 
 
+def test_links_are_those_of_one_by_one(spark, copied, monkeypatch):
+    """Links are those of all descriptors that share a key and differ in few bits, however pictures are dealt and keys compared."""
+    drawn = media.rendered(vectors(spark, 3, near=9)).union(copied.where("image_id < 40").selectExpr("image_id + 1000", "image"))
+    described = drawn.mapInArrow(media._described, "image_id long, digest binary, points binary").selectExpr("image_id AS rep", "points")
+    own = {r["rep"]: np.frombuffer(bytes(r["points"]), np.uint8).reshape(-1, media._POINT) for r in described.collect()}
+    bits = {i: np.unpackbits(x[:, 8:], axis=1) for i, x in own.items()}
+    want = set()
+    for a in own:
+        for b in own:
+            if a < b:
+                differ = bits[a][:, None] != bits[b]
+                i, j = np.nonzero((differ.sum(2) <= media.FARTHEST) & np.any([~differ[:, :, c].any(2) for c in media._CHOICE], axis=0))
+                both = np.unique(np.stack([own[a][i, :8].copy().view("<i8")[:, 0], own[b][j, :8].copy().view("<i8")[:, 0]]), axis=1)
+                if both.shape[1] >= media.AGREEING and media.agreeing(*both) >= media.AGREEING:
+                    want.add((a, b))
+    assert len(want) > 60
+    for light, compared, most, blocks in ((32, 1 << 20, 1 << 22, 8), (2, 7, 1 << 22, 1), (32, 50, 300, 1), (4, 50, 20, 3)):
+        for name, value in {"LIGHT": light, "_COMPARED": compared, "_MOST_COMPARED": most, "LEAST_BLOCKS": blocks}.items():
+            monkeypatch.setattr(media, name, value)
+        got = [(r["u"], r["v"]) for r in media.links(described).collect()]
+        assert len(got) == len(set(got)) and set(got) == want
+
+
+def test_rows_of_a_group_grow_with_its_pictures(spark, monkeypatch):
+    """What leaves the comparison of a group of near copies grows with its pictures, not with their pairs."""
+    made = []
+    write = media.written
+    monkeypatch.setattr(media, "written", lambda df, what: made.append((what, out := write(df, what))) or out)
+    for near in (20, 80):
+        media.copies(media.rendered(vectors(spark, 1, near=near)))
+    few, many = (df.count() for what, df in made if what == "image-links")
+    assert 0 < many <= 6 * few
+    assert [media.dealt(df.select("rep", "points")).count() for what, df in made if what == "pictures"] == [media.LEAST_BLOCKS * df.count() for what, df in made if what == "pictures"]
+
+
 def test_few_of_many_matches_agree():
     """Four matches of one transform are found wherever they stand among many others."""
     rng = np.random.default_rng(4)
