@@ -18,7 +18,7 @@ import re
 import zlib
 from array import array
 from functools import lru_cache
-from itertools import repeat
+from itertools import chain, islice, repeat
 from operator import add
 
 import numpy as np
@@ -35,6 +35,8 @@ DROPOUT = 0.1
 DRAWS = 3
 #: Characters up to which segmentations of a part are remembered, and how many of them.
 SHORT, REMEMBERED = 32, 300_000
+#: Parts of one length that are segmented together.
+TOGETHER = 1 << 14
 UNKNOWN = 1 << 40
 _NEVER = float("inf")
 _PARTS = re.compile(rf"{SPACE}+[^{SPACE}\n]*|\n+|[^{SPACE}\n]+")
@@ -55,6 +57,7 @@ class Vocabulary:
         self.costs = {p: -self.scores[i] for p, i in self.ids.items()}
         self.raw = [bytes([self.bytes[i]]) if i in self.bytes else p.replace(SPACE, " ").encode() for i, p in enumerate(self.pieces)]
         self.known = Known(self)
+        self.merges = Merges(self)
         if any("\n" in p or SPACE in p.lstrip(SPACE) for p in self.ids):
             raise ValueError("pieces of this file reach across the cuts")
 
@@ -132,12 +135,116 @@ def _by_scan(v: Vocabulary, part: str, skipped) -> tuple[list[str], int]:
     return symbols, n
 
 
+class Merges:
+    """What two symbols merge to, for many short parts at a time: a symbol is the number of a piece, or one beyond them for a character that is none.
+
+    The merges of a left symbol stand in one array, from its own offset on by right symbol, where they fit between those of others.
+    """
+
+    def __init__(self, v: Vocabulary):
+        self.v, self.pieces = v, len(v.pieces)
+        self.symbols = dict(v.ids)
+        for c in sorted({c for p in v.ids for c in p}):
+            self.symbols.setdefault(c, self.pieces + len(self.symbols))
+        most = max(self.symbols.values(), default=0) + 2
+        self.characters = np.full(0x110000, most - 1, np.int32)  # one symbol stands for all characters of no piece
+        for c, k in self.symbols.items():
+            if len(c) == 1:
+                self.characters[ord(c)] = k
+        costs = sorted(set(v.costs.values()))
+        rank = {c: k for k, c in enumerate(costs)}
+        self.never = len(costs)
+        rows: dict[int, list[tuple[int, int, int]]] = {}
+        for p, i in v.ids.items():
+            for k in range(1, len(p)):
+                left, right = self.symbols.get(p[:k]), self.symbols.get(p[k:])
+                if left is not None and right is not None:
+                    rows.setdefault(left, []).append((right, i, rank[v.costs[p]]))
+        room = 8 * sum(map(len, rows.values())) + 2 * most
+        self.offset = np.zeros(most, np.int64)
+        self.left, self.into, self.cost = np.full(room + most, -1, np.int32), np.zeros(room + most, np.int32), np.full(room + most, self.never, np.int32)
+        rng = np.random.default_rng(3)
+        for left, row in sorted(rows.items(), key=lambda x: (-len(x[1]), x[0])):
+            right, into, cost = np.array(row).T
+            tried = 0
+            while (self.left[(at := int(rng.integers(0, room)) + right)] >= 0).any():
+                tried += 1
+                if tried > 10_000:
+                    raise ValueError("the merges of this file do not fit")
+            self.offset[left] = at[0] - right[0]
+            self.left[at], self.into[at], self.cost[at] = left, into, cost
+
+    def met(self, left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Rank of the cost and the piece of two symbols; ``never`` where they are no piece."""
+        at = self.offset[left] + right
+        return np.where(self.left[at] == left, self.cost[at], self.never), self.into[at]
+
+    def segmented(self, parts: list[str], skipped: list) -> list[tuple[bytes, int]]:
+        """As `segment` of each part of up to SHORT characters with those of its candidates left out, as 32-bit numbers."""
+        out: list[tuple[bytes, int]] = [(b"", 0)] * len(parts)
+        sizes = np.fromiter(map(len, parts), np.int64, len(parts))
+        for n in np.unique(sizes).tolist():
+            same = np.flatnonzero(sizes == n)
+            for lo in range(0, len(same), TOGETHER):
+                own = same[lo : lo + TOGETHER].tolist()
+                self._same_size(n, own, parts, skipped, out)
+        return out
+
+    def _same_size(self, n: int, own: list[int], parts: list[str], skipped: list, out: list) -> None:
+        symbols = self.characters[np.frombuffer("".join([parts[k] for k in own]).encode("utf-32-le", "surrogatepass"), np.uint32)].reshape(-1, n)
+        skip = np.zeros((len(own), DRAWS * n + 1), bool)
+        each = [skipped[k] for k in own]
+        skip[np.repeat(np.arange(len(own)), list(map(len, each))), np.fromiter(chain.from_iterable(each), np.int64)] = True
+        done, lengths, counts = symbols.copy(), np.full(len(own), n), np.zeros(len(own), np.int64)
+        cost = np.full((len(own), n + 1), self.never, np.int32)  # the cost of each symbol with the next, never at the last
+        if n > 1:
+            cost[:, : n - 1] = self.met(symbols[:, :-1], symbols[:, 1:])[0]
+        row, length, tried = np.arange(len(own)), np.full(len(own), n), 0
+        columns = np.arange(n)
+        while True:
+            at = cost.argmin(1)
+            open_ = cost[np.arange(len(at)), at] < self.never
+            if not open_.all():
+                shut = ~open_
+                done[row[shut]], lengths[row[shut]], counts[row[shut]] = symbols[shut], length[shut], tried
+                symbols, cost, row, length, at = symbols[open_], cost[open_], row[open_], length[open_], at[open_]
+            if not len(row):
+                break
+            left_out = skip[row, tried]
+            tried += 1
+            cost[left_out.nonzero()[0], at[left_out]] = self.never
+            k = np.flatnonzero(~left_out)
+            i = at[k]
+            now = symbols[k]
+            now[np.arange(len(k)), i] = self.met(now[np.arange(len(k)), i], now[np.arange(len(k)), i + 1])[1]
+            moved = columns + (columns > i[:, None])  # what stood behind the right symbol moves up
+            now = np.take_along_axis(now, np.minimum(moved, n - 1), 1)
+            price = np.take_along_axis(cost[k], np.minimum(np.arange(n + 1) + (np.arange(n + 1) >= i[:, None]), n), 1)
+            length[k] -= 1
+            new = length[k]
+            for behind, ok in ((i - 1, i > 0), (i, i < new - 1)):
+                x, y = np.flatnonzero(ok), behind[ok]
+                price[x, y] = self.met(now[x, y], now[x, y + 1])[0]
+            price[np.flatnonzero(i == new - 1), new[i == new - 1] - 1] = self.never
+            symbols[k], cost[k] = now, price
+        odd = ((done >= self.pieces) & (columns < lengths[:, None])).any(1)
+        flat = done[columns < lengths[:, None]].astype(np.uint32).tobytes()
+        ends = (np.cumsum(lengths) * 4).tolist()
+        begin = 0
+        for k, end, count in zip(own, ends, counts.tolist(), strict=True):
+            out[k] = flat[begin:end], count
+            begin = end
+        for k in np.flatnonzero(odd).tolist():  # symbols that are no piece become bytes
+            ids, count = segment(self.v, parts[own[k]], skipped[own[k]])
+            out[own[k]] = _packed(ids), count
+
+
 def _packed(ids: list[int]) -> bytes:
     return array("I", ids).tobytes()
 
 
 class Known:
-    """Segmentations of short parts, by number: plain ids and counts of candidates, None and UNKNOWN until a run gave them, and trees.
+    """Segmentations of short parts, by number: plain ids and counts of candidates, None and UNKNOWN until a run gave them, and trees of those with skips.
 
     A node is [ids, count of candidates, nodes by the next one skipped]. A run with several skips fills only the last node of its way.
     """
@@ -147,8 +254,7 @@ class Known:
         self.clear()
 
     def clear(self) -> None:
-        self.at, self.plain, self.counts, self.trees, self.held = {"": 0}, [_packed([self.v.byte_ids[b] for b in SPACE.encode()])], [0], [], 0
-        self.trees.append([self.plain[0], 0, {}])
+        self.at, self.plain, self.counts, self.trees, self.held = {"": 0}, [_packed([self.v.byte_ids[b] for b in SPACE.encode()])], [0], [None], 0
 
     def number(self, part: str) -> int:
         """The part's number, also of a new one; -1 for one that is too long to be remembered."""
@@ -159,22 +265,27 @@ class Known:
         k = self.at[part] = len(self.trees)
         self.plain.append(None)
         self.counts.append(UNKNOWN)
-        self.trees.append([None, UNKNOWN, {}])
+        self.trees.append(None)
         return k
 
-    def run(self, k: int, part: str, drawn: list[int]) -> bytes:
-        """Segment a part with the skips that were drawn, and remember the ids under those of them that met a candidate."""
-        ids, n = segment(self.v, part, drawn)
-        node = self.trees[k]
-        for d in drawn:
-            if d >= n:
-                break
-            node = node[2].setdefault(d, [None, UNKNOWN, {}])
-        node[0], node[1] = packed, _ = _packed(ids), n
-        if node is self.trees[k]:
-            self.plain[k], self.counts[k] = packed, n
-        self.held += 1
-        return packed
+    def learn(self, numbers: list[int], parts: list[str], drawn: list) -> list[bytes]:
+        """Segment parts with the skips that were drawn for each, and remember the ids under those of them that met a candidate."""
+        made = self.v.merges.segmented(parts, drawn)
+        for k, own, (packed, n) in zip(numbers, drawn, made, strict=True):
+            if not own:
+                self.plain[k], self.counts[k] = packed, n
+                continue
+            if (node := self.trees[k]) is None:
+                node = self.trees[k] = [self.plain[k], self.counts[k], {}]
+            for d in own:
+                if d >= n:
+                    break
+                if (below := node[2].get(d)) is None:
+                    below = node[2][d] = [None, UNKNOWN, {}]
+                node = below
+            node[0], node[1] = packed, n
+        self.held += len(made)
+        return [packed for packed, _ in made]
 
 
 def skips(key: bytes, n: int, dropout: float) -> np.ndarray:
@@ -199,55 +310,68 @@ def _parts(text: str) -> list[str]:
     return parts
 
 
-def encode_packed(v: Vocabulary, text: str, dropout: float = 0.0, key: bytes = b"") -> bytes:
-    """The ids of a text as 32-bit numbers.
+def encode_packed(v: Vocabulary, texts: list[str], dropout: float = 0.0, keys: list[bytes] | None = None) -> list[bytes]:
+    """The ids of each text as 32-bit numbers; all segmentations that are not remembered are made together.
 
     Only parts in which a candidate is skipped are looked at one by one; the others have their plain ids.
     """
-    if not text:
-        return b""
-    parts, known = _parts(text), v.known
+    known = v.known
     if known.held > REMEMBERED:
         known.clear()
-    at = list(map(known.at.get, parts))
-    if None in at:
-        at = list(map(known.number, parts))
-    long = [k for k, a in enumerate(at) if a < 0] if -1 in at else []
-    out = list(map(known.plain.__getitem__, at))
-    where = local = np.zeros(0, np.int64)
-    if dropout:
-        begin = np.zeros(len(parts) + 1, np.int64)
-        np.cumsum(np.fromiter(map(len, parts), np.int64, len(parts)) * DRAWS, out=begin[1:])
-        drawn = skips(key, int(begin[-1]), dropout)
-        where = np.searchsorted(begin[1:], drawn, side="right")
-        local = drawn - begin[where]  # numbered within each part
-        first = np.flatnonzero(np.r_[True, where[1:] != where[:-1]][: len(where)])
-        last = np.append(first[1:], len(where))
-        hit = where[first]
-        # a part none of whose first candidates is skipped has no other
-        good = local[first] < np.fromiter(map(known.counts.__getitem__, at), np.int64, len(at))[hit]
-        good &= np.fromiter(at, np.int64, len(at))[hit] >= 0  # long parts have no tree
-        numbers, trees = local.tolist(), known.trees
-        for k, lo, hi in zip(hit[good].tolist(), first[good].tolist(), last[good].tolist(), strict=True):
-            node = trees[at[k]]
-            for d in numbers[lo:hi]:
-                if d >= node[1]:
-                    break
-                if (node := node[2].get(d)) is None:
-                    break
-            out[k] = (node and node[0]) or known.run(at[k], parts[k], numbers[lo:hi])
-    if None in out:
-        for k in [k for k, ids in enumerate(out) if ids is None and at[k] >= 0]:
-            out[k] = known.plain[at[k]] or known.run(at[k], parts[k], [])
-    for k in long:
-        lo, hi = np.searchsorted(where, (k, k + 1))
-        out[k] = _packed(segment(v, parts[k], frozenset(local[lo:hi].tolist()))[0])
-    return b"".join(out)
+    all_parts = [_parts(text) if text else [] for text in texts]
+    numbers = []
+    new = len(known.trees)
+    for parts in all_parts:
+        at = list(map(known.at.get, parts))
+        if None in at:
+            at = [known.number(part) if a is None else a for a, part in zip(at, parts, strict=True)]
+        numbers.append(at)
+    if len(known.trees) > new:
+        fresh = [p for p, k in islice(known.at.items(), new, None)]
+        known.learn(list(range(new, len(known.trees))), fresh, [()] * len(fresh))
+    outs, todo = [], []
+    for doc, (parts, at) in enumerate(zip(all_parts, numbers, strict=True)):
+        out = list(map(known.plain.__getitem__, at))
+        outs.append(out)
+        long = [k for k, a in enumerate(at) if a < 0] if -1 in at else []
+        where = local = np.zeros(0, np.int64)
+        if dropout and parts:
+            begin = np.zeros(len(parts) + 1, np.int64)
+            np.cumsum(np.fromiter(map(len, parts), np.int64, len(parts)) * DRAWS, out=begin[1:])
+            drawn = skips(keys[doc], int(begin[-1]), dropout)
+            where = np.searchsorted(begin[1:], drawn, side="right")
+            local = drawn - begin[where]  # numbered within each part
+            first = np.flatnonzero(np.r_[True, where[1:] != where[:-1]][: len(where)])
+            last = np.append(first[1:], len(where))
+            hit = where[first]
+            # a part none of whose first candidates is skipped has no other
+            good = local[first] < np.fromiter(map(known.counts.__getitem__, at), np.int64, len(at))[hit]
+            good &= np.fromiter(at, np.int64, len(at))[hit] >= 0  # long parts have no tree
+            each, trees = local.tolist(), known.trees
+            for k, lo, hi in zip(hit[good].tolist(), first[good].tolist(), last[good].tolist(), strict=True):
+                if (node := trees[at[k]]) is not None:
+                    for d in each[lo:hi]:
+                        if d >= node[1]:
+                            break
+                        if (node := node[2].get(d)) is None:
+                            break
+                if not (node and node[0]):
+                    todo.append((out, k, at[k], parts[k], each[lo:hi]))
+                else:
+                    out[k] = node[0]
+        for k in long:
+            lo, hi = np.searchsorted(where, (k, k + 1))
+            out[k] = _packed(segment(v, parts[k], frozenset(local[lo:hi].tolist()))[0])
+    if todo:
+        made = known.learn([x[2] for x in todo], [x[3] for x in todo], [x[4] for x in todo])
+        for (out, k, *_), packed in zip(todo, made, strict=True):
+            out[k] = packed
+    return [b"".join(out) for out in outs]
 
 
 def encode(v: Vocabulary, text: str, dropout: float = 0.0, key: bytes = b"") -> list[int]:
     """The ids of a text."""
-    return array("I", encode_packed(v, text, dropout, key)).tolist()
+    return array("I", encode_packed(v, [text], dropout, [key])[0]).tolist()
 
 
 def decode(v: Vocabulary, ids) -> str:
@@ -260,11 +384,11 @@ def _encoded(path: str, dropout: float, seed: int):
         v = vocabulary(path)
         for texts, ids in blocks(batches, 2):
             rows = []
-            for text, doc in zip(texts, ids, strict=True):
-                text = text or ""
-                raw = text.encode("utf-8", "surrogatepass")
-                # with the text, so that documents of null or repeated ids draw on their own
-                packed = encode_packed(v, text, dropout, f"{seed}/{doc}/".encode() + raw)
+            texts = [text or "" for text in texts]
+            raws = [text.encode("utf-8", "surrogatepass") for text in texts]
+            # with the text, so that documents of null or repeated ids draw on their own
+            encoded = encode_packed(v, texts, dropout, [f"{seed}/{doc}/".encode() + raw for raw, doc in zip(raws, ids, strict=True)])
+            for doc, raw, packed in zip(ids, raws, encoded, strict=True):
                 got = array("I", packed)
                 back = decode(v, got)
                 rows.append((doc, len(raw), len(got), zlib.crc32(np.frombuffer(packed, np.uint32).astype("<u4").tobytes()), hashlib.sha256(back.encode("utf-8", "surrogatepass")).hexdigest()))

@@ -156,6 +156,26 @@ def test_each_occurrence_draws_its_own_merges(spark):
     assert set(got) == set(merge_dropout.encode_documents(same.repartition(3), path).collect())
 
 
+def test_parts_together_are_those_one_by_one():
+    """Parts of all lengths, with characters of no piece and with skips, segmented in arrays; texts together as each alone."""
+    import public_tokenizers
+
+    v = merge_dropout.vocabulary(public_tokenizers.path("piece_bpe_32k.model"))
+    rng = random.Random(5)
+    words = ["international", "é日本🎵x", "a\tb", "<s>", "<0x41>", "~~~~", "x\0y", "01234567890", "ﬁ", "\ud800z", "the", "\n\n", ""]
+    parts = [("▁" * rng.randrange(3) + rng.choice(words) + rng.choice(words))[: merge_dropout.SHORT] or "▁" for _ in range(3000)]
+    skipped = [sorted({rng.randrange(3 * len(p)) for _ in range(rng.randrange(4))}) for p in parts]
+    want = [(merge_dropout._packed(ids), n) for ids, n in (merge_dropout.segment(v, p, k) for p, k in zip(parts, skipped, strict=True))]
+    assert v.merges.segmented(parts, skipped) == want
+    assert v.merges.segmented([], []) == []
+    texts = [" ".join(rng.choices(words, k=rng.randrange(40))) for _ in range(50)]
+    keys = [b"%d" % k for k in range(50)]
+    v.known.clear()
+    together = merge_dropout.encode_packed(v, texts, 0.3, keys)
+    v.known.clear()
+    assert together == [merge_dropout.encode_packed(v, [t], 0.3, [k])[0] for t, k in zip(texts, keys, strict=True)]
+
+
 def test_quality(spark, docs, none):
     rng = random.Random(1)
     good = [(i, prose(rng, 60)) for i in range(200)]
