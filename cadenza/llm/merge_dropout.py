@@ -5,8 +5,8 @@ another character, and around line ends), and each part is segmented by its own
 merges leave it by score, then from the left. A candidate is skipped when the hash of (seed, document,
 place of the part in the text, how manieth candidate of the part) falls below the dropout: every
 occurrence of a word draws its own skips, a segmentation can be repeated anywhere, and without
-dropout it is the library's own. What is remembered of a part is its segmentation for a given set of
-skipped candidates, which no draw enters. Symbols that are no piece become bytes. Decoding joins pieces
+dropout it is the library's own. What is remembered of a part is its segmentation without a skip,
+which no draw enters. Symbols that are no piece become bytes. Decoding joins pieces
 and bytes again and gives back every text, whatever was skipped.
 """
 
@@ -17,9 +17,11 @@ import heapq
 import re
 import zlib
 from array import array
+from collections import defaultdict
 from functools import lru_cache
-from itertools import chain, islice, repeat
+from itertools import chain, count, islice, repeat
 from operator import add
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -33,11 +35,13 @@ SPACE = "▁"
 DROPOUT = 0.1
 #: A part of n characters has fewer than DRAWS * n candidates: n - 1 at first, and each merge adds two at most.
 DRAWS = 3
-#: Characters up to which segmentations of a part are remembered, and how many of them.
-SHORT, REMEMBERED = 32, 300_000
+#: Characters up to which segmentations of a part are remembered, and characters of all parts that are.
+SHORT, REMEMBERED = 32, 4_000_000
 #: Parts of one length that are segmented together.
-TOGETHER = 1 << 14
-UNKNOWN = 1 << 40
+TOGETHER = 1 << 13
+#: Spans that are gathered at a time.
+GATHERED = 1 << 16
+_SHUT = 1 << 62
 _NEVER = float("inf")
 _PARTS = re.compile(rf"{SPACE}+[^{SPACE}\n]*|\n+|[^{SPACE}\n]+")
 
@@ -55,12 +59,18 @@ class Vocabulary:
         self.ids = {p: i for i, p in enumerate(self.pieces) if not (m.is_byte(i) or m.is_control(i) or m.is_unknown(i))}
         self.scores = m.get_score(list(range(m.get_piece_size())))
         self.costs = {p: -self.scores[i] for p, i in self.ids.items()}
-        self.raw = [bytes([self.bytes[i]]) if i in self.bytes else p.replace(SPACE, " ").encode() for i, p in enumerate(self.pieces)]
-        self.known = Known(self)
+        raw = [bytes([self.bytes[i]]) if i in self.bytes else p.replace(SPACE, " ").encode() for i, p in enumerate(self.pieces)]
+        self.raw, self.raw_lengths = np.frombuffer(b"".join(raw), np.uint8), np.fromiter(map(len, raw), np.int64, len(raw))
+        self.raw_starts = np.cumsum(self.raw_lengths) - self.raw_lengths
         self.merges = Merges(self)
+        self.known = Known(self)
         if any("\n" in p or SPACE in p.lstrip(SPACE) for p in self.ids):
             raise ValueError("pieces of this file reach across the cuts")
 
+    def spelt(self, ids: np.ndarray) -> np.ndarray:
+        """The bytes that ids stand for, one after the other."""
+        return _gathered(self.raw, self.raw_starts[ids], self.raw_lengths[ids])
+
 
 @lru_cache(2)
 def vocabulary(path: str) -> Vocabulary:
@@ -138,105 +148,151 @@ def _by_scan(v: Vocabulary, part: str, skipped) -> tuple[list[str], int]:
 class Merges:
     """What two symbols merge to, for many short parts at a time: a symbol is the number of a piece, or one beyond them for a character that is none.
 
-    The merges of a left symbol stand in one array, from its own offset on by right symbol, where they fit between those of others.
+    The merges of a left symbol stand in one array, from its own offset on by right symbol, where they fit between those of others. An entry
+    holds, from its highest bits on, the left symbol, the rank of the cost, room for a place, and the piece.
     """
 
     def __init__(self, v: Vocabulary):
         self.v, self.pieces = v, len(v.pieces)
-        self.symbols = dict(v.ids)
+        symbols = dict(v.ids)
         for c in sorted({c for p in v.ids for c in p}):
-            self.symbols.setdefault(c, self.pieces + len(self.symbols))
-        most = max(self.symbols.values(), default=0) + 2
-        self.characters = np.full(0x110000, most - 1, np.int32)  # one symbol stands for all characters of no piece
-        for c, k in self.symbols.items():
+            symbols.setdefault(c, self.pieces + len(symbols))
+        most = max(symbols.values(), default=0) + 3
+        self.characters = np.full(0x110000, most - 2, np.int32)  # one symbol stands for all characters of no piece
+        self.end = most - 1  # stands before and behind each part, and merges with nothing
+        for c, k in symbols.items():
             if len(c) == 1:
                 self.characters[ord(c)] = k
         costs = sorted(set(v.costs.values()))
         rank = {c: k for k, c in enumerate(costs)}
-        self.never = len(costs)
-        rows: dict[int, list[tuple[int, int, int]]] = {}
+        self.bits, place = most.bit_length(), (SHORT + 1).bit_length()
+        self.left = self.bits + place + len(costs).bit_length()
+        if self.left + self.bits > 63:
+            raise ValueError("this file has too many pieces")
+        rows: dict[int, list[tuple[int, int]]] = {}
         for p, i in v.ids.items():
             for k in range(1, len(p)):
-                left, right = self.symbols.get(p[:k]), self.symbols.get(p[k:])
+                left, right = symbols.get(p[:k]), symbols.get(p[k:])
                 if left is not None and right is not None:
-                    rows.setdefault(left, []).append((right, i, rank[v.costs[p]]))
+                    rows.setdefault(left, []).append((right, left << self.left | rank[v.costs[p]] << self.bits + place | i))
         room = 8 * sum(map(len, rows.values())) + 2 * most
-        self.offset = np.zeros(most, np.int64)
-        self.left, self.into, self.cost = np.full(room + most, -1, np.int32), np.zeros(room + most, np.int32), np.full(room + most, self.never, np.int32)
+        self.offset, self.table = np.zeros(most, np.int64), np.full(room + most, -1, np.int64)
         rng = np.random.default_rng(3)
         for left, row in sorted(rows.items(), key=lambda x: (-len(x[1]), x[0])):
-            right, into, cost = np.array(row).T
+            right, entry = np.array(row).T
             tried = 0
-            while (self.left[(at := int(rng.integers(0, room)) + right)] >= 0).any():
+            while (self.table[(at := int(rng.integers(0, room)) + right)] >= 0).any():
                 tried += 1
                 if tried > 10_000:
                     raise ValueError("the merges of this file do not fit")
             self.offset[left] = at[0] - right[0]
-            self.left[at], self.into[at], self.cost[at] = left, into, cost
+            self.table[at] = entry
 
-    def met(self, left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Rank of the cost and the piece of two symbols; ``never`` where they are no piece."""
-        at = self.offset[left] + right
-        return np.where(self.left[at] == left, self.cost[at], self.never), self.into[at]
+    def met(self, left: np.ndarray, right: np.ndarray, place: np.ndarray) -> np.ndarray:
+        """Rank of the cost of two symbols, place of the left one and piece, in one number; `_SHUT` or more where they are no piece."""
+        entry = self.table[self.offset[left] + right]
+        return np.where(entry >> self.left == left, entry & (1 << self.left) - 1, _SHUT) | place << self.bits
 
     def segmented(self, parts: list[str], skipped: list) -> list[tuple[bytes, int]]:
         """As `segment` of each part of up to SHORT characters with those of its candidates left out, as 32-bit numbers."""
-        out: list[tuple[bytes, int]] = [(b"", 0)] * len(parts)
         sizes = np.fromiter(map(len, parts), np.int64, len(parts))
-        for n in np.unique(sizes).tolist():
-            same = np.flatnonzero(sizes == n)
-            for lo in range(0, len(same), TOGETHER):
-                own = same[lo : lo + TOGETHER].tolist()
-                self._same_size(n, own, parts, skipped, out)
-        return out
-
-    def _same_size(self, n: int, own: list[int], parts: list[str], skipped: list, out: list) -> None:
-        symbols = self.characters[np.frombuffer("".join([parts[k] for k in own]).encode("utf-32-le", "surrogatepass"), np.uint32)].reshape(-1, n)
-        skip = np.zeros((len(own), DRAWS * n + 1), bool)
-        each = [skipped[k] for k in own]
-        skip[np.repeat(np.arange(len(own)), list(map(len, each))), np.fromiter(chain.from_iterable(each), np.int64)] = True
-        done, lengths, counts = symbols.copy(), np.full(len(own), n), np.zeros(len(own), np.int64)
-        cost = np.full((len(own), n + 1), self.never, np.int32)  # the cost of each symbol with the next, never at the last
-        if n > 1:
-            cost[:, : n - 1] = self.met(symbols[:, :-1], symbols[:, 1:])[0]
-        row, length, tried = np.arange(len(own)), np.full(len(own), n), 0
-        columns = np.arange(n)
+        met = np.fromiter(map(len, skipped), np.int64, len(parts))
+        draws = np.fromiter(chain.from_iterable(skipped), np.int64, int(met.sum()))
+        made = self.run(parts.__getitem__, self.symbols(parts), np.cumsum(sizes) - sizes, sizes, draws, np.cumsum(met) - met, met)
+        return [(made.ids[lo : lo + n].tobytes(), k) for lo, n, k in zip(*(x.tolist() for x in made[1:]), strict=True)]
+
+    def symbols(self, parts: list[str]) -> np.ndarray:
+        """The symbols of the characters of all parts."""
+        return self.characters[np.frombuffer("".join(parts).encode("utf-32-le", "surrogatepass"), np.uint32)]
+
+    def run(self, part, symbols: np.ndarray, begins: np.ndarray, sizes: np.ndarray, draws: np.ndarray, first: np.ndarray, met: np.ndarray) -> Segments:
+        """The segments of parts of up to SHORT characters, each given by where its symbols begin and their count, and by where its skips begin and their count.
+
+        part: the text of a part by its place in this call.
+        """
+        order = np.argsort(sizes.astype(np.uint8), kind="stable")
+        ends = np.cumsum(np.bincount(sizes, minlength=SHORT + 1))
+        made, held = [], 0
+        starts, lengths, counts = np.zeros((3, len(sizes)), np.int64)
+        for n in range(1, SHORT + 1):
+            for lo in range(int(ends[n - 1]), int(ends[n]), TOGETHER):
+                own = order[lo : min(lo + TOGETHER, int(ends[n]))]
+                skip = None
+                if len(draws):
+                    skip = np.zeros((DRAWS * n + 1, len(own)), bool)
+                    skip[draws[_spans(first[own], met[own])], np.repeat(np.arange(len(own)), met[own])] = True
+                ids, lengths[own], counts[own], odd = self._same_size(symbols[begins[own] + np.arange(n)[:, None]], skip)
+                starts[own] = held + np.cumsum(lengths[own]) - lengths[own]
+                made.append(ids)
+                held += len(ids)
+                for k in own[odd].tolist():  # symbols that are no piece become bytes
+                    ids, _ = segment(self.v, part(k), frozenset(draws[first[k] : first[k] + met[k]].tolist()))
+                    made.append(np.array(ids, np.uint32))
+                    starts[k], lengths[k] = held, len(ids)
+                    held += len(ids)
+        return Segments(np.concatenate([np.zeros(0, np.uint32), *made]), starts, lengths, counts)
+
+    def _same_size(self, symbols: np.ndarray, skip: np.ndarray | None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Pieces one part after the other, their count and the count of candidates by part, and which parts have symbols that are no piece.
+
+        symbols: a column a part; skip: a row a candidate. All else is one number for a symbol of a part, at its place times a power of two plus the part's.
+        """
+        n, parts = symbols.shape
+        shift = max(parts - 1, 1).bit_length()
+        wide = 1 << shift
+        symbol = np.full((n + 2, wide), self.end, np.int32)
+        symbol[1:-1, :parts] = symbols
+        cost = np.full((n + 2, wide), _SHUT, np.int64)  # of each symbol with the next
+        cost[1:n] = self.met(symbol[1:n], symbol[2:-1], np.arange(1, n)[:, None])
+        after = np.arange(wide, (n + 3) * wide)
+        before = after - 2 * wide
+        counts, tried, merged, all_costs, place = np.zeros(parts, np.int64), 0, symbol.reshape(-1), cost.reshape(-1), (1 << (SHORT + 1).bit_length()) - 1
         while True:
-            at = cost.argmin(1)
-            open_ = cost[np.arange(len(at)), at] < self.never
-            if not open_.all():
-                shut = ~open_
-                done[row[shut]], lengths[row[shut]], counts[row[shut]] = symbols[shut], length[shut], tried
-                symbols, cost, row, length, at = symbols[open_], cost[open_], row[open_], length[open_], at[open_]
-            if not len(row):
+            least = cost.min(0)
+            own = np.flatnonzero(least < _SHUT)
+            if not len(own):
                 break
-            left_out = skip[row, tried]
+            counts[own] = tried + 1
+            least = least[own]
+            at = least >> self.bits & place
+            x = (at << shift) + own
+            if skip is not None:
+                left_out = skip[tried, own]
+                all_costs[x[left_out]] = _SHUT  # until one of the two symbols grows
+                kept = ~left_out
+                x, at, least = x[kept], at[kept], least[kept]
             tried += 1
-            cost[left_out.nonzero()[0], at[left_out]] = self.never
-            k = np.flatnonzero(~left_out)
-            i = at[k]
-            now = symbols[k]
-            now[np.arange(len(k)), i] = self.met(now[np.arange(len(k)), i], now[np.arange(len(k)), i + 1])[1]
-            moved = columns + (columns > i[:, None])  # what stood behind the right symbol moves up
-            now = np.take_along_axis(now, np.minimum(moved, n - 1), 1)
-            price = np.take_along_axis(cost[k], np.minimum(np.arange(n + 1) + (np.arange(n + 1) >= i[:, None]), n), 1)
-            length[k] -= 1
-            new = length[k]
-            for behind, ok in ((i - 1, i > 0), (i, i < new - 1)):
-                x, y = np.flatnonzero(ok), behind[ok]
-                price[x, y] = self.met(now[x, y], now[x, y + 1])[0]
-            price[np.flatnonzero(i == new - 1), new[i == new - 1] - 1] = self.never
-            symbols[k], cost[k] = now, price
-        odd = ((done >= self.pieces) & (columns < lengths[:, None])).any(1)
-        flat = done[columns < lengths[:, None]].astype(np.uint32).tobytes()
-        ends = (np.cumsum(lengths) * 4).tolist()
-        begin = 0
-        for k, end, count in zip(own, ends, counts.tolist(), strict=True):
-            out[k] = flat[begin:end], count
-            begin = end
-        for k in np.flatnonzero(odd).tolist():  # symbols that are no piece become bytes
-            ids, count = segment(self.v, parts[own[k]], skipped[own[k]])
-            out[own[k]] = _packed(ids), count
+            piece = least & (1 << self.bits) - 1
+            y, w = after[x], before[x]
+            z = after[y]
+            after[x], before[z] = z, x
+            merged[x], merged[y] = piece, -1
+            all_costs[y] = _SHUT
+            all_costs[x] = self.met(piece, merged[z], at)
+            all_costs[w] = self.met(merged[w], piece, w >> shift)
+        done = np.ascontiguousarray(symbol[1:-1, :parts].T)
+        left = done >= 0
+        return done[left].astype(np.uint32), left.sum(1), counts, (done >= self.pieces).any(1)
+
+
+class Segments(NamedTuple):
+    """Ids of many parts: all of them, and by part where its own begin, their count, and the count of its candidates."""
+
+    ids: np.ndarray
+    starts: np.ndarray
+    lengths: np.ndarray
+    counts: np.ndarray
+
+
+def _spans(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """The numbers from each start on, as many as its length says, one after the other."""
+    ends = np.cumsum(lengths)
+    return np.repeat(starts - ends + lengths, lengths) + np.arange(ends[-1] if len(ends) else 0)
+
+
+def _gathered(values: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """The values at `_spans`, gathered in bounded pieces."""
+    return np.concatenate([values[:0], *(values[_spans(starts[lo : lo + GATHERED], lengths[lo : lo + GATHERED])] for lo in range(0, len(starts), GATHERED))])
 
 
 def _packed(ids: list[int]) -> bytes:
@@ -244,48 +300,40 @@ def _packed(ids: list[int]) -> bytes:
 
 
 class Known:
-    """Segmentations of short parts, by number: plain ids and counts of candidates, None and UNKNOWN until a run gave them, and trees of those with skips.
-
-    A node is [ids, count of candidates, nodes by the next one skipped]. A run with several skips fills only the last node of its way.
-    """
+    """Segmentations of parts without a skip, by the part's number. Parts of more than SHORT characters have a number, but no segmentation."""
 
     def __init__(self, v: Vocabulary):
         self.v = v
         self.clear()
 
     def clear(self) -> None:
-        self.at, self.plain, self.counts, self.trees, self.held = {"": 0}, [_packed([self.v.byte_ids[b] for b in SPACE.encode()])], [0], [None], 0
-
-    def number(self, part: str) -> int:
-        """The part's number, also of a new one; -1 for one that is too long to be remembered."""
-        if (k := self.at.get(part)) is not None:
-            return k
-        if len(part) > SHORT:
-            return -1
-        k = self.at[part] = len(self.trees)
-        self.plain.append(None)
-        self.counts.append(UNKNOWN)
-        self.trees.append(None)
-        return k
-
-    def learn(self, numbers: list[int], parts: list[str], drawn: list) -> list[bytes]:
-        """Segment parts with the skips that were drawn for each, and remember the ids under those of them that met a candidate."""
-        made = self.v.merges.segmented(parts, drawn)
-        for k, own, (packed, n) in zip(numbers, drawn, made, strict=True):
-            if not own:
-                self.plain[k], self.counts[k] = packed, n
-                continue
-            if (node := self.trees[k]) is None:
-                node = self.trees[k] = [self.plain[k], self.counts[k], {}]
-            for d in own:
-                if d >= n:
-                    break
-                if (below := node[2].get(d)) is None:
-                    below = node[2][d] = [None, UNKNOWN, {}]
-                node = below
-            node[0], node[1] = packed, n
-        self.held += len(made)
-        return [packed for packed, _ in made]
+        self.at = defaultdict(count(1).__next__, {"": 0})
+        mark = [self.v.byte_ids[b] for b in SPACE.encode()]
+        self.parts, self.sizes, self.held = [""], np.zeros(1, np.int64), 0
+        self.symbols, self.begins = np.zeros(0, np.int32), np.zeros(1, np.int64)
+        self.plain = Segments(np.array(mark, np.uint32), np.zeros(1, np.int64), np.full(1, len(mark)), np.zeros(1, np.int64))
+
+    def numbers(self, parts: list[str]) -> np.ndarray:
+        """The number of each part; new ones are segmented together."""
+        out = np.fromiter(map(self.at.__getitem__, parts), np.int64, len(parts))
+        if len(self.at) > len(self.parts):
+            new = list(islice(self.at, len(self.parts), None))
+            sizes = np.fromiter(map(len, new), np.int64, len(new))
+            short = np.where(sizes <= SHORT, sizes, 0)
+            symbols = self.v.merges.symbols([p for p in new if len(p) <= SHORT])
+            begins, none = np.cumsum(short) - short, np.zeros(len(new), np.int64)
+            made = self.v.merges.run(new.__getitem__, symbols, begins, short, none[:0], none, none)
+            old = self.plain
+            self.plain = Segments(*map(np.concatenate, ((old.ids, made.ids), (old.starts, made.starts + len(old.ids)), (old.lengths, made.lengths), (old.counts, made.counts))))
+            self.begins = np.concatenate((self.begins, begins + len(self.symbols)))
+            self.symbols, self.sizes = np.concatenate((self.symbols, symbols)), np.concatenate((self.sizes, sizes))
+            self.held += int(sizes.sum())
+            self.parts += new
+        return out
+
+    def skipping(self, numbers: np.ndarray, draws: np.ndarray, first: np.ndarray, met: np.ndarray) -> Segments:
+        """The segments of parts with skips, of which those of each part begin somewhere in ``draws`` and have a count."""
+        return self.v.merges.run(lambda k: self.parts[numbers[k]], self.symbols, self.begins[numbers], self.sizes[numbers], draws, first, met)
 
 
 def skips(key: bytes, n: int, dropout: float) -> np.ndarray:
@@ -310,63 +358,65 @@ def _parts(text: str) -> list[str]:
     return parts
 
 
-def encode_packed(v: Vocabulary, texts: list[str], dropout: float = 0.0, keys: list[bytes] | None = None) -> list[bytes]:
-    """The ids of each text as 32-bit numbers; all segmentations that are not remembered are made together.
+def encode_together(v: Vocabulary, texts: list[str], dropout: float = 0.0, keys: list[bytes] | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """The ids of all texts, one after the other, and where those of each begin and end.
 
-    Only parts in which a candidate is skipped are looked at one by one; the others have their plain ids.
+    A part in which no candidate is skipped has its plain ids. Occurrences of a part that skip the same one candidate are segmented
+    once for all of them, those that skip more each on its own.
     """
     known = v.known
     if known.held > REMEMBERED:
         known.clear()
     all_parts = [_parts(text) if text else [] for text in texts]
-    numbers = []
-    new = len(known.trees)
-    for parts in all_parts:
-        at = list(map(known.at.get, parts))
-        if None in at:
-            at = [known.number(part) if a is None else a for a, part in zip(at, parts, strict=True)]
-        numbers.append(at)
-    if len(known.trees) > new:
-        fresh = [p for p, k in islice(known.at.items(), new, None)]
-        known.learn(list(range(new, len(known.trees))), fresh, [()] * len(fresh))
-    outs, todo = [], []
-    for doc, (parts, at) in enumerate(zip(all_parts, numbers, strict=True)):
-        out = list(map(known.plain.__getitem__, at))
-        outs.append(out)
-        long = [k for k, a in enumerate(at) if a < 0] if -1 in at else []
-        where = local = np.zeros(0, np.int64)
-        if dropout and parts:
-            begin = np.zeros(len(parts) + 1, np.int64)
-            np.cumsum(np.fromiter(map(len, parts), np.int64, len(parts)) * DRAWS, out=begin[1:])
-            drawn = skips(keys[doc], int(begin[-1]), dropout)
-            where = np.searchsorted(begin[1:], drawn, side="right")
-            local = drawn - begin[where]  # numbered within each part
-            first = np.flatnonzero(np.r_[True, where[1:] != where[:-1]][: len(where)])
-            last = np.append(first[1:], len(where))
-            hit = where[first]
-            # a part none of whose first candidates is skipped has no other
-            good = local[first] < np.fromiter(map(known.counts.__getitem__, at), np.int64, len(at))[hit]
-            good &= np.fromiter(at, np.int64, len(at))[hit] >= 0  # long parts have no tree
-            each, trees = local.tolist(), known.trees
-            for k, lo, hi in zip(hit[good].tolist(), first[good].tolist(), last[good].tolist(), strict=True):
-                if (node := trees[at[k]]) is not None:
-                    for d in each[lo:hi]:
-                        if d >= node[1]:
-                            break
-                        if (node := node[2].get(d)) is None:
-                            break
-                if not (node and node[0]):
-                    todo.append((out, k, at[k], parts[k], each[lo:hi]))
-                else:
-                    out[k] = node[0]
-        for k in long:
-            lo, hi = np.searchsorted(where, (k, k + 1))
-            out[k] = _packed(segment(v, parts[k], frozenset(local[lo:hi].tolist()))[0])
-    if todo:
-        made = known.learn([x[2] for x in todo], [x[3] for x in todo], [x[4] for x in todo])
-        for (out, k, *_), packed in zip(todo, made, strict=True):
-            out[k] = packed
-    return [b"".join(out) for out in outs]
+    ends = np.cumsum([0, *map(len, all_parts)])
+    numbers = known.numbers(list(chain.from_iterable(all_parts)))
+    del all_parts
+    sizes, ids = known.sizes[numbers], [known.plain.ids]
+    starts, lengths = known.plain.starts[numbers], known.plain.lengths[numbers]
+    held = len(ids[0])
+    begins = np.concatenate(([0], np.cumsum(sizes)))
+    draws = first = met = np.zeros(0, np.int64)
+    if dropout and len(numbers):
+        bounds = begins[ends].tolist()
+        draws = np.concatenate([skips(key, DRAWS * (hi - lo), dropout) + DRAWS * lo for key, lo, hi in zip(keys, bounds[:-1], bounds[1:], strict=True) if hi > lo] or [draws])
+        where = np.searchsorted(begins[1:], draws // DRAWS, side="right")
+        draws -= DRAWS * begins[where]  # numbered within each part
+        first = np.flatnonzero(np.diff(where, prepend=-1))
+        met = np.diff(first, append=len(where))
+        hit = where[first]
+    long = np.flatnonzero(sizes > SHORT)
+    for k in long.tolist():
+        own = np.searchsorted(hit, k) if len(first) else 0
+        skipped = draws[first[own] : first[own] + met[own]].tolist() if own < len(first) and hit[own] == k else ()
+        ids.append(np.array(segment(v, known.parts[numbers[k]], frozenset(skipped))[0], np.uint32))
+        starts[k], lengths[k] = held, len(ids[-1])
+        held += len(ids[-1])
+    if len(first):
+        counts = known.plain.counts
+        good = draws[first] < counts[numbers[hit]]  # a part none of whose first candidates is skipped has no other; long parts have no count
+        hit, first, met = hit[good], first[good], met[good]
+        slot = (np.cumsum(counts) - counts)[numbers[hit]] + draws[first]  # the candidate among those of all parts
+        one = np.full(int(counts.sum()), -1)
+        one[slot] = np.arange(len(slot))
+        shared = one[one >= 0]  # one occurrence of each
+        one[slot[shared]] = np.arange(len(shared))
+        made = known.skipping(numbers[hit[shared]], draws, first[shared], np.ones(len(shared), np.int64))
+        as_one = one[slot]
+        starts[hit], lengths[hit] = held + made.starts[as_one], made.lengths[as_one]
+        ids.append(made.ids)
+        held += len(made.ids)
+        more = np.flatnonzero(met > 1)
+        more = more[draws[first[more] + 1] < made.counts[as_one[more]]]
+        made = known.skipping(numbers[hit[more]], draws, first[more], met[more])
+        starts[hit[more]], lengths[hit[more]] = held + made.starts, made.lengths
+        ids.append(made.ids)
+    return _gathered(np.concatenate(ids), starts, lengths), np.concatenate(([0], np.cumsum(lengths)))[ends]
+
+
+def encode_packed(v: Vocabulary, texts: list[str], dropout: float = 0.0, keys: list[bytes] | None = None) -> list[bytes]:
+    """The ids of each text as 32-bit numbers, all made together."""
+    ids, ends = encode_together(v, texts, dropout, keys)
+    return [ids[lo:hi].tobytes() for lo, hi in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True)]
 
 
 def encode(v: Vocabulary, text: str, dropout: float = 0.0, key: bytes = b"") -> list[int]:
@@ -376,22 +426,27 @@ def encode(v: Vocabulary, text: str, dropout: float = 0.0, key: bytes = b"") ->
 
 def decode(v: Vocabulary, ids) -> str:
     """The text of ids that `encode` gave."""
-    return b"".join(map(v.raw.__getitem__, ids)).decode("utf-8", "surrogatepass")[1:]  # without the space that every text is given in front
+    return _text(v.spelt(np.asarray(ids, np.int64)).tobytes())
+
+
+def _text(spelt: bytes) -> str:
+    return spelt.decode("utf-8", "surrogatepass")[1:]  # without the space that every text is given in front
 
 
 def _encoded(path: str, dropout: float, seed: int):
     def run(batches):
         v = vocabulary(path)
-        for texts, ids in blocks(batches, 2):
-            rows = []
+        for texts, docs in blocks(batches, 2):
             texts = [text or "" for text in texts]
             raws = [text.encode("utf-8", "surrogatepass") for text in texts]
             # with the text, so that documents of null or repeated ids draw on their own
-            encoded = encode_packed(v, texts, dropout, [f"{seed}/{doc}/".encode() + raw for raw, doc in zip(raws, ids, strict=True)])
-            for doc, raw, packed in zip(ids, raws, encoded, strict=True):
-                got = array("I", packed)
-                back = decode(v, got)
-                rows.append((doc, len(raw), len(got), zlib.crc32(np.frombuffer(packed, np.uint32).astype("<u4").tobytes()), hashlib.sha256(back.encode("utf-8", "surrogatepass")).hexdigest()))
+            ids, ends = encode_together(v, texts, dropout, [f"{seed}/{doc}/".encode() + raw for raw, doc in zip(raws, docs, strict=True)])
+            spelt, packed = v.spelt(ids), ids.astype("<u4", copy=False)
+            places = np.concatenate(([0], np.cumsum(v.raw_lengths[ids])))[ends]
+            rows = []
+            for doc, raw, lo, hi, begin, end in zip(docs, raws, ends[:-1].tolist(), ends[1:].tolist(), places[:-1].tolist(), places[1:].tolist(), strict=True):
+                back = _text(spelt[begin:end].tobytes())
+                rows.append((doc, len(raw), hi - lo, zlib.crc32(packed[lo:hi]), hashlib.sha256(back.encode("utf-8", "surrogatepass")).hexdigest()))
             kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string()]
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], ["doc_id", "n_bytes", "n_tokens", "ids_crc32", "decoded_sha256"])
 

@@ -176,6 +176,30 @@ def test_parts_together_are_those_one_by_one():
     assert together == [merge_dropout.encode_packed(v, [t], 0.3, [k])[0] for t, k in zip(texts, keys, strict=True)]
 
 
+def test_equal_skips_are_segmented_once(monkeypatch):
+    """Occurrences that skip the same one candidate share a run, and those that skip more have their own; all as one by one."""
+    import public_tokenizers
+
+    v = merge_dropout.vocabulary(public_tokenizers.path("piece_bpe_32k.model"))
+    looked, met = [], v.merges.met
+    monkeypatch.setattr(v.merges, "met", lambda left, *more: looked.append(np.size(left)) or met(left, *more))
+    words = ["the", "trade", "日本", "\ud800"]
+    text = " ".join(words * 5000)
+    v.known.clear()
+    got = merge_dropout.encode(v, text, 0.02, b"k")
+    drawn = {int(d) for d in merge_dropout.skips(b"k", 3 * (len(text) + 1), 0.02)}
+    at, want, several = 0, [], 0
+    for part in merge_dropout._PARTS.findall(" ".join(["", *words * 5000]).replace(" ", "▁")):
+        own = tuple(d for d in range(3 * len(part)) if d + 3 * at in drawn)
+        ids, n = merge_dropout.segment(v, part, own)
+        several += sum(d < n for d in own) > 1
+        want += ids
+        at += len(part)
+    assert got == want and merge_dropout.decode(v, got) == text
+    assert 0 < several < 100 and sum(looked) < 30 * (several + 40)
+    v.known.clear()
+
+
 def test_quality(spark, docs, none):
     rng = random.Random(1)
     good = [(i, prose(rng, 60)) for i in range(200)]
