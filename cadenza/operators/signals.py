@@ -11,16 +11,27 @@ MAJOR = [6.35, 2.23, 3.48, 2.33, 4.38, 4.09, 2.52, 5.19, 2.39, 3.66, 2.29, 2.88]
 MINOR = [6.33, 2.68, 3.52, 5.38, 2.60, 3.53, 2.54, 4.75, 3.98, 2.69, 3.34, 3.17]
 
 
+RUN_SEGMENTS = 1024
+
+
 def segment_bounds(df: DataFrame, sr: int, seconds: float, overlap: float = 0.0, least: float = 1.0) -> DataFrame:
-    """(id, seg, start, end) in seconds for ``df`` (id, n_samples): full windows, then the rest if it is long enough; a short whole is kept."""
+    """(id, seg, start, end) in seconds for ``df`` (id, n_samples): full windows, then the rest if it is long enough; a short whole is kept.
+
+    Segments are counted first and dealt out in runs of a bounded number, so that neither a small file nor a long wave is left to one task.
+    """
     size, low = round(seconds * sr), round(least * sr)
     step = max(1, size - min(round(overlap * sr), size - 1))
-    n = F.col("n_samples")
-    begin = df.where(n > 0).select("id", n.alias("n"), F.posexplode(F.sequence(F.lit(0).cast("long"), n - 1, F.lit(step).cast("long"))).alias("seg", "at"))
-    first_cut = F.greatest(F.ceil((F.col("n") - size + 1) / F.lit(float(step))), F.lit(0))
-    full = F.col("at") + size <= F.col("n")
-    rest = (F.col("seg") == first_cut) & ((F.col("n") - F.col("at") >= low) | (F.col("seg") == 0))
-    return begin.where(full | rest).select("id", "seg", (F.col("at") / F.lit(float(sr))).alias("start"), (F.least(F.col("at") + size, F.col("n")) / F.lit(float(sr))).alias("end"))
+    n, full, run = F.col("n"), F.col("full"), F.lit(RUN_SEGMENTS)
+    windows = F.when(n >= size, F.floor((n - size) / F.lit(float(step))) + 1).otherwise(F.lit(0)).cast("long")
+    left = n - full * step
+    kept = full + F.when((left > 0) & ((left >= low) | (full == 0)), 1).otherwise(0)
+    counted = df.where(F.col("n_samples") > 0).select("id", F.col("n_samples").cast("long").alias("n")).withColumn("full", windows).select("id", "n", kept.alias("kept")).where("kept > 0")
+    runs = counted.select("id", "n", "kept", F.explode(F.sequence(F.lit(0).cast("long"), F.col("kept") - 1, run.cast("long"))).alias("first"))
+    spark = df.sparkSession
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 4 * spark.sparkContext.defaultParallelism)
+    segs = runs.repartition(parts, "id", "first").select("id", "n", F.explode(F.sequence(F.col("first"), F.least(F.col("first") + run, F.col("kept")) - 1)).alias("seg"))
+    at = F.col("seg") * step
+    return segs.select("id", F.col("seg").cast("int").alias("seg"), (at / F.lit(float(sr))).alias("start"), (F.least(at + size, n) / F.lit(float(sr))).alias("end"))
 
 
 def capped(count: Column, cap: int) -> Column:
