@@ -10,6 +10,8 @@ import re
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -17,22 +19,97 @@ from pyspark.sql.window import Window
 from cadenza.functions.vectors import cosine, dot, l2
 
 BLOCK_ROWS = 2048
-
-
-def _paired(df: DataFrame, block_rows: int, upper: bool, work, schema: str) -> DataFrame:
-    """``work`` over every pair of blocks of ``df`` (id, v); with ``upper``, each unordered pair of blocks once."""
-    n = max(1, -(-df.count() // block_rows))
-    block = F.pmod(F.xxhash64("id"), F.lit(n)).cast("int")
-    rows = df.select("id", "v", block.alias("b"))
-    others = F.explode(F.sequence(F.col("b") if upper else F.lit(0), F.lit(n - 1)))
-    left = rows.withColumn("o", others).select("id", "v", F.col("b").alias("bi"), F.col("o").alias("bj"), F.lit(0).alias("side"))
-    mine = F.explode(F.sequence(F.lit(0), F.col("b") if upper else F.lit(n - 1)))
-    right = rows.withColumn("o", mine).select("id", "v", F.col("o").alias("bi"), F.col("b").alias("bj"), F.lit(1).alias("side"))
-
-    def both(pdf: pd.DataFrame) -> pd.DataFrame:
-        return work(pdf[pdf["side"] == 0], pdf[pdf["side"] == 1])
-
-    return left.unionAll(right).groupBy("bi", "bj").applyInPandas(both, schema)
+#: Rows are dealt to at most so many blocks as long as a block has no more than so many numbers: copies sent then grow with the rows alone.
+GRID, BLOCK_NUMBERS = 8, 1 << 23
+#: Rows of either side that are multiplied at once, and pairs whose cosines are summed at once in double precision.
+TILE, SUMMED = 2048, 1 << 16
+
+
+def _blocks(df: DataFrame, block_rows: int, grid: int = GRID) -> int:
+    """The number of blocks of ``df`` (v): some ``block_rows`` a block up to ``grid`` blocks, then as many as keep a block bounded."""
+    rows, width = df.agg(F.count(F.lit(1)), F.max(F.size("v"))).first()
+    return max(1, min(grid, -(-rows // block_rows)), -(-rows * max(width or 0, 0) // BLOCK_NUMBERS))
+
+
+def _paired(df: DataFrame, block_rows: int, work, schema: str) -> DataFrame:
+    """``work(same, ids, x, others, y)`` over every unordered pair of blocks of ``df`` (id, v), rows by id: each pair is one task, which returns Arrow batches."""
+    n = _blocks(df, block_rows)
+    low, high = F.least("b", "o"), F.greatest("b", "o")
+    rows = df.select("id", "v", F.pmod(F.xxhash64("id"), F.lit(n)).cast("int").alias("b"))
+    rows = rows.withColumn("o", F.explode(F.sequence(F.lit(0), F.lit(n - 1)))).select("id", "v", "b", (high * (high + 1) / 2 + low).cast("int").alias("task"))
+
+    def met(batches):
+        tasks = {}
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            ids, vectors, blocks, task = (batch.column(c) for c in ("id", "v", "b", "task"))
+            width = len(vectors[0])
+            if vectors.null_count or pc.any(pc.not_equal(pc.list_value_length(vectors), width)).as_py():
+                raise ValueError("vectors of different widths")
+            x, at = vectors.flatten().to_numpy(zero_copy_only=False).reshape(-1, width), task.to_numpy()
+            for t in np.unique(at):
+                mine = at == t
+                tasks.setdefault(int(t), []).append((ids.to_numpy()[mine], blocks.to_numpy()[mine], x[mine]))
+        for t in list(tasks):
+            ids, blocks, x = (np.concatenate(c) for c in zip(*tasks.pop(t), strict=True))
+            high = int(((8 * t + 1) ** 0.5 - 1) / 2)
+            low = t - high * (high + 1) // 2
+            sides = []
+            for b in (low, high)[: 1 + (low != high)]:
+                order = np.flatnonzero(blocks == b)
+                order = order[np.argsort(ids[order], kind="stable")]
+                sides.append((ids[order], x[order]))
+            if all(len(side[0]) for side in sides):
+                yield from work(low == high, *sides[0], *sides[-1])
+
+    return rows.repartitionById(n * (n + 1) // 2, "task").mapInArrow(met, schema)
+
+
+def _margin(width: int) -> float:
+    """More than twice what a product of two unit vectors in single precision can be off."""
+    return (width + 4) * 2.0**-22
+
+
+def _summed(x: np.ndarray, y: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """Products of rows in double precision, summed alike wherever a pair is met, so that copies tie."""
+    parts = [np.einsum("ij,ij->i", x[i[k : k + SUMMED]], y[j[k : k + SUMMED]]) for k in range(0, len(i), SUMMED)]
+    return np.concatenate(parts) if parts else np.zeros(0)
+
+
+class _Best:
+    """The k best (cos, id) of each row, best first and ties to the smaller id; ``floor`` is what a product in single precision has to pass."""
+
+    def __init__(self, rows: int, k: int, margin: float):
+        self.k, self.margin = k, margin
+        self.cos, self.ids, self.floor = np.full((rows, k), -np.inf), np.zeros((rows, k), np.int64), np.full(rows, -np.inf, np.float32)
+
+    def first(self, rows: slice, s: np.ndarray) -> np.ndarray:
+        """The floors of these rows, from the k-th best of ``s`` where none is known yet."""
+        floor = self.floor[rows]
+        new = np.flatnonzero(floor == -np.inf)
+        if len(new) and s.shape[1] > self.k:
+            least = -np.partition(-s[new], self.k - 1, axis=1)[:, self.k - 1] - self.margin
+            floor[new] = np.where(np.isnan(least), -np.inf, least)
+        return floor
+
+    def add(self, rows: np.ndarray, ids: np.ndarray, cos: np.ndarray) -> None:
+        last = self.cos[rows, -1]
+        better = (cos > last) | ((cos == last) & (ids < self.ids[rows, -1]))
+        hit, at = np.unique(rows[better], return_inverse=True)
+        at = np.r_[at, np.repeat(np.arange(len(hit)), self.k)]
+        cos, ids = np.r_[cos[better], self.cos[hit].ravel()], np.r_[ids[better], self.ids[hit].ravel()]
+        order = np.lexsort((ids, -cos, at))
+        at = at[order]
+        keep = order[np.arange(len(at)) - np.searchsorted(at, at) < self.k]
+        self.cos[hit], self.ids[hit] = cos[keep].reshape(-1, self.k), ids[keep].reshape(-1, self.k)
+        self.floor[hit] = self.cos[hit, -1] - self.margin
+
+    def rows(self, ids: np.ndarray, step: int = TILE):
+        for k in range(0, len(ids), step):
+            cos = self.cos[k : k + step]
+            i, j = np.nonzero(cos > -np.inf)
+            yield pa.RecordBatch.from_arrays([pa.array(ids[k + i]), pa.array(self.ids[k + i, j]), pa.array(cos[i, j])], ["id", "other", "cos"])
 
 
 def against(left: DataFrame, right: DataFrame, work, schema: str, block_rows: int = BLOCK_ROWS) -> DataFrame:
@@ -57,37 +134,81 @@ def _matrix(pdf: pd.DataFrame) -> np.ndarray:
 
 
 def top_neighbours(df: DataFrame, k: int, block_rows: int = BLOCK_ROWS) -> DataFrame:
-    """(id, other, cos, rank): the k most similar other rows of each row; ties go to the smaller id."""
+    """(id, other, cos, rank): the k most similar other rows of each row; ties go to the smaller id.
 
-    def work(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
-        if not len(a) or not len(b):
-            return pd.DataFrame({"id": [], "other": [], "cos": []})
-        b = b.sort_values("id")
-        s = _matrix(a) @ _matrix(b).T
-        ids, others = a["id"].to_numpy(), b["id"].to_numpy()
-        s[ids[:, None] == others[None, :]] = -np.inf
-        top = np.argsort(-s, axis=1, kind="stable")[:, :k]
-        out = pd.DataFrame({"id": np.repeat(ids, top.shape[1]), "other": others[top].ravel(), "cos": np.take_along_axis(s, top, 1).ravel()})
-        return out[out["cos"] > -np.inf]
+    Products are made in single precision; what may be among the k best is summed in double precision and alone decides.
+    """
 
-    part = _paired(df.select("id", l2(F.col("v")).alias("v")), block_rows, False, work, "id long, other long, cos double")
+    def work(same: bool, ids: np.ndarray, x: np.ndarray, others: np.ndarray, y: np.ndarray):
+        margin = _margin(x.shape[1])
+        mine, theirs = _Best(len(ids), k, margin), _Best(0 if same else len(others), k, margin)
+        a, b = x.astype(np.float32), y.astype(np.float32)
+        for i0 in range(0, len(a), TILE):
+            for j0 in range(0, len(b), TILE):
+                rows, columns = slice(i0, i0 + TILE), slice(j0, j0 + TILE)
+                s = a[rows] @ b[columns].T
+                if same:
+                    s[ids[rows, None] == others[None, columns]] = -np.inf
+                hit = s > mine.first(rows, s)[:, None]
+                if not same:
+                    hit |= s > theirs.first(columns, s.T)
+                i, j = np.divmod(np.flatnonzero(hit), s.shape[1])
+                i, j = i + i0, j + j0
+                if same:
+                    other = ids[i] != others[j]
+                    i, j = i[other], j[other]
+                cos = _summed(x, y, i, j)
+                mine.add(i, others[j], cos)
+                if not same:
+                    theirs.add(j, ids[i], cos)
+        yield from mine.rows(ids)
+        if not same:
+            yield from theirs.rows(others)
+
+    part = _paired(df.select(F.col("id").cast("long").alias("id"), l2(F.col("v")).alias("v")), block_rows, work, "id long, other long, cos double")
     rank = F.row_number().over(Window.partitionBy("id").orderBy(F.desc("cos"), "other"))
     return part.withColumn("rank", rank).where(F.col("rank") <= k)
 
 
-def near_pairs(df: DataFrame, threshold: float = 0.98, block_rows: int = BLOCK_ROWS) -> DataFrame:
-    """(a, b, cos) of all pairs a < b at or above the threshold; what is reported is kept within [-1, 1]."""
+def near_pairs(df: DataFrame, threshold: float = 0.98, block_rows: int = BLOCK_ROWS, top: int | None = None) -> DataFrame:
+    """(a, b, cos) of all pairs a < b at or above the threshold; what is reported is kept within [-1, 1].
 
-    def work(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
-        if not len(a) or not len(b):
-            return pd.DataFrame({"a": [], "b": [], "cos": []})
-        s = _matrix(a) @ _matrix(b).T
-        i, j = np.nonzero(s >= threshold)
-        x, y = a["id"].to_numpy()[i], b["id"].to_numpy()[j]
-        out = pd.DataFrame({"a": np.minimum(x, y), "b": np.maximum(x, y), "cos": np.clip(s[i, j], -1, 1)})
-        return out[out["a"] != out["b"]].drop_duplicates(["a", "b"])
+    With ``top``, tasks may leave out what is not among their so many best by cosine and then ids.
+    """
 
-    return _paired(df.select("id", l2(F.col("v")).alias("v")), block_rows, True, work, "a long, b long, cos double")
+    def work(same: bool, ids: np.ndarray, x: np.ndarray, others: np.ndarray, y: np.ndarray):
+        margin, floor, held = _margin(x.shape[1]), threshold, []
+        repeated = len(np.unique(ids)) < len(ids) or len(np.unique(others)) < len(others)
+        a, b = x.astype(np.float32), y.astype(np.float32)
+
+        def best():
+            out = pd.concat(held)
+            out = out.drop_duplicates(["a", "b"]) if repeated else out
+            return out if top is None else out.sort_values(["cos", "a", "b"], ascending=[False, True, True]).head(top)
+
+        for i0 in range(0, len(a), TILE):
+            for j0 in range(i0 if same else 0, len(b), TILE):
+                s = a[i0 : i0 + TILE] @ b[j0 : j0 + TILE].T
+                i, j = np.divmod(np.flatnonzero(s >= np.float32(floor - margin)), s.shape[1])
+                i, j = i + i0, j + j0
+                if same:
+                    once = (i < j) & (ids[i] != others[j])
+                    i, j = i[once], j[once]
+                cos = _summed(x, y, i, j)
+                near = cos >= threshold
+                p, q = ids[i[near]], others[j[near]]
+                out = pd.DataFrame({"a": np.minimum(p, q), "b": np.maximum(p, q), "cos": np.clip(cos[near], -1, 1)})
+                if top is None and not repeated:
+                    yield pa.RecordBatch.from_pandas(out, preserve_index=False)
+                    continue
+                held.append(out[out["cos"] >= floor] if top is not None else out)
+                if top is not None and sum(map(len, held)) > 4 * top:
+                    held = [best()]
+                    floor = max(threshold, held[0]["cos"].iloc[-1]) if top and len(held[0]) == top else floor
+        if held:
+            yield pa.RecordBatch.from_pandas(best(), preserve_index=False)
+
+    return _paired(df.select(F.col("id").cast("long").alias("id"), l2(F.col("v")).alias("v")), block_rows, work, "a long, b long, cos double")
 
 
 def search(df: DataFrame, query: Column, k: int) -> DataFrame:
@@ -159,7 +280,7 @@ def novelty_against(df: DataFrame, ref: DataFrame, k: int = 10) -> DataFrame:
 
 def near_duplicates(df: DataFrame, threshold: float = 0.98, max_pairs: int = 500) -> DataFrame:
     """The pairs of `near_pairs` with the largest cosines, at most so many, with their rank; ties go to smaller ids."""
-    top = near_pairs(df, threshold).orderBy(F.desc("cos"), "a", "b").limit(max_pairs)
+    top = near_pairs(df, threshold, top=max_pairs).orderBy(F.desc("cos"), "a", "b").limit(max_pairs)
     return top.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("cos"), "a", "b")))
 
 

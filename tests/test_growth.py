@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from cadenza.operators import signals
+from cadenza.operators import signals, similarity
 
 
 @pytest.mark.parametrize(("overlap", "least"), [(0.0, 1.0), (2.5, 1.0), (9.99, 0.0), (2.5, 12.0)])
@@ -27,3 +27,42 @@ def test_segments_of_one_wave_are_dealt_out(spark):
     df = spark.createDataFrame([(1, 750 * 50_000)], "id long, n_samples long").coalesce(1)
     tasks = signals.segment_bounds(df, 100, 10.0, 2.5, 1.0).groupBy(F.spark_partition_id()).count().collect()
     assert sum(r["count"] for r in tasks) == 50_000 and max(r["count"] for r in tasks) < 25_000
+
+
+@pytest.fixture
+def tracks(spark):
+    """300 vectors, of which 40 are copies of one, 5 are zero and one is no number."""
+    x = np.random.default_rng(3).normal(size=(300, 24))
+    x[50:90], x[100:105], x[200, 3] = x[7], 0, np.nan
+    u = x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-8)
+    ids = np.random.default_rng(4).permutation(300)
+    return spark.createDataFrame([(int(i), r.tolist()) for i, r in zip(ids, x, strict=True)], "id long, v array<double>"), {(int(a), int(b)): float(np.round(s, 9)) for a, row in zip(ids, u @ u.T, strict=True) for b, s in zip(ids, row, strict=True) if a != b and not np.isnan(s)}
+
+
+@pytest.mark.parametrize("numbers", [1 << 23, 600])
+def test_all_pairs_in_tiles(monkeypatch, tracks, numbers):
+    """Neighbours and pairs with copies, over several tiles and blocks, against all pairs one by one."""
+    for name, value in {"TILE": 16, "BLOCK_NUMBERS": numbers}.items():
+        monkeypatch.setattr(similarity, name, value)
+    df, cos = tracks
+    want = {}
+    for (a, b), c in cos.items():
+        want.setdefault(a, []).append((-c, b))
+    want = {(a, k + 1): b for a, near in want.items() for k, (_, b) in enumerate(sorted(near)[:6])}
+    assert {(r["id"], r["rank"]): r["other"] for r in similarity.top_neighbours(df, 6, block_rows=60).collect()} == want
+    pairs = sorted((-c, a, b) for (a, b), c in cos.items() if a < b and c >= 0.4)
+    got = similarity.near_pairs(df, 0.4, block_rows=60).collect()
+    assert len(got) == len(pairs) and {(r["a"], r["b"]) for r in got} == {p[1:] for p in pairs}
+    best = similarity.near_duplicates(df, 0.4, 850).orderBy("rank").collect()
+    assert {(r["a"], r["b"]) for r in best[:820]} == {p[1:] for p in pairs[:820]} and [r["cos"] for r in best] == pytest.approx([-p[0] for p in pairs[:850]], abs=1e-8)
+
+
+def test_copies_of_a_row_do_not_grow_with_the_rows(monkeypatch, spark):
+    """While blocks are small, a row is sent to as many tasks whatever the number of rows."""
+    sent, f = [], type(spark.range(0)).mapInArrow
+    monkeypatch.setattr(type(spark.range(0)), "mapInArrow", lambda self, *a, **b: (sent.append(self.count()), f(self, *a, **b))[1])
+    for n in (100, 400):
+        df = spark.range(n).select("id", F.array(F.rand(1), F.rand(2)).alias("v"))
+        assert similarity.top_neighbours(df, 2, block_rows=10).count() == 2 * n
+        assert similarity.near_pairs(df, -1.0, block_rows=10).count() == n * (n - 1) // 2
+    assert sent == [100 * similarity.GRID] * 2 + [400 * similarity.GRID] * 2
