@@ -10,7 +10,7 @@ from pyspark.sql.window import Window
 
 from cadenza.functions.vectors import EPS, is_constant, l2, norm
 from cadenza.operators.metrics import concordance, spearman
-from cadenza.operators.similarity import against
+from cadenza.operators.similarity import BLOCK_ROWS, against
 
 AFFECT_TOLERANCE = 0.35
 
@@ -80,7 +80,7 @@ def last_item_context(held: DataFrame, items: DataFrame) -> DataFrame:
     return held.withColumn("last", F.element_at("prefix", -1)).join(v, "last").drop("last")
 
 
-def next_item_ranks(held: DataFrame, items: DataFrame) -> DataFrame:
+def next_item_ranks(held: DataFrame, items: DataFrame, block_rows: int = BLOCK_ROWS) -> DataFrame:
     """(session, rank) of the target among ``items`` (id, v) by cosine to the session's context; ``held`` is (session, prefix, target, context).
 
     Items played before, other than the target, are out of the running; ties count in favour of the target;
@@ -89,7 +89,7 @@ def next_item_ranks(held: DataFrame, items: DataFrame) -> DataFrame:
     unit = items.select("id", l2(F.col("v")).alias("v"))
     c = held.where(norm(F.col("context")) >= EPS).withColumn("v", l2(F.col("context")))
     aim = unit.select(F.col("id").alias("target"), F.col("v").alias("aim"))
-    left = c.join(aim, "target").select(F.col("session").alias("id"), "v", "aim", F.array_distinct(F.array_except("prefix", F.array("target"))).alias("played"))
+    left = c.join(aim, "target").select(F.col("session").alias("id"), "v", "aim", F.array_compact(F.array_distinct(F.array_except("prefix", F.array("target")))).alias("played"))
 
     def work(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
         if not len(a) or not len(b):
@@ -98,11 +98,15 @@ def next_item_ranks(held: DataFrame, items: DataFrame) -> DataFrame:
         sims, goal = x @ y.T, (x * np.array(a["aim"].tolist(), float)).sum(1)
         # the target's own similarity is summed in another order than its column of the product
         ahead = sims > goal[:, None] + 1e-12
-        for k, played in enumerate(a["played"]):
-            ahead[k, np.isin(b["id"].to_numpy(), played)] = False
+        ids, played = b["id"].to_numpy(), a["played"].tolist()
+        who, items_ = np.repeat(np.arange(len(a)), [len(p) for p in played]), np.concatenate(played).astype(np.int64)
+        low, high = np.searchsorted(ids, items_), np.searchsorted(ids, items_, "right")
+        while (met := low < high).any():
+            ahead[who[met], low[met]] = False
+            who, low, high = who[met], low[met] + 1, high[met]
         return pd.DataFrame({"session": a["id"].to_numpy(), "better": ahead.sum(1)})
 
-    found = against(left, unit, work, "session long, better long")
+    found = against(left, unit, work, "session long, better long", block_rows, lambda out: out.groupby("session", as_index=False)["better"].sum())
     return found.groupBy("session").agg((F.sum("better") + 1).alias("rank"))
 
 

@@ -23,6 +23,8 @@ BLOCK_ROWS = 2048
 GRID, BLOCK_NUMBERS = 8, 1 << 23
 #: Rows of either side that are multiplied at once, and pairs whose cosines are summed at once in double precision.
 TILE, SUMMED = 2048, 1 << 16
+#: The same for either side of a search by other rows; so many results of tiles are held before they are merged.
+SIDE, MERGED = 6, 8
 
 
 def _blocks(df: DataFrame, block_rows: int, grid: int = GRID) -> int:
@@ -112,23 +114,48 @@ class _Best:
             yield pa.RecordBatch.from_arrays([pa.array(ids[k + i]), pa.array(self.ids[k + i, j]), pa.array(cos[i, j])], ["id", "other", "cos"])
 
 
-def against(left: DataFrame, right: DataFrame, work, schema: str, block_rows: int = BLOCK_ROWS) -> DataFrame:
-    """``work`` over every pair of a block of ``left`` and a block of ``right`` (id, v, ...): each pair of blocks is one task.
+def against(left: DataFrame, right: DataFrame, work, schema: str, block_rows: int = BLOCK_ROWS, merge=None) -> DataFrame:
+    """``work`` over every pair of a tile of ``left`` and a tile of ``right`` (id, v, ...), of some ``block_rows`` rows, those of one id together.
 
-    The side with fewer blocks is the one that is copied most, so that what travels is the smaller product.
+    Both sides are dealt to few large blocks and each pair of blocks is one task. ``merge`` makes one of what a tile of
+    ``left`` got from tiles of ``right``, so that a task returns a single result for it.
     """
-    na, nb = (max(1, -(-df.count() // block_rows)) for df in (left, right))
+    na, nb = (_blocks(df, block_rows, SIDE) for df in (left, right))
     block = lambda n: F.pmod(F.xxhash64("id"), F.lit(n)).cast("int")
     every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
     a = left.withColumn("_i", block(na)).withColumn("_j", every(nb))
     b = right.withColumn("_j", block(nb)).withColumn("_i", every(na))
 
+    def tiles(pdf: pd.DataFrame) -> list[pd.DataFrame]:
+        pdf = pdf.sort_values("id", kind="stable")
+        at = _starts(pdf["id"].to_numpy())
+        at = at[np.searchsorted(at, np.arange(0, max(len(pdf), 1), block_rows), "right") - 1] if len(at) else np.zeros(1, int)
+        at = np.unique(at)
+        return [pdf.iloc[i:j] for i, j in zip(at, [*at[1:], len(pdf)], strict=True)]
+
     def both(_key, x: pd.DataFrame, y: pd.DataFrame) -> pd.DataFrame:
-        return work(x.sort_values("id", kind="stable"), y.sort_values("id", kind="stable"))
+        ys, out = tiles(y), []
+        for mine in tiles(x):
+            got = []
+            for theirs in ys:
+                got.append(work(mine, theirs))
+                if merge and len(got) >= MERGED:
+                    got = [merge(pd.concat(got))]
+            out.append(merge(pd.concat(got)) if merge and len(got) > 1 else pd.concat(got))
+        return pd.concat(out)
 
     return a.groupBy("_i", "_j").cogroup(b.groupBy("_i", "_j")).applyInPandas(both, schema)
 
 
+def _top(key: str, order: list[str], k: int):
+    """For `against`: the k best rows of each key, by the first column downward and the next upward."""
+
+    def merge(out: pd.DataFrame) -> pd.DataFrame:
+        return out.sort_values([key, *order], ascending=[True, False, *[True] * (len(order) - 1)]).groupby(key).head(k)
+
+    return merge
+
+
 def _matrix(pdf: pd.DataFrame) -> np.ndarray:
     return np.array(pdf["v"].tolist(), np.float64).reshape(len(pdf), -1)
 
@@ -242,7 +269,7 @@ def similar_to(queries: DataFrame, df: DataFrame, k: int, block_rows: int = BLOC
         return out[out["cos"] > -np.inf]
 
     unit = [d.select("id", l2(F.col("v")).alias("v")) for d in (queries, df)]
-    part = against(*unit, work, "query_id long, id long, cos double", block_rows)
+    part = against(*unit, work, "query_id long, id long, cos double", block_rows, _top("query_id", ["cos", "id"], k))
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("cos"), "id"))
     return part.withColumn("rank", rank).where(F.col("rank") <= k)
 
@@ -273,7 +300,7 @@ def novelty_against(df: DataFrame, ref: DataFrame, k: int = 10) -> DataFrame:
         return pd.DataFrame({"id": np.repeat(a["id"].to_numpy(), s.shape[1]), "cos": s.ravel()})
 
     unit = [d.select("id", l2(F.col("v")).alias("v")) for d in (df, ref)]
-    near = against(*unit, work, "id long, cos double")
+    near = against(*unit, work, "id long, cos double", merge=_top("id", ["cos"], k))
     near = near.withColumn("r", F.row_number().over(Window.partitionBy("id").orderBy(F.desc("cos")))).where(F.col("r") <= k)
     return near.groupBy("id").agg((1 - F.least(F.greatest(F.avg("cos"), F.lit(-1.0)), F.lit(1.0))).alias("novelty"))
 
@@ -379,7 +406,7 @@ def late_interaction(query: DataFrame, candidates: DataFrame, k: int = 20, block
         return out[out["score"] > -np.inf]
 
     unit = [d.select(F.col("track").alias("id"), l2(F.col("v")).alias("v")) for d in (query, candidates)]
-    part = against(*unit, work, "query long, track long, score double", block_rows)
+    part = against(*unit, work, "query long, track long, score double", block_rows, _top("query", ["score", "track"], k))
     rank = F.row_number().over(Window.partitionBy("query").orderBy(F.desc("score"), "track"))
     return part.withColumn("rank", rank).where(F.col("rank") <= k)
 

@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from cadenza.operators import signals, similarity
+from cadenza.operators import evaluation, signals, similarity
 
 
 @pytest.mark.parametrize(("overlap", "least"), [(0.0, 1.0), (2.5, 1.0), (9.99, 0.0), (2.5, 12.0)])
@@ -66,3 +66,35 @@ def test_copies_of_a_row_do_not_grow_with_the_rows(monkeypatch, spark):
         assert similarity.top_neighbours(df, 2, block_rows=10).count() == 2 * n
         assert similarity.near_pairs(df, -1.0, block_rows=10).count() == n * (n - 1) // 2
     assert sent == [100 * similarity.GRID] * 2 + [400 * similarity.GRID] * 2
+
+
+def test_searches_send_as_many_copies_whatever_the_rows(monkeypatch, spark):
+    """Queries meet rows in few blocks, worked off in tiles; what each query returns is its best, as of all rows one by one."""
+    monkeypatch.setattr(similarity, "MERGED", 3)
+    sent, group = [], type(spark.range(0)).groupBy
+    monkeypatch.setattr(type(spark.range(0)), "groupBy", lambda self, *a: (sent.append(self.count()) if a == ("_i", "_j") else 0, group(self, *a))[1])
+    x = np.random.default_rng(5).normal(size=(120, 6))
+    x[30:50] = x[3]
+    df = spark.createDataFrame([(i, r.tolist()) for i, r in enumerate(x)], "id long, v array<double>")
+    got = {(r["query_id"], r["rank"]): r["cos"] for r in similarity.similar_to(df.where("id < 60"), df, 5, block_rows=5).collect()}
+    u = x / np.linalg.norm(x, axis=1, keepdims=True)
+    s = u @ u.T
+    np.fill_diagonal(s, -9)
+    want = -np.sort(-s[:60], axis=1)[:, :5]
+    assert len(got) == 300 and all(got[i, k + 1] == pytest.approx(want[i, k]) for i in range(60) for k in range(5))
+    assert sent == [60 * similarity.SIDE, 120 * similarity.SIDE]
+
+
+def test_next_item_ranks_leave_out_what_was_played(monkeypatch, spark):
+    """Against one by one, over several blocks and tiles."""
+    rng = np.random.default_rng(6)
+    x = rng.normal(size=(90, 5))
+    u = x / np.linalg.norm(x, axis=1, keepdims=True)
+    items = spark.createDataFrame([(i, r.tolist()) for i, r in enumerate(x)], "id long, v array<double>")
+    plays = [(s, k, int(i)) for s in range(70) for k, i in enumerate(rng.integers(0, 90, 2 + s % 9))]
+    held = evaluation.last_item_context(evaluation.held_out_last(spark.createDataFrame(plays, "session long, pos int, item long")), items)
+    got = {r["session"]: r["rank"] for r in evaluation.next_item_ranks(held, items, block_rows=8).collect()}
+    for s in range(70):
+        *before, target = [i for t, _, i in plays if t == s]
+        sims = u @ u[before[-1]]
+        assert got[s] == 1 + sum(sims[i] > sims[target] + 1e-12 for i in range(90) if i != target and i not in before)
