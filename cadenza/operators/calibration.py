@@ -35,10 +35,10 @@ def search_temperature(df: DataFrame, bounds: tuple[float, float] = BOUNDS, tole
 def platt(df: DataFrame, steps: int = 50, tolerance: float = 1e-10) -> tuple[float, float]:
     """(a, b) of the logistic curve 1 / (1 + exp(-(a conf + b))) over (conf, correct); (0, 0) for one class or one value.
 
-    Newton steps, each one aggregate of five sums; a step is halved until the loss falls.
+    Newton steps, each one aggregate of five sums; a step is halved until the loss falls. The rows are written once.
     """
     x, y = F.col("conf").cast("double"), F.col("correct").cast("double")
-    rows = df.select(x.alias("x"), y.alias("y")).where(x.isNotNull() & y.isNotNull())
+    rows = cut(df.select(x.alias("x"), y.alias("y")).where(x.isNotNull() & y.isNotNull()), "outcomes")
     s = rows.agg(F.count(F.lit(1)).alias("n"), F.sum("y").alias("p"), F.min("x").alias("low"), F.max("x").alias("high")).first()
     if not s["n"] or s["p"] in (0, s["n"]) or s["low"] == s["high"]:
         return 0.0, 0.0

@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from cadenza.operators import evaluation, signals, similarity
+from cadenza.operators import calibration, evaluation, signals, similarity
 
 
 @pytest.mark.parametrize(("overlap", "least"), [(0.0, 1.0), (2.5, 1.0), (9.99, 0.0), (2.5, 12.0)])
@@ -98,3 +98,18 @@ def test_next_item_ranks_leave_out_what_was_played(monkeypatch, spark):
         *before, target = [i for t, _, i in plays if t == s]
         sims = u @ u[before[-1]]
         assert got[s] == 1 + sum(sims[i] > sims[target] + 1e-12 for i in range(90) if i != target and i not in before)
+
+
+def test_platt_works_out_its_rows_once(spark):
+    """Newton steps read a table, so that a join is not repeated in each."""
+    read = spark.sparkContext.accumulator(0)
+
+    def seen(batches):
+        for pdf in batches:
+            read.add(len(pdf))
+            yield pdf
+
+    rows = [(k / 40, k % 3 == 0) for k in range(40)]
+    df = spark.createDataFrame(rows, "conf double, correct boolean")
+    assert calibration.platt(df.mapInPandas(seen, df.schema)) == pytest.approx(calibration.platt(df))
+    assert read.value == len(rows)
